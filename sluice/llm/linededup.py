@@ -110,7 +110,7 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     )
     # A partition has at most two edge runs, so there are at most twice as many summaries as partitions.
     runs = found.filter("kind = 'run'").groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("most"))
-    late = found.filter("kind = 'pending'").join(runs.filter(F.col("docs") >= min_docs), "key").filter("doc != most")
+    late = found.filter("kind = 'pending'").join(F.broadcast(runs.filter(F.col("docs") >= min_docs)), "key").filter("doc != most")
     dropped = found.filter("kind = 'drop'").select("doc", "pos").unionByName(late.select("doc", "pos"))
     return (
         dropped.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("gone"))
@@ -142,7 +142,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def with_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents, every column kept, with the column keep_bitmap_ (null: keep all)."""
-    maps = line_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("bitmap_doc_"), F.col("keep_bitmap").alias("keep_bitmap_"))
+    maps = line_bitmaps(docs, min_chars, min_docs).select(F.col("doc_id").alias("bitmap_doc_"), F.col("keep_bitmap").alias("keep_bitmap_")).hint("merge")  # they grow with the documents
     return docs.join(maps, F.coalesce(docs["doc_id"].cast("long"), F.lit(NO_ID)) == F.col("bitmap_doc_"), "left").drop("bitmap_doc_")
 
 
