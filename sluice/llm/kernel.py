@@ -81,10 +81,7 @@ def shingles(texts: list[bytes], n: int, kind: np.ndarray = NOT_SPACE) -> list[n
         if b - a >= n:
             out.append(np.unique(grams[a : b - n + 1]))
         elif b > a:
-            part = np.full(1, U(b - a), np.uint64)
-            for j in range(b - a):
-                part += hashes[a + j] * _POSITION[j]
-            out.append(mix(part))
+            out.append(mix((hashes[a:b] * _POSITION[: b - a]).sum(keepdims=True) + U(b - a)))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
