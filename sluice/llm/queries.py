@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, fingerprint, langid, linededup, packing, sharding, toxicity
+from sluice.llm import decontaminate, fingerprint, langid, linededup, lmscore, packing, sharding, toxicity
 from sluice.llm.common import table
 
 
@@ -39,7 +39,11 @@ def op8_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"), n_shards=40)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op7_nnls_packing, op8_hilbert_sharding)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.scores(table(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op7_nnls_packing, op8_hilbert_sharding, op9_lm_scoring)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -71,5 +75,24 @@ WITH d AS (
 ), items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM found) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op9_lm_scoring": rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), t AS (
+  SELECT doc_id, i, w[i] AS w1, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS w2, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS w3,
+    CASE WHEN i > 1 THEN w[i - 1] END AS c1, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] END AS c2
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d)
+), n1 AS (SELECT w1, count(*) AS n FROM t GROUP BY w1), n2 AS (SELECT w2, count(*) AS n FROM t WHERE w2 IS NOT NULL GROUP BY w2),
+n3 AS (SELECT w3, count(*) AS n FROM t WHERE w3 IS NOT NULL GROUP BY w3), s AS (
+  SELECT t.doc_id,
+    CASE WHEN n3.n >= 2 THEN ln(n3.n / p2.n::DOUBLE)
+         WHEN n2.n >= 2 THEN ln(n2.n / p1.n::DOUBLE) + CASE WHEN i > 2 THEN ln(0.4::DOUBLE) ELSE 0 END
+         ELSE ln(n1.n / (SELECT count(*) FROM t)::DOUBLE) + least(i - 1, 2) * ln(0.4::DOUBLE) END AS log,
+    (i > 2 AND n3.n < 2 OR i = 2 AND n2.n < 2)::INT AS backed
+  FROM t JOIN n1 USING (w1) LEFT JOIN n2 USING (w2) LEFT JOIN n3 USING (w3) LEFT JOIN n1 p1 ON p1.w1 = t.c1 LEFT JOIN n2 p2 ON p2.w2 = t.c2
+), a AS (SELECT doc_id, sum(log) AS log, sum(backed) AS backed, count(*) AS n FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(backed, 0)::BIGINT AS n_backed_off, round(coalesce(log, 0), 4) AS log_score, round(log / n, 4) AS log_score_per_token
+FROM d LEFT JOIN a USING (doc_id)
 """,
 }
