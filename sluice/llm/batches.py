@@ -30,7 +30,14 @@ def squeeze(*arrays: np.ndarray) -> bytes:
     return zstandard.ZstdCompressor(1).compress(pickle.dumps(shuffled, protocol=5))
 
 
+def joined(*packed: bytes) -> bytes:
+    """Several squeezed lots as one."""
+    return pickle.dumps(packed, protocol=5)
+
+
 def unsqueeze(packed: bytes) -> list[np.ndarray]:
+    if packed[:4] != zstandard.FRAME_HEADER:
+        return [a for lot in pickle.loads(packed) for a in unsqueeze(lot)]
     out = []
     for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(packed)):
         width = np.dtype(kind).itemsize
@@ -48,8 +55,7 @@ def undeltas(gaps: np.ndarray) -> np.ndarray:
 
 def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     """Where each bucket of equal hash range begins (with the end as last)."""
-    step = np.uint64((1 << 64) // buckets + 1)
-    return np.append(np.searchsorted(sorted_hashes, np.arange(buckets, dtype=np.uint64) * step), len(sorted_hashes))
+    return np.append(np.searchsorted(sorted_hashes, kernel.even_bounds(buckets)), len(sorted_hashes))
 
 
 def stage(docs: DataFrame, what: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:

@@ -39,6 +39,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def even_bounds(n: int) -> np.ndarray:
+    """Where each of n equal ranges of 64-bit numbers begins."""
+    return np.arange(n, dtype=np.uint64) * U(min((1 << 64) // n + 1, (1 << 64) - 1))
+
+
 def joined(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, each followed by a line feed, and where each begins (with the end as last)."""
     starts = np.zeros(len(texts) + 1, np.int64)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, fingerprint, langid, linededup, lmscore, packing, sharding, toxicity
+from sluice.llm import decontaminate, fingerprint, jaccardjoin, langid, linededup, lmscore, packing, sharding, toxicity
 from sluice.llm.common import table
 
 
@@ -43,7 +43,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.scores(table(spark, sf_dir, "documents"), order=3, alpha=0.4, least=2)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op7_nnls_packing, op8_hilbert_sharding, op9_lm_scoring)}
+def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccardjoin.near_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op7_nnls_packing, op8_hilbert_sharding, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
