@@ -12,6 +12,7 @@ stays null; an empty table gives no pieces; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from sluice.llm.common import chunks, keyed, written
 #: str.split() and the tokenizers' white space differ in these.
 _ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries after which the words seen so far are forgotten.
+#: Entries after which no more are kept.
 CACHE = 500_000
 
 
@@ -38,10 +39,30 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        vocabulary = self.tokenizer.get_vocab()
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        if suffix:
+            self.ends[[i for word, i in vocabulary.items() if word.endswith(suffix)]] = True
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
+    def _each(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _encode(self, texts: list[str]) -> list[bytes]:
+        """Words of letters alone are encoded as one text and cut where a word's last id stands."""
+        words = [t for t in texts if t.isalpha()]
+        done: dict[str, bytes] = {}
+        for i in range(0, len(words), 2000):
+            block = words[i : i + 2000]
+            ids = self._each([" ".join(block)])[0]
+            ends = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
+            cuts = [0, *ends.tolist()]
+            whole = len(ends) == len(block) and cuts[-1] == len(ids)
+            done.update(zip(block, [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)] if whole else self._each(block), strict=True))
+        rest = [t for t in texts if t not in done]
+        done.update(zip(rest, self._each(rest), strict=True))
+        return [done[t] for t in texts]
+
     def _parts(self, chunk: str) -> tuple[str, ...]:
         """A word with ASCII punctuation after it is the word's ids, whatever its case, then the punctuation's."""
         core = chunk.rstrip(_MARKS)
@@ -52,14 +73,26 @@ class Encoder:
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids as little-endian 32-bit numbers."""
         split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
-        if len(self.known) > CACHE:
-            self.known.clear()
-        parts = {c: self._parts(c) for c in {c for s in split if s for c in s}.difference(self.known)}
-        new = list({p for x in parts.values() for p in x}.difference(self.known))
-        self.known.update(zip(new, self._encode(new), strict=True))
-        get = self.known.__getitem__
-        self.known.update({c: b"".join(map(get, x)) for c, x in parts.items()})
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        known = self.known
+        parts = {c: self._parts(c) for c in {c for s in split if s for c in s}.difference(known)}
+        new = list({p for x in parts.values() for p in x}.difference(known))
+        fresh = dict(zip(new, self._encode(new), strict=True))
+        for c, x in parts.items():
+            if c not in fresh:
+                fresh[c] = b"".join([known[p] if p in known else fresh[p] for p in x])
+        if len(known) < CACHE:
+            known.update(fresh)
+            fresh = known
+        else:
+            fresh = fresh | {c: known[c] for c in {c for s in split if s for c in s}.intersection(known)}
+        get = fresh.__getitem__
+        return [self._each([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One for each Python worker, which keeps the words it knows from task to task."""
+    return Encoder(path)
 
 
 def _tokenised(path: str, end_id: int):
@@ -69,7 +102,7 @@ def _tokenised(path: str, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, tail, pack = Encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(1).compress
+        encode, tail, pack = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(1).compress
         row = TaskContext.get().partitionId() << 33
         for batch in chunks(batches, 1 << 20):
             ids = [x + tail for x in encode([t or "" for t in batch.column("text").to_pylist()])]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sluice.llm import decontaminate, fingerprint, jaccardjoin, langid, linededup, lmscore, packing, sharding, toxicity
+from sluice.llm import decontaminate, fingerprint, jaccardjoin, langid, linededup, lmscore, packing, sharding, suffixdedup, toxicity
 from sluice.llm.common import table
 
 
@@ -29,6 +29,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10)
 
 
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixdedup.digest(table(spark, sf_dir, "documents"), length=50)
+
+
 def op7_nnls_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,7 +51,7 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccardjoin.near_components(table(spark, sf_dir, "documents"), words=3, num=90, den=100)
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op7_nnls_packing, op8_hilbert_sharding, op9_lm_scoring, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_language_id, op3_fingerprints, op4_line_dedup, op5_benchmark_decontamination, op6_suffix_array_dedup, op7_nnls_packing, op8_hilbert_sharding, op9_lm_scoring, op10_ngram_jaccard_join)}
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
