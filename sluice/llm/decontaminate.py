@@ -13,6 +13,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -199,8 +200,6 @@ def cut_spans(text: str | None, machines: list[Automaton], max_words: int, max_s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 10, max_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns as they were, with benchmark spans of at least `max_words` words cut out of text;
     documents of which more than `max_share` of the words are hit go. A null text stays as it is."""
-    import pandas as pd
-
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in automata(benchmark, window, block_words)]
 
