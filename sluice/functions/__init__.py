@@ -1 +1 @@
-
+"""Column expressions: patterns, validators and text helpers."""

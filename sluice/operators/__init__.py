@@ -1 +1 @@
-
+"""Operators over DataFrames of texts, page elements, sessions and ledgers."""

@@ -1 +1 @@
-
+"""Readers and writers: HTML pages, reports, session logs, artifacts."""
