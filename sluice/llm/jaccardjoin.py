@@ -47,7 +47,7 @@ class Bands:
         self.num, self.den, self.low, self.high, self.parts, self.slack = num, den, [], [], [], []
         low = 1
         while low < 1 << 32:
-            high = low * den // num
+            high = max(low * den // num, low * 21 // 20)  # near equality, or at it, bands still grow
             most = self.difference(2 * high)
             empty = math.exp(-(low + high) / 2 / (most + 1))
             slack = math.ceil(empty * most + 2 * math.sqrt(empty * most)) if most else 0
