@@ -181,9 +181,11 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
             for row in bt.rows(part):
                 ids, buf, starts = bt.load(row)
                 hashes, doc, _, _ = runs_of(buf, starts, length, seed)
+                if not len(hashes):
+                    continue
                 order = np.lexsort((ids[doc], hashes))
                 h, d = hashes[order], ids[doc][order]
-                first = np.flatnonzero(np.concatenate([np.ones(min(1, len(h)), bool), h[1:] != h[:-1]]))
+                first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
                 last = np.append(first[1:], len(h)) - 1
                 h, shared, n = h[first], d[first] != d[last], (last - first + 1).astype(np.uint32)
                 cut = bt.cuts(h, buckets)
