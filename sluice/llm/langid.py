@@ -55,7 +55,7 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
                 counts[lang] = counts.get(lang, 0) + np.bincount(trigrams(" ".join(texts)), minlength=1 << BITS)
         for lang, c in counts.items():
             at = np.flatnonzero(c)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "trigram", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(c[at], pa.int64())], ["lang", "trigram", "n"])
 
     rows = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text")).filter("lang is not null and text is not null")
     sums = rows.mapInArrow(counted, "lang string, trigram int, n long").groupBy("lang", "trigram").agg(F.sum("n").alias("n"))
