@@ -28,8 +28,9 @@ def forbidden_properties(json: Column) -> Column:
     """Forbidden keys anywhere in a JSON text but for the entries of privacy_summary, as a distinct array. Keys are
     found by their shape, a string before a colon, outside string values."""
     bare = F.regexp_replace(json, r'"privacy_summary"\s*:\s*\{[^{}]*\}', '"privacy_summary":0')
-    # Values go first: a string that a colon does not follow.
-    keys = F.regexp_extract_all(F.regexp_replace(bare, r'"(?:[^"\\]|\\.)*"(?!\s*:)', '""'), F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1))
+    # Strings are read one after the other, each with the colon that makes it a key.
+    tokens = F.regexp_extract_all(bare, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
+    keys = F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.regexp_replace(t, r'^"|"\s*:$', ""))
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.rlike(FORBIDDEN_PROPERTY))))
 
 

@@ -92,7 +92,7 @@ def round_trips(events: DataFrame, by: str, order: list[str], at: str, is_sent:
     w = Window.partitionBy(by).orderBy(*order)
     rows = events.filter(is_sent | is_back).withColumn("sent_", is_sent).withColumn("next_sent_", F.lead(is_sent).over(w)).withColumn("next_at_", F.lead(at).over(w))
     pairs = rows.filter(c("sent_") & ~c("next_sent_"))
-    return pairs.select(by, c(at).alias("sent_at"), c("next_at_").alias("back_at"), (F.unix_millis("next_at_") - F.unix_millis(at)).alias("elapsed_ms"))
+    return pairs.select(by, c(at).alias("sent_at"), c("next_at_").alias("back_at"), (F.unix_millis(c("next_at_").cast("timestamp")) - F.unix_millis(c(at).cast("timestamp"))).alias("elapsed_ms"))
 
 
 def top(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:

@@ -50,21 +50,21 @@ def task_values(task: Column) -> Column:
     for kind, name, link in _FIELDS:
         pattern = rf"(?i){EDGE}{name}\s*(?:{link})?\s*(?:\"([^\"]{{1,200}})\"|'([^']{{1,200}})'|([^,;\n]{{1,200}}?){_END})"
 
-        def value_of(x: Column, pattern: str = pattern) -> Column:
+        def value_of(x: Column, pattern: str) -> Column:
             groups = [F.nullif(F.regexp_extract(F.concat(x["value"]), pattern.replace(_END, "$"), i), F.lit("")) for i in (1, 2, 3)]
             raw = F.trim(F.coalesce(*groups, F.lit("")))
             return F.when(raw.endswith("."), F.rtrim(F.substring(raw, F.lit(1), F.length(raw) - 1))).otherwise(raw)
 
-        def place(x: Column, kind: str = kind) -> Column:
-            value = value_of(x)
+        def place(x: Column, kind: str, pattern: str) -> Column:
+            value = value_of(x, pattern)
             # The value's last occurrence in the match.
             at = F.length(x["value"]) - F.instr(F.reverse(x["value"]), F.reverse(value)) - F.length(value) + 1
             start = (x["start"] + at).cast("int")
             return F.struct(F.lit(kind).alias("kind"), value.alias("value"), start.alias("start"), (start + F.length(value)).cast("int").alias("stop"), F.substring(task, F.greatest(x["start"] - 39, F.lit(1)), F.least(x["start"], F.lit(40))).alias("before"))
 
         rows = F.filter(
-            F.transform(spans_of(task, pattern), place),
-            lambda v, kind=kind: (F.length(v["value"]) > 0) & ~v["value"].rlike("^LOCAL_[A-Z0-9_]+$") & _plausible(kind, v["value"]) & ~v["before"].rlike(_CLICKED),
+            F.transform(spans_of(task, pattern), lambda x: place(x, kind, pattern)),  # noqa: B023
+            lambda v: (F.length(v["value"]) > 0) & ~v["value"].rlike("^LOCAL_[A-Z0-9_]+$") & _plausible(kind, v["value"]) & ~v["before"].rlike(_CLICKED),  # noqa: B023
         )
         found.append(F.transform(rows, lambda v: F.struct(v["kind"].alias("kind"), v["value"].alias("value"), v["start"].alias("start"), v["stop"].alias("stop"))))
     by_start = lambda a, b: F.when(a["start"] > b["start"], -1).when(a["start"] < b["start"], 1).otherwise(0)

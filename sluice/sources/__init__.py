@@ -1 +1,123 @@
-"""Readers and writers: HTML pages, reports, session logs, artifacts."""
+"""Sources: page elements from HTML, images as data URLs, nested reports, and checked artifacts."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+ELEMENT = "page_id long, id string, tag string, role string, type string, text string, label string, value string, enabled boolean, visible boolean, options array<string>, dom_index int"
+_KEPT = frozenset("a button input select textarea option label h1 h2 h3 p li td th canvas img".split())
+_VOID = frozenset("input img br hr meta link".split())
+MOST_ELEMENTS = 2000
+
+
+class _Reader(HTMLParser):
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.rows: list[dict] = []
+        self.open: list[dict] = []
+        self.labels: dict[str, str] = {}
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if tag not in _KEPT:
+            return
+        a = dict(attrs)
+        row = {"tag": tag, "a": a, "text": [], "options": []}
+        if tag == "option" and self.open and self.open[-1]["tag"] == "select":
+            row["of"] = self.open[-1]
+        else:
+            self.rows.append(row)
+        if tag not in _VOID:
+            self.open.append(row)
+
+    def handle_endtag(self, tag: str) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            if self.open[i]["tag"] == tag:
+                for row in self.open[i:]:
+                    self._close(row)
+                del self.open[i:]
+                break
+
+    def _close(self, row: dict) -> None:
+        text = " ".join("".join(row["text"]).split())
+        if "of" in row:
+            row["of"]["options"].append(text)
+        if row["tag"] == "label" and row["a"].get("for"):
+            self.labels[row["a"]["for"]] = text
+
+    def handle_data(self, data: str) -> None:
+        for row in self.open[-3:]:
+            row["text"].append(data)
+
+    def elements(self) -> Iterator[tuple]:
+        for row in self.open:
+            self._close(row)
+        for i, row in enumerate(self.rows[:MOST_ELEMENTS]):
+            a = row["a"]
+            text = " ".join("".join(row["text"]).split())[:2000]
+            label = (a.get("aria-label") or self.labels.get(a.get("id") or "") or a.get("title") or a.get("placeholder") or "")[:500]
+            hidden = "hidden" in a or a.get("type") == "hidden"
+            yield (f"el_{i}", row["tag"], a.get("role"), a.get("type"), text or None, label or None, a.get("value"), "disabled" not in a, not hidden, row["options"][:500], i)
+
+
+def page_elements(pages: DataFrame) -> DataFrame:
+    """The elements of each page in document order, MOST_ELEMENTS at most, with the role that tag and type imply. Layout,
+    styles and shadow trees are not in static HTML. Null html has no elements; other columns are ignored."""
+    from sluice.operators.elements import inferred_role
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in ELEMENT.split(", ")]
+        for part in parts:
+            out = []
+            for page, html in zip(part["page_id"], part["html"], strict=True):
+                reader = _Reader()
+                reader.feed(html or "")
+                reader.close()
+                out += [(page, *row) for row in reader.elements()]
+            yield pd.DataFrame(out, columns=names)
+
+    read = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).filter("page_id is not null")
+    found = read.mapInPandas(run, ELEMENT)
+    return found.withColumn("role", inferred_role(F.col("role"), F.col("tag"), F.col("type")))
+
+
+def image_bytes(data_url: Column) -> Column:
+    """Bytes of a base64 PNG or JPEG data URL; null for any other text."""
+    pattern = r"^data:image/(?:png|jpeg);base64,([A-Za-z0-9+/]+={0,2})$"
+    return F.when(data_url.rlike(pattern), F.unbase64(F.regexp_extract(data_url, pattern, 1)))
+
+
+def checked_artifacts(files: DataFrame, manifest: DataFrame) -> DataFrame:
+    """name, found and intact of each artifact of a manifest (name, path, sha256) against binary files (path, content)."""
+    own = files.select("path", F.sha2("content", 256).alias("actual"))
+    return manifest.join(own, "path", "left").select("name", F.col("actual").isNotNull().alias("found"), F.col("actual").eqNullSafe(F.lower("sha256")).alias("intact"))
+
+
+def directory_bytes(files: DataFrame) -> DataFrame:
+    """Sum of the sizes of binary files (length)."""
+    return files.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
+def processes(lines: DataFrame, line: str = "value") -> DataFrame:
+    """pid, ppid, rss_bytes and cpu of the lines of a process list (pid ppid rss-in-KiB cpu command)."""
+    p = r"^\s*(\d+)\s+(\d+)\s+(\d+)\s+([0-9.]+)\s+(.*)$"
+    part = lambda i: F.regexp_extract(line, p, i)
+    return lines.filter(F.col(line).rlike(p)).select(part(1).cast("long").alias("pid"), part(2).cast("long").alias("ppid"), (part(3).cast("long") * 1024).alias("rss_bytes"), part(4).cast("double").alias("cpu"), part(5).alias("command"))
+
+
+def process_tree(found: DataFrame, root: int) -> DataFrame:
+    """The processes at and below a root, by a recursive query."""
+    found.createOrReplaceTempView("sluice_processes")
+    return found.sparkSession.sql(
+        f"WITH RECURSIVE tree(pid) AS (SELECT pid FROM sluice_processes WHERE pid = {int(root)} UNION ALL SELECT p.pid FROM sluice_processes p JOIN tree t ON p.ppid = t.pid) "
+        "SELECT p.* FROM sluice_processes p JOIN tree USING (pid)"
+    )
+
+
+def fresh(reports: DataFrame, at: str, main: Column, hours: int = 24) -> DataFrame:
+    """Reports made within `hours` of the main one."""
+    return reports.filter(F.abs(F.unix_millis(at) - F.unix_millis(main)) < hours * 3_600_000)
