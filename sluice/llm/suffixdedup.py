@@ -121,6 +121,14 @@ def _string_hashes(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return kernel.mix(np.add.reduceat(kernel._BYTE[text] * power[at], np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
 
 
+def _slices(keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 20):
+    """Cuts sorted keys into slices of about `most` bytes, none within a key."""
+    firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    before = (np.cumsum(sizes) - sizes)[firsts] // most
+    cut = [*firsts[np.flatnonzero(np.diff(before, prepend=-1))].tolist(), len(keys)] if len(keys) else []
+    return [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def _spans_of_bucket(length: int, seed: int):
     def run(key: tuple, sent: pa.Table) -> pa.Table:
         """For each batch, the spans to remove: document in the batch, first byte, end."""
@@ -145,10 +153,12 @@ def _spans_of_bucket(length: int, seed: int):
         hashes = seeds[spread].min(axis=1)
         _, back, repeats = np.unique(hashes, return_inverse=True, return_counts=True)
         several = np.flatnonzero(repeats[back] > 1)
-        if len(several):
-            piece = _gather(text, begin[sample[several]], sizes[sample[several]])
-            told = least_documents(piece, np.cumsum(sizes[sample[several]]), least[several], length)
-            answer[_gather(np.arange(len(answer)), own_begin[several], own[several])] = told
+        several = several[np.argsort(back[several], kind="stable")]
+        for part in _slices(back[several], sizes[sample[several]]):  # whole hashes at a time: a sort holds `length` bytes for each of theirs
+            some = several[part]
+            piece = _gather(text, begin[sample[some]], sizes[sample[some]])
+            told = least_documents(piece, np.cumsum(sizes[sample[some]]), least[some], length)
+            answer[_gather(np.arange(len(answer)), own_begin[some], own[some])] = told
         row = np.repeat(np.arange(len(doc)), windows)
         offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
         covered = answer[own_begin[string_of[row]] + offset] < doc[row]
@@ -173,8 +183,9 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
     """The staged documents, and for each batch the spans to remove as compressed arrays."""
     if not 0 < seed < length:
         raise ValueError("the seed is shorter than the window")
-    staged, total = bt.stage(docs, "suffix")
+    staged, total = bt.stage(docs, "suffix", 2 << 20)
     buckets = bt.bucket_count(total, 4 << 20)
+    fine = bt.bucket_count(total, 1 << 20)  # runs overlap, and sorting takes `length` bytes for each of theirs
 
     def ask(parts):
         for part in parts:
@@ -226,7 +237,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 key_, doc, begin, windows = hashes[level == 1], doc[level == 1], begin[level == 1], windows[level == 1]
             order = np.argsort(key_, kind="stable")
             key_, doc, begin, windows = key_[order], doc[order], begin[order], windows[order]
-            cut = bt.cuts(key_, buckets)
+            cut = bt.cuts(key_, fine)
             for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
                 if y > x:
                     bytes_ = _gather(buf, begin[x:y], windows[x:y] + length - 1)
