@@ -10,8 +10,8 @@ at least 1 + slack agree in two linked documents; a document with more empty par
 too, so one part that both send agrees. P depends on the size band; a band's largest partner lies in the next
 band, so a document joins in its own band and, if a partner can lie there, in the next one.
 
-Each group of equal parts is first joined to its least document, never pair by pair, and what is verified makes
-components. Groups that still span components are then searched for pairs between components whose bit
+Each group of equal parts is first joined to its least document, never pair by pair. Pairs whose whole-document bit
+sketches differ in more bits than D go; what is then verified makes components. Groups that still span components are then searched for pairs between components whose bit
 sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the symmetric difference) are near enough; these are
 verified too. So no link between components is lost.
 
@@ -36,6 +36,8 @@ from sluice.llm.components import components
 
 U = np.uint64
 PAIR = "a long, b long"
+SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary"
+SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch"]
 
 
 class Bands:
@@ -91,6 +93,23 @@ def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     return den * shared >= num * (len(both) - shared)
 
 
+def whole_sketch(u: np.ndarray) -> bytes:
+    """Bits, at least two for each shingle and a power of two in all, XOR-ed by hash. Halves XOR-ed give the next smaller sketch."""
+    bits = max(512, 1 << (2 * len(u) - 1).bit_length()) if len(u) else 512
+    odd = np.bincount((kernel.mix(u ^ U(0x2545F4914F6CDD1D)) & U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").tobytes()
+
+
+def may_link(a: bytes, b: bytes, total: int, num: int, den: int) -> bool:
+    """Whether the Hamming distance of two sketches allows a link of sets of `total` elements together."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum()) * (den + num) <= (den - num) * total
+
+
 def _set_hash(u: np.ndarray) -> bytes:
     return np.array([u.sum(dtype=np.uint64), np.bitwise_xor.reduce(kernel.mix(u)) if len(u) else 0], np.uint64).tobytes()
 
@@ -100,7 +119,7 @@ def _sizes(words: int):
         for part in parts:
             for batch in chunks([part]):
                 sets = kernel.shingles(utf8(batch.column("text")), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary())], ["doc_id", "n_shingles", "set_hash"])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array([whole_sketch(u) for u in sets], pa.binary())], SIZES_NAMES)
 
     return run
 
@@ -147,6 +166,19 @@ def _hubs(key: tuple, asked: pa.Table) -> pa.Table:
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
+def _unsettled(key: tuple, asked: pa.Table) -> pa.Table:
+    """Documents of the groups that span components even without their least document."""
+    payloads = asked.column("payload").to_pylist()
+    doc, source, place, begin = _grouped(payloads)
+    comps = [bt.unsqueeze(p)[3] for p in payloads]
+    starts = np.cumsum([0, *[len(x) for x in comps]])[:-1]
+    comp = np.concatenate(comps)[starts[source] + place]
+    sizes = np.diff(np.append(begin, len(doc)))
+    comp[begin[sizes > 1]] = comp[begin[sizes > 1] + 1]
+    mixed = np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)
+    return pa.table({"doc_id": pa.array(np.unique(doc[np.repeat(mixed, sizes)]))})
+
+
 def _across(bands: Bands):
     """Pairs between components within a group, near enough by size and Hamming distance."""
 
@@ -205,16 +237,31 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR)
 
 
+def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs whose sizes and sketches allow a link."""
+
+    def run(parts):
+        for part in parts:
+            for batch in chunks([part], column="sketch_a"):
+                cols = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "total")]
+                keep = [may_link(x, y, t, num, den) for x, y, t in zip(*cols, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge")
+    both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
+    return both.select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, PAIR)
+
+
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     bands = Bands(num, den)
     rows = keyed(docs, "text")
-    sizes = written(rows.mapInArrow(_sizes(words), "doc_id long, n_shingles long, set_hash binary"), "sizes")
+    sizes = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
     told = sizes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).collect()[0]
     rows = rows.filter("doc_id is not null")
     if told["n"] > told["ids"]:  # rows that share an id stand for their least text
         rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-        alone = written(rows.mapInArrow(_sizes(words), "doc_id long, n_shingles long, set_hash binary"), "sizes")
+        alone = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
     else:
         alone = sizes.filter("doc_id is not null")
     buckets = bt.bucket_count(told["s"], 1 << 20)
@@ -235,8 +282,9 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     to = copy.select(F.col("b").alias("doc_id"), F.col("a").alias("rep"))
     for side in ("a", "b"):
         found = found.join(to.hint("merge"), found[side] == to["doc_id"], "left").withColumn(side, F.coalesce("rep", side)).drop("doc_id", "rep")
-    pairs = written(found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
-    near = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+    met = written(found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
+    pairs = written(_sifted(met, alone, num, den), "pairs")
+    near = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
 
     def as_sets(parts):
         for part in parts:
@@ -244,32 +292,42 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
                 sets = kernel.shingles(utf8(batch.column("text")), words)
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], ["doc_id", "shingles"])
 
-    sets = written(rows.join(near.hint("merge"), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
-    links = written(_verified(pairs, sets, num, den).union(copy), "links")
+    def sets_of(pairs: DataFrame) -> DataFrame:
+        return written(rows.join(near(pairs).hint("merge"), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+
+    links = written(_verified(pairs, sets_of(pairs), num, den).union(copy), "links")
     parts = components(links)
 
-    # What is left: groups of equal parts that span components.
-    labelled = sets.join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    # What is left: groups of equal parts that span components, their least documents aside, as those have met the rest.
+    labelled = rows.join(near(met).hint("merge"), "doc_id", "left_semi").join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     fewer = bt.bucket_count(told["s"], 8 << 20)
 
-    def sketched(batches):
-        for part in batches:
-            for batch in chunks([part], column="shingles"):
-                ids, comps = batch.column("doc_id").to_pylist(), batch.column("component").to_numpy()
-                held = [np.frombuffer(x, np.uint64) for x in batch.column("shingles").to_pylist()]
-                first, sizes, words_, ends = [], [], [], [0]
-                for u in held:
-                    spread = bands.of(max(1, len(u)))
-                    first.append(spread[0]), sizes.append(len(u))
-                    for band in (spread[0], spread[0] + 1):
-                        words_.append(bit_sketch(u, band, bands) if band in spread else np.zeros(0, np.uint64))
-                        ends.append(ends[-1] + len(words_[-1]))
-                more = bt.squeeze(comps, np.array(sizes, np.int64), np.array(first, np.int32), np.concatenate(words_) if words_ else np.zeros(0, np.uint64), np.array(ends, np.int64))
-                out = [(b, bt.joined(p, more)) for b, p in _keys_sent(ids, held, bands, fewer)]
-                yield bt.as_batch(out, ["bucket", "payload"], [pa.int32(), pa.binary()])
-
-    rest = labelled.mapInArrow(sketched, "bucket int, payload binary").groupBy("bucket").applyInArrow(_across(bands), PAIR).distinct()
-    late = written(_verified(rest, sets, num, den), "late-links")
+    def sent_with(more):
+        def run(batches):
+            for part in batches:
+                for batch in chunks([part]):
+                    ids, comps = batch.column("doc_id").to_pylist(), batch.column("component").to_numpy()
+                    held = kernel.shingles(utf8(batch.column("text")), words)
+                    out = [(b, bt.joined(p, more(held, comps))) for b, p in _keys_sent(ids, held, bands, fewer)]
+                    yield bt.as_batch(out, ["bucket", "payload"], [pa.int32(), pa.binary()])
+
+        return run
+
+    def sketches(held: list[np.ndarray], comps: np.ndarray) -> bytes:
+        first, sizes, words_, ends = [], [], [], [0]
+        for u in held:
+            spread = bands.of(max(1, len(u)))
+            first.append(spread[0]), sizes.append(len(u))
+            for band in (spread[0], spread[0] + 1):
+                words_.append(bit_sketch(u, band, bands) if band in spread else np.zeros(0, np.uint64))
+                ends.append(ends[-1] + len(words_[-1]))
+        return bt.squeeze(comps, np.array(sizes, np.int64), np.array(first, np.int32), np.concatenate(words_) if words_ else np.zeros(0, np.uint64), np.array(ends, np.int64))
+
+    apart = labelled.mapInArrow(sent_with(lambda held, comps: bt.squeeze(comps)), "bucket int, payload binary").groupBy("bucket").applyInArrow(_unsettled, "doc_id long").distinct()
+    left = written(labelled.join(apart.hint("merge"), "doc_id", "left_semi"), "unsettled")
+    rest = left.mapInArrow(sent_with(sketches), "bucket int, payload binary").groupBy("bucket").applyInArrow(_across(bands), PAIR).distinct()
+    rest = written(_sifted(rest, alone, num, den), "rest")
+    late = written(_verified(rest, sets_of(rest), num, den), "late-links")
     if not late.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     own = sizes.select("doc_id", "n_shingles").join(parts.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
