@@ -13,7 +13,6 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -203,12 +202,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     spark = docs.sparkSession
     blocks = [spark.sparkContext.broadcast(b) for b in automata(benchmark, window, block_words)]
 
-    @F.pandas_udf("struct<text:string,gone:boolean>")
-    def cleaned(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machines = [Automaton(b.value, window) for b in blocks]
-        for texts in parts:
-            new = [cut_spans(t, machines, max_words, max_share) for t in texts]
-            yield pd.DataFrame({"text": new, "gone": [n is None and t is not None for n, t in zip(new, texts, strict=True)]})
+        for batch in chunks(batches):
+            old = batch.column("text").to_pylist()
+            new = [cut_spans(t, machines, max_words, max_share) for t in old]
+            place = batch.schema.get_field_index("text")
+            stays = pa.array([n is not None or t is None for n, t in zip(new, old, strict=True)], pa.bool_())
+            yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type)).filter(stays)
 
-    out = docs.withColumn("cleaned_", cleaned(F.col("text").cast("string")))
-    return out.filter("not cleaned_.gone").withColumn("text", F.col("cleaned_.text")).select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)

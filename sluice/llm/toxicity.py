@@ -50,7 +50,7 @@ class Model:
         """Score of each sentence, those of no words included."""
         tokens = TOKEN.findall((text or "").lower())
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 300_000:
             known.clear()
         for t in set(tokens).difference(known):
             known[t] = np.nan if t in STOPS else self.word(t)
@@ -194,8 +194,12 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
 
 def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """The documents that score below the threshold, all columns as they were."""
-    score = F.pandas_udf(lambda s: s.map(model.score), "double")
-    return docs.filter(score(F.coalesce(F.col("text").cast("string"), F.lit(""))) < threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            yield batch.filter(pa.array([model.score(t) < threshold for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
