@@ -183,7 +183,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
     """The staged documents, and for each batch the spans to remove as compressed arrays."""
     if not 0 < seed < length:
         raise ValueError("the seed is shorter than the window")
-    staged, total = bt.stage(docs, "suffix", 2 << 20)
+    staged, total = bt.stage(docs, "suffix", 1 << 20)
     buckets = bt.bucket_count(total, 4 << 20)
     fine = bt.bucket_count(total, 1 << 20)  # runs overlap, and sorting takes `length` bytes for each of theirs
 
