@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel
-from sluice.llm.common import chunks, keyed, written
+from sluice.llm.common import keyed, utf8, written
 
 NO_ID = -(1 << 63)
 BATCH_BYTES = 1 << 22
@@ -25,9 +25,10 @@ STAGED = "batch long, ids binary, sizes binary, bytes long, blob binary"
 
 
 def squeeze(*arrays: np.ndarray) -> bytes:
-    """Arrays, bytes of equal weight side by side, compressed."""
-    shuffled = [(a.dtype.str, np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()) for a in arrays]
-    return zstandard.ZstdCompressor(1).compress(pickle.dumps(shuffled, protocol=5))
+    """Arrays, bytes of equal weight side by side and each weight compressed by itself."""
+    pack = zstandard.ZstdCompressor(1).compress
+    planes = [(a.dtype.str, [pack(p.tobytes()) for p in np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T]) for a in arrays]
+    return pickle.dumps(planes, protocol=5)
 
 
 def joined(*packed: bytes) -> bytes:
@@ -36,13 +37,11 @@ def joined(*packed: bytes) -> bytes:
 
 
 def unsqueeze(packed: bytes) -> list[np.ndarray]:
-    if packed[:4] != zstandard.FRAME_HEADER:
-        return [a for lot in pickle.loads(packed) for a in unsqueeze(lot)]
-    out = []
-    for kind, raw in pickle.loads(zstandard.ZstdDecompressor().decompress(packed)):
-        width = np.dtype(kind).itemsize
-        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).view(kind).ravel())
-    return out
+    found = pickle.loads(packed)
+    if isinstance(found, tuple):
+        return [a for lot in found for a in unsqueeze(lot)]
+    unpack = zstandard.ZstdDecompressor().decompress
+    return [np.stack([np.frombuffer(unpack(p), np.uint8) for p in planes], axis=1).view(kind).ravel() for kind, planes in found]
 
 
 def deltas(sorted_hashes: np.ndarray) -> np.ndarray:
@@ -58,22 +57,39 @@ def cuts(sorted_hashes: np.ndarray, buckets: int) -> np.ndarray:
     return np.append(np.searchsorted(sorted_hashes, kernel.even_bounds(buckets)), len(sorted_hashes))
 
 
-def stage(docs: DataFrame, what: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
-    """The documents as staged batches, and their bytes in all. Null texts are empty, null ids the least number."""
+def cut(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The documents as batches of about `batch_bytes` bytes. Null texts are empty, null ids the least number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        at, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(3).compress
-        for batch in chunks(batches, batch_bytes):
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
-            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
+        at, pack = TaskContext.get().partitionId() << 32, zstandard.ZstdCompressor(9).compress
+        ids: list[int] = []
+        texts: list[bytes] = []
+
+        def packed() -> pa.RecordBatch:
             blob = b"".join(texts)
-            row = [at, squeeze(ids), squeeze(np.array([len(t) for t in texts], np.uint32)), len(blob), pack(blob)]
-            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, (pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()), strict=True)], ["batch", "ids", "sizes", "bytes", "blob"])
-            at += 1
+            row = (at, squeeze(np.array(ids, np.int64)), squeeze(np.array([len(t) for t in texts], np.uint32)), len(blob), pack(blob))
+            ids.clear(), texts.clear()
+            return as_batch([row], ["batch", "ids", "sizes", "bytes", "blob"], [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary()])
+
+        held = 0
+        for batch in batches:
+            for doc, text in zip(batch.column("doc_id").fill_null(NO_ID).to_pylist(), utf8(batch.column("text")), strict=True):
+                if texts and held + len(text) > batch_bytes:
+                    yield packed()
+                    at, held = at + 1, 0
+                ids.append(doc), texts.append(text)
+                held += len(text)
+        if texts:
+            yield packed()
 
-    staged = written(keyed(docs, "text").mapInArrow(run, STAGED), what)
+    return keyed(docs, "text").mapInArrow(run, STAGED)
+
+
+def stage(docs: DataFrame, what: str, batch_bytes: int = BATCH_BYTES) -> tuple[DataFrame, int]:
+    """The batches, written to the shared folder, and their bytes in all."""
+    staged = written(cut(docs, batch_bytes), what)
     return staged, staged.agg(F.coalesce(F.sum("bytes"), F.lit(0))).collect()[0][0]
 
 

@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 LARGE_TEXT = 1 << 22
+#: Bytes of a record batch between the JVM and Python; Spark's own 64 MB stand in both at once, for each task.
+LOT_BYTES = 1 << 22
+
+
+def small_lots(spark: SparkSession) -> None:
+    """Rows reach Python in record batches of some megabytes (a longer row stands alone)."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(LOT_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_lots(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +49,7 @@ def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
 
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as long and the named string columns; missing ids stay null, other columns are left behind."""
+    small_lots(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in columns])
 
 

@@ -45,7 +45,8 @@ def batch_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2) -> DataFrame:
     """doc_id, n_tokens, n_backed_off, log_score (natural, summed) and log_score_per_token of every document."""
-    staged, total = bt.stage(docs, "lm")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).collect()[0][0]
+    staged = bt.cut(docs).repartition("batch")  # both uses below share this one exchange
     buckets = bt.bucket_count(total, 4 << 20)
 
     def ask(parts):
