@@ -121,7 +121,7 @@ def _string_hashes(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return kernel.mix(np.add.reduceat(kernel._BYTE[text] * power[at], np.cumsum(sizes) - sizes) + sizes.astype(np.uint64))
 
 
-def _slices(keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 20):
+def _slices(keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 18):
     """Cuts sorted keys into slices of about `most` bytes, none within a key."""
     firsts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
     before = (np.cumsum(sizes) - sizes)[firsts] // most
