@@ -4,7 +4,8 @@ Each byte covered by a `length`-byte string that also starts in a document with
 UTF-8; matches never cross documents; strings are judged on the input.
 
 Every `length`-byte window belongs to the least hash of the `seed`-byte strings in it, a rule that depends on its bytes
-alone, so all occurrences of a window belong to the same hash. Consecutive windows of one hash make a run. First,
+alone, so all occurrences of a window belong to the same hash. Consecutive windows of one hash make a run, sent in
+pieces of at most `RUN_WINDOWS` windows. First,
 hashes that occur in one document alone are set aside; then the runs of the others meet in buckets by hash. In a
 bucket, equal runs become one string that keeps its least document, so copies cost one string. Where a hash has several strings, their suffixes are sorted to
 `length` bytes and give a Burrows-Wheeler transform. From the empty string on, breadth first, backward extension of
@@ -30,6 +31,8 @@ from sluice.llm import kernel
 SEPARATOR = 0xFF  # never a byte of UTF-8
 #: Runs of one hash beyond which its windows are dealt out one by one.
 HOT_RUNS = 4096
+#: Windows of one run as it is sent, with their number as uint16. Periodic text is one run without end.
+RUN_WINDOWS = 4096
 U = np.uint64
 
 
@@ -114,6 +117,14 @@ def _gather(buf: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray
     return buf[at + np.repeat(begin, sizes)]
 
 
+def _short_runs(doc: np.ndarray, begin: np.ndarray, windows: np.ndarray, most: int = RUN_WINDOWS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs cut to at most `most` windows each: the run each comes from, document, first byte and number of windows."""
+    pieces = -(-windows // most)
+    of = np.repeat(np.arange(len(windows)), pieces)
+    skip = (np.arange(len(of)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * most
+    return of, doc[of], begin[of] + skip, np.minimum(windows[of] - skip, most)
+
+
 def _string_hashes(text: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Hash of each of some concatenated strings, none empty."""
     at = np.arange(len(text)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -235,6 +246,8 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 doc, begin, windows = np.concatenate([doc[rest], owner]), np.concatenate([begin[rest], many]), np.concatenate([windows[rest], np.ones(len(many), np.int64)])
             else:
                 key_, doc, begin, windows = hashes[level == 1], doc[level == 1], begin[level == 1], windows[level == 1]
+            of, doc, begin, windows = _short_runs(doc, begin, windows)
+            key_ = key_[of]
             order = np.argsort(key_, kind="stable")
             key_, doc, begin, windows = key_[order], doc[order], begin[order], windows[order]
             cut = bt.cuts(key_, fine)

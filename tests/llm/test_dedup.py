@@ -112,6 +112,14 @@ def test_suffix_against_brute_force(spark, length, seed, hot):
     assert sum(r[2] for r in found) > 0
 
 
+def test_suffix_of_very_long_periodic_texts(spark):
+    """Runs of more windows than two bytes can count: copies, another phase, and a short stretch elsewhere."""
+    long = "word " * 30_000
+    rows = [cases.row(1, long), cases.row(2, long), cases.row(3, "x" + long[2:]), cases.row(4, "-" * 70_000), cases.row(5, "ends in " + "-" * 60)]
+    found = got(suffixdedup.digest(cases.frame(spark, rows)), *SUFFIX)
+    assert found == brute_suffix(rows, 50)
+
+
 def test_suffix_of_odd_tables(spark):
     assert suffixdedup.digest(cases.empty(spark)).count() == 0
     found = suffixdedup.digest(cases.odd(spark), 50).collect()
