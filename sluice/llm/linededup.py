@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.llm.common import chunks, keyed, written
@@ -49,13 +49,13 @@ def _lines(min_chars: int):
 def _streamed(min_docs: int):
     """Rows come sorted by key, document from the largest, and position. A key's run that touches neither end of the
     partition is decided at once. The first and last runs may go on in a neighbour: their rows go out as pending, with
-    a summary of each run."""
+    a summary of each run: its first document and position, number of documents, and last document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         key = last_doc = None
         run_no = n_docs = 0
-        most = None
+        most = begin = None
         held: list[tuple[int, int]] = []  # rows of the run that are not yet decided
         pending = True
 
@@ -63,31 +63,31 @@ def _streamed(min_docs: int):
             if key is None:
                 return
             if edge:
-                out.append(("run", key, most, 0, n_docs))
-                out.extend(("pending", key, d, p, 0) for d, p in held)
+                out.append(("run", key, most, begin, n_docs, last_doc))
+                out.extend(("pending", key, d, p, 0, None) for d, p in held)
             elif n_docs >= min_docs:
-                out.extend(("drop", None, d, p, 0) for d, p in held)
+                out.extend(("drop", None, d, p, 0, None) for d, p in held)
             held.clear()
 
         def flush() -> pa.RecordBatch:
             cols = list(zip(*out, strict=True))
             out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["kind", "key", "doc", "pos", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["kind", "key", "doc", "pos", "n", "last"])
 
         for batch in batches:
             for k, d, p in zip(*(batch.column(c).to_pylist() for c in ("key", "doc", "pos")), strict=True):
                 if k != key:
                     close(edge=run_no == 1)
-                    key, last_doc, most, n_docs, run_no = k, None, d, 0, run_no + 1
+                    key, last_doc, most, begin, n_docs, run_no = k, None, d, p, 0, run_no + 1
                     pending = run_no == 1
                 if d != last_doc:
                     n_docs, last_doc = n_docs + 1, d
                 if pending:  # the first run keeps every row for a later decision, streamed out as it comes
-                    out.append(("pending", k, d, p, 0))
+                    out.append(("pending", k, d, p, 0, None))
                 elif d != most:
                     held.append((d, p))
                     if n_docs >= min_docs:
-                        out.extend(("drop", None, x, y, 0) for x, y in held)
+                        out.extend(("drop", None, x, y, 0, None) for x, y in held)
                         held.clear()
                 if len(out) >= 50_000:
                     yield flush()
@@ -105,11 +105,13 @@ def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Dat
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("key"), F.col("doc").desc(), F.col("pos")]
     found = written(
-        lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_streamed(min_docs), "kind string, key binary, doc long, pos int, n long"),
+        lines.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(_streamed(min_docs), "kind string, key binary, doc long, pos int, n long, last long"),
         "lines",
     )
     # A partition has at most two edge runs, so there are at most twice as many summaries as partitions.
-    runs = found.filter("kind = 'run'").groupBy("key").agg(F.sum("n").alias("docs"), F.max("doc").alias("most"))
+    # A document whose lines of a key go on in the next run is counted in both: once too often.
+    again = F.coalesce(F.lag("last").over(Window.partitionBy("key").orderBy(F.desc("doc"), "pos")) == F.col("doc"), F.lit(False)).cast("long")
+    runs = found.filter("kind = 'run'").withColumn("again", again).groupBy("key").agg(F.sum(F.col("n") - F.col("again")).alias("docs"), F.max("doc").alias("most"))
     late = found.filter("kind = 'pending'").join(F.broadcast(runs.filter(F.col("docs") >= min_docs)), "key").filter("doc != most")
     dropped = found.filter("kind = 'drop'").select("doc", "pos").unionByName(late.select("doc", "pos"))
     return (

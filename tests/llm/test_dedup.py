@@ -62,6 +62,17 @@ def test_one_line_with_most_rows(spark):
     assert found == brute_lines(rows)
 
 
+def test_one_document_with_most_rows(spark):
+    """A line that one document repeats over several range partitions counts that document once."""
+    line = "the same long line of text, again and again and again"
+    rows = [cases.row(1, f"{line}\none"), cases.row(2, f"{line}\n" * 20_000), cases.row(3, "\n".join(f"a line of its own, number {i} of the others" for i in range(2000)))]
+    found = got(linededup.line_digest(cases.frame(spark, rows)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert found == brute_lines(rows) and not any(r[2] for r in found)
+    rows += [cases.row(i, line) for i in (-7, -8, 4)]
+    found = got(linededup.line_digest(cases.frame(spark, rows)), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert found == brute_lines(rows) and sum(r[2] for r in found) == 20_003
+
+
 def test_lines_of_odd_tables(spark):
     assert linededup.line_digest(cases.empty(spark)).count() == 0
     docs = cases.odd(spark)
