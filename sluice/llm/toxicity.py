@@ -2,11 +2,12 @@
 documents, and then point at the offending sentences.
 
 A sentence's score is the logistic of a bias and the weights of its words; a word's weight is the sum of the weights
-of its features, the word itself and its beginnings. score(document) = 1 - prod(1 - score(sentence)). Texts are read
+of its features, the word itself and its beginnings. score(document) = 1 - prod(1 - excess(sentence)), the excess being
+what a sentence's score has above that of the bias alone: sentences without evidence say nothing, however many. Texts are read
 whole. Labels train on a bounded sample of `sample` labelled documents, the least by hash of doc_id.
 
 Defined cases: null or empty text is one sentence without words; labels that are null are ignored, of repeated ones the
-largest counts; without labels every score is 0.5 to the power of nothing learnt (the bias alone); repeated rows are
+largest counts; without labels every document's score is 0 and every sentence's that of the bias alone; repeated rows are
 scored one by one; other columns are kept by `reject` and ignored elsewhere.
 """
 
@@ -62,8 +63,13 @@ class Model:
         used[0] |= not used.any()
         return 1 / (1 + np.exp(-np.clip(total[used] + self.bias, -30, 30)))
 
+    def combined(self, sentences: np.ndarray) -> float:
+        """Score of a document from those of its sentences."""
+        alone = 1 / (1 + np.exp(-np.clip(self.bias, -30, 30)))
+        return noisy_or(np.maximum(sentences - alone, 0) / (1 - alone))
+
     def score(self, text: str | None) -> float:
-        return noisy_or(self.sentences(text))
+        return self.combined(self.sentences(text))
 
 
 def noisy_or(p: np.ndarray) -> float:
@@ -181,7 +187,7 @@ def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             each = [model.sentences(t) for t in batch.column("text").to_pylist()]
-            total = [noisy_or(p) for p in each]
+            total = [model.combined(p) for p in each]
             columns = [
                 batch.column("doc_id"), batch.column("held_out"), pa.array(total), pa.array([int(s >= threshold) for s in total], pa.int32()),
                 pa.array([len(p) for p in each], pa.int32()), pa.array([int(p.argmax()) for p in each], pa.int32()), pa.array([float(p.max()) for p in each]),

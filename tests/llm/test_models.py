@@ -66,6 +66,13 @@ def test_noisy_or():
     assert len(m.sentences("")) == len(m.sentences(None)) == len(m.sentences("...")) == 1
 
 
+def test_sentences_without_evidence_say_nothing():
+    m = toxicity.Model({f: 3.0 for f in toxicity.word_features("snarkwit")}, -5.0)
+    clean = "Fine text. " * 100_000
+    assert m.score(clean) < 1e-6 and m.score(None) < 1e-6
+    assert m.score(clean + "You snarkwit!") >= 0.5 and math.isclose(m.score(clean + "You snarkwit!"), m.score("You snarkwit!"), rel_tol=1e-6)
+
+
 def test_toxicity_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(cases.odd(spark), none)

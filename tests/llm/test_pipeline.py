@@ -70,6 +70,15 @@ def test_stages_by_brute_force(spark, base):
     assert {r["doc_id"] for r in packed} == set(after)
 
 
+def test_long_clean_document_without_label(spark, base):
+    """A clean document of 30,000 words stays though the labels are of short ones only."""
+    docs = table(spark, base, "documents")
+    model = toxicity.train(docs, table(spark, base, "labels").filter("doc_id >= 5000"))
+    kept = {r["doc_id"] for r in toxicity.reject(docs, model).collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    assert max(texts, key=lambda d: len(texts[d])) in kept and kept == {d for d, t in texts.items() if "snarkwit" not in t}
+
+
 def test_whole_run(spark, base):
     assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "packing"]
     assert corpus_pipeline.run(spark, base).count() > 0
