@@ -82,6 +82,18 @@ def test_lines_of_odd_tables(spark):
     assert {r["key"] for r in kept.collect()} == {"clash"}
 
 
+def test_lines_of_rows_that_share_an_id(spark):
+    """Null and repeated ids: each row loses its own repeated lines, not those of another."""
+    line = "the same long line of text in every one of them"
+    rows = [cases.row(i, f"{line}\nnumber {i}") for i in range(6)]
+    rows += [cases.row(d, t) for d in (None, 2) for t in (f"{line}\nits first", f"a line of its own, long enough to count as such\n{line}", "all its own\nand this\nand that", f"{line}\nits first")]
+    told = [(linededup.NO_ID if d is None else d, *rest) for d, *rest in rows]
+    found = got(linededup.line_digest(cases.frame(spark, rows)).fillna(linededup.NO_ID, ["doc_id"]), "doc_id", "n_lines", "n_dropped", "kept_sha256")
+    assert found == brute_lines(told)
+    kept = linededup.drop_lines(cases.frame(spark, rows)).fillna(linededup.NO_ID, ["doc_id"])
+    assert sorted((r["doc_id"], sha(r["text"])) for r in kept.collect()) == sorted((d, s) for d, _, _, s in brute_lines(told))
+
+
 def test_bitmaps_round_trip():
     gone = [0, 3, 9, 17]
     keep = linededup.unpack(linededup.pack(gone), 40)
