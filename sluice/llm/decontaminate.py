@@ -3,8 +3,9 @@
 A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A document word
 inside any occurrence of a window is hit.
 
-Defined cases: null texts have no words; an item without words has no window; repeated item ids count once; an empty
-benchmark hits nothing; every row of documents gives one row; other columns are ignored.
+Defined cases: null texts have no words; an item without words has no window; repeated item ids count once; items without
+an id hit as others do and count as one item, which the list of ids leaves out; an empty benchmark hits nothing; every row
+of documents gives one row; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,13 +17,18 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
+from pyspark.sql.types import StructType
 
-from sluice.llm.common import chunks, keyed
+from sluice.llm.common import chunks, keyed, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
 #: Words of benchmark text in one automaton; a larger benchmark is cut into blocks of whole items, each streamed in turn.
 BLOCK_WORDS = 1_000_000
+#: What the blocks before the last have hit: spans and items of each row.
+HITS = "hits_"
+HITS_TYPE = pa.struct({"begin": pa.list_(pa.int64()), "end": pa.list_(pa.int64()), "items": pa.list_(pa.string())})
 
 
 def words_of(text: str | None) -> list[str]:
@@ -34,7 +40,7 @@ class Automaton:
     its suffix link; `ends` has the items with a window that ends at a state's strings of window length or, for items
     shorter than that, whose whole sequence is a string of the state."""
 
-    def __init__(self, items: list[tuple[str, list[str]]], window: int):
+    def __init__(self, items: list[tuple[str | None, list[str]]], window: int):
         self.next: list[dict[str, int]] = [{}]
         self.link, self.len, self.window = [-1], [0], window
         whole: dict[int, dict[int, set[str]]] = {}
@@ -126,10 +132,10 @@ class Automaton:
         return found, items
 
 
-def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str, list[str]]]]:
+def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS) -> Iterator[list[tuple[str | None, list[str]]]]:
     """The benchmark's items in blocks of at most `block_words` words (or one item), so that none is large."""
     block, size = [], 0
-    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).filter("item is not null").toLocalIterator():
+    for row in benchmark.select(F.col("item_id").cast("string").alias("item"), F.col("text").cast("string").alias("text")).toLocalIterator():
         sequence = words_of(row["text"])
         if block and size + len(sequence) > block_words:
             yield block
@@ -140,53 +146,97 @@ def automata(benchmark: DataFrame, window: int, block_words: int = BLOCK_WORDS)
         yield block
 
 
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order; those that meet are one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(batch: pa.RecordBatch, machine: Automaton | None) -> Iterator[tuple[int, list[tuple[int, int]], set[str | None]]]:
+    """Number of words, merged spans and items of each row, those of earlier blocks included."""
+    told = batch.column(HITS).to_pylist() if HITS in batch.schema.names else [None] * batch.num_rows
+    for text, hits in zip(batch.column("text").to_pylist(), told, strict=True):
+        sequence = words_of(text)
+        spans, items = machine.spans(sequence) if machine else ([], set())
+        if hits:
+            spans, items = spans + list(zip(hits["begin"], hits["end"], strict=True)), items | set(hits["items"])
+        yield len(sequence), _merged(spans), items
+
+
+def _swept(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int):
+    """The documents with the column of hits of all blocks but the last, and the broadcast of the last (None of none).
+
+    Each block before the last is broadcast alone, for one pass that writes the documents with what was hit so far; then
+    its broadcast and the pass before are given up. The driver holds two blocks at most, a Python worker one automaton."""
+    spark, blocks, given = docs.sparkSession, automata(benchmark, window, block_words), docs
+    block = next(blocks, None)
+    for following in blocks:
+        sent = spark.sparkContext.broadcast(block)
+        swept = written(docs.mapInArrow(_sweep(sent, window), _with_hits(docs)), "swept")
+        sent.destroy()
+        if docs is not given:
+            _removed(docs)
+        docs, block = swept, following
+    return docs, spark.sparkContext.broadcast(block) if block is not None else None
+
+
+def _with_hits(docs: DataFrame) -> StructType:
+    own = StructType([f for f in docs.schema.fields if f.name != HITS])
+    return own.add(HITS, from_arrow_type(HITS_TYPE))
+
+
+def _sweep(sent, window: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        machine = Automaton(sent.value, window)
+        for batch in chunks(batches):
+            hits = [{"begin": [a for a, _ in s], "end": [b for _, b in s], "items": list(i)} for _, s, i in _hits(batch, machine)]
+            own = [c for c in batch.schema.names if c != HITS]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(hits, HITS_TYPE)], [*own, HITS])
+
+    return run
+
+
+def _removed(swept: DataFrame) -> None:
+    """Give up the files of a pass."""
+    spark = swept.sparkSession
+    for name in swept.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document.
 
     The automaton of a block of items is built once in each Python worker from a broadcast of at most `block_words`
-    words. Blocks are streamed one after the other over the same documents; what they hit is merged per document.
+    words. Blocks are streamed one after the other over the same documents; what they hit is merged per row.
     """
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in automata(benchmark, window, block_words)]
+    swept, block = _swept(keyed(docs, "text"), benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, window) for b in blocks]
+        machine = Automaton(block.value, window) if block else None
         for batch in chunks(batches):
             rows = []
-            for text in batch.column("text").to_pylist():
-                sequence = words_of(text)
-                spans, items = [], set()
-                for machine in machines:
-                    s, i = machine.spans(sequence)
-                    spans += s
-                    items |= i
-                hit = end = 0
-                for a, b in sorted(spans):
-                    hit += max(0, b - max(a, end))
-                    end = max(end, b)
-                rows.append((len(sequence), hit, len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), hit > 0))
+            for n_words, spans, items in _hits(batch, machine):
+                hit = sum(b - a for a, b in spans)
+                ids = sorted(i for i in items if i is not None)
+                rows.append((n_words, hit, len(items), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0))
             cols = list(zip(*rows, strict=True))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_()), strict=True)]], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
-    return keyed(docs, "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
+    return swept.mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean")
 
 
-def cut_spans(text: str | None, machines: list[Automaton], max_words: int, max_share: float) -> str | None:
+def cut_spans(text: str | None, merged: list[tuple[int, int]], max_words: int, max_share: float) -> str | None:
     """The text without its hit spans of at least `max_words` words; null if hits cover more than `max_share` of its words."""
-    if not text:
+    if not text or not merged:
         return text
     at = [(m.start(), m.end()) for m in WORD.finditer(text.translate(_LOWER))]
-    sequence = words_of(text)
-    spans = sorted(s for machine in machines for s in machine.spans(sequence)[0])
-    merged: list[list[int]] = []
-    for a, b in spans:
-        if merged and a <= merged[-1][1]:
-            merged[-1][1] = max(b, merged[-1][1])
-        else:
-            merged.append([a, b])
-    if not merged:
-        return text
-    if sum(b - a for a, b in merged) > max_share * len(sequence):
+    if sum(b - a for a, b in merged) > max_share * len(at):
         return None
     out, end = [], 0
     for a, b in merged:
@@ -199,16 +249,16 @@ def cut_spans(text: str | None, machines: list[Automaton], max_words: int, max_s
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_words: int = 10, max_share: float = 0.5, block_words: int = BLOCK_WORDS) -> DataFrame:
     """The documents, all columns as they were, with benchmark spans of at least `max_words` words cut out of text;
     documents of which more than `max_share` of the words are hit go. A null text stays as it is."""
-    spark = docs.sparkSession
-    blocks = [spark.sparkContext.broadcast(b) for b in automata(benchmark, window, block_words)]
+    swept, block = _swept(docs, benchmark, window, block_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machines = [Automaton(b.value, window) for b in blocks]
+        machine = Automaton(block.value, window) if block else None
         for batch in chunks(batches):
             old = batch.column("text").to_pylist()
-            new = [cut_spans(t, machines, max_words, max_share) for t in old]
+            new = [cut_spans(t, spans, max_words, max_share) for t, (_, spans, _) in zip(old, _hits(batch, machine), strict=True)]
             place = batch.schema.get_field_index("text")
             stays = pa.array([n is not None or t is None for n, t in zip(new, old, strict=True)], pa.bool_())
-            yield batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type)).filter(stays)
+            cut = batch.set_column(place, batch.schema.field(place), pa.array(new, batch.schema.field(place).type)).filter(stays)
+            yield cut.select([c for c in cut.schema.names if c != HITS])
 
-    return docs.mapInArrow(run, docs.schema)
+    return swept.mapInArrow(run, docs.schema)

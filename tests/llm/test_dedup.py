@@ -286,6 +286,46 @@ def test_decontamination_cuts_spans(spark):
     assert ITEM not in kept[1]["text"] and clean.strip() in kept[1]["text"] and kept[1]["key"] == "clash"
 
 
+def test_decontamination_by_items_without_id(spark):
+    """They hit and are cut; together they count as one item, which the list of ids leaves out."""
+    other = "a second passage that has no id either and stands in one document of this little table"
+    texts = [f"Before. {ITEM}. After", f"Before. {other}. {ITEM}. After", other, "nothing of them"]
+    docs = cases.frame(spark, [cases.row(i, t) for i, t in enumerate(texts)])
+    bench = spark.createDataFrame([(None, other), (None, ITEM), (7, ITEM)], "item_id long, text string")
+    told = {r["doc_id"]: r for r in brute_told(texts, [(None, other), (None, ITEM), (7, ITEM)])}
+    for block in (1_000_000, 5):
+        found = {r["doc_id"]: r for r in decontaminate.contamination(docs, bench, 10, block).collect()}
+        assert {d: (r["n_hit"], r["n_items"], r["items_sha256"]) for d, r in found.items()} == {d: (r["n_hit"], r["n_items"], r["items_sha256"]) for d, r in told.items()}
+        kept = {r["doc_id"]: r["text"] for r in decontaminate.decontaminate(docs, bench, 10, 1, 0.95, block).collect()}
+        assert sorted(kept) == [0, 1, 3] and not any(x in t for t in kept.values() for x in (ITEM, other)) and kept[3] == texts[3]
+
+
+def brute_told(texts, items):
+    """As SQL has it: windows of each item, null ids as one item without a place in the list."""
+    rows = brute_windows([(i, t) for i, t in enumerate(texts)], [("null" if i is None else i, t) for i, t in items])
+    lists = {d: sorted({str(i) for i, t in items if i is not None and brute_windows([(0, texts[d])], [(i, t)])[0][5]}) for d, *_ in rows}
+    return [{"doc_id": d, "n_hit": hit, "n_items": n, "items_sha256": sha(",".join(lists[d]))} for d, _, hit, n, _, _ in rows]
+
+
+def test_blocks_are_broadcast_in_turn(spark, monkeypatch):
+    """No block of the benchmark is broadcast while another is."""
+    from pyspark import SparkContext
+    from pyspark.core.broadcast import Broadcast
+
+    live, most, send, end = set(), [], SparkContext.broadcast, Broadcast.destroy
+
+    def sent(self, value):
+        made = send(self, value)
+        live.add(id(made)), most.append(len(live))
+        return made
+
+    monkeypatch.setattr(SparkContext, "broadcast", sent)
+    monkeypatch.setattr(Broadcast, "destroy", lambda self, *a: (live.discard(id(self)), end(self, *a)))
+    bench = spark.createDataFrame([(i, f"{ITEM} {i}") for i in range(4)], "item_id long, text string")
+    found = decontaminate.contamination(cases.frame(spark, [cases.row(1, f"{ITEM} 2")]), bench, 10, 5).collect()
+    assert found[0]["n_items"] == 4 and len(most) == 4 and max(most) == 1
+
+
 def test_decontamination_of_odd_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.contamination(cases.empty(spark), none).count() == 0
