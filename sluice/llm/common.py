@@ -47,6 +47,14 @@ def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def given_up(df: DataFrame) -> None:
+    """Delete the files of a table made by `written` that nothing reads any more."""
+    spark = df.sparkSession
+    for name in df.inputFiles():
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as long and the named string columns; missing ids stay null, other columns are left behind."""
     small_lots(docs.sparkSession)

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
-from sluice.llm.common import chunks, keyed, written
+from sluice.llm.common import chunks, given_up, keyed, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
@@ -180,7 +180,7 @@ def _swept(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
         swept = written(docs.mapInArrow(_sweep(sent, window), _with_hits(docs)), "swept")
         sent.destroy()
         if docs is not given:
-            _removed(docs)
+            given_up(docs)
         docs, block = swept, following
     return docs, spark.sparkContext.broadcast(block) if block is not None else None
 
@@ -201,14 +201,6 @@ def _sweep(sent, window: int):
     return run
 
 
-def _removed(swept: DataFrame) -> None:
-    """Give up the files of a pass."""
-    spark = swept.sparkSession
-    for name in swept.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
-
-
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document.
 

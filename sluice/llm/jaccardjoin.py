@@ -10,9 +10,12 @@ at least 1 + slack agree in two linked documents; a document with more empty par
 too, so one part that both send agrees. P depends on the size band; a band's largest partner lies in the next
 band, so a document joins in its own band and, if a partner can lie there, in the next one.
 
-Each group of equal parts is first joined to its least document, never pair by pair. Pairs whose whole-document bit
-sketches differ in more bits than D go; what is then verified makes components. Groups that still span components are then searched for pairs between components whose bit
-sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the symmetric difference) are near enough; these are
+Equal sets link at once and one document of each goes on. Its parts are plain rows (key, document). Where documents of
+one task share a key, the least of them alone is shuffled by that key, so a key that a third of all documents hold is at most
+one row for each lot of `LOT` bytes of text. In a group of equal keys every document meets the least one, never every other. Distinct
+pairs whose whole-document bit sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the
+symmetric difference) differ in more bits than D go; what is then verified makes components. Groups whose other documents still span
+components are cut into blocks of bounded bytes, in which only sketches of different components are compared; near ones are
 verified too. So no link between components is lost.
 
 Defined cases: a null doc_id links with nothing and its component is null; rows that share a doc_id stand for their
@@ -23,21 +26,26 @@ from __future__ import annotations
 
 import math
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm import batches as bt
 from sluice.llm import kernel
-from sluice.llm.common import chunks, keyed, utf8, written
+from sluice.llm.common import chunks, given_up, keyed, utf8, written
 from sluice.llm.components import components
 
 U = np.uint64
 PAIR = "a long, b long"
 SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary"
 SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch"]
+MET = "key long, hub long, doc long, more boolean"
+#: Bytes of text whose documents share keys before these are shuffled.
+LOT = 8 << 20
+#: Documents, and bytes of their sketches, of one block of a group that spans components.
+BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 
 
 class Bands:
@@ -77,14 +85,6 @@ def part_keys(u: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     return keys if p - int(full.sum()) > bands.slack[band] else keys[full]
 
 
-def bit_sketch(u: np.ndarray, band: int, bands: Bands) -> np.ndarray:
-    """One 64-bit word for each part, a bit XOR-ed for each shingle."""
-    p = bands.parts[band]
-    at = np.append(np.searchsorted(u, kernel.even_bounds(p)), len(u))
-    total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(U(1) << (kernel.mix(u ^ U(0x14057B7EF767814F)) & U(63)))])
-    return total[at[1:]] ^ total[at[:-1]]
-
-
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if not len(a) or not len(b) or den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
@@ -115,110 +115,125 @@ def _set_hash(u: np.ndarray) -> bytes:
 
 
 def _sizes(words: int):
-    def run(parts):
-        for part in parts:
-            for batch in chunks([part]):
-                sets = kernel.shingles(utf8(batch.column("text")), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array([whole_sketch(u) for u in sets], pa.binary())], SIZES_NAMES)
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(parts):
+            sets = kernel.shingles(utf8(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array([whole_sketch(u) for u in sets], pa.binary())], SIZES_NAMES)
 
     return run
 
 
-def _keys_sent(docs: list[int], sets: list[np.ndarray], bands: Bands, buckets: int) -> list[tuple[int, bytes]]:
-    """(bucket, payload) of the part keys of some documents; of equal sets the least document alone sends."""
-    first: dict[bytes, int] = {}
-    for i in sorted(range(len(docs)), key=docs.__getitem__):
-        if len(sets[i]):
-            first.setdefault(_set_hash(sets[i]), i)
-    keys, at = [], []
-    for i in first.values():
-        for band in bands.of(len(sets[i])):
-            keys.append(part_keys(sets[i], band, bands))
-            at.append(np.full(len(keys[-1]), i, np.uint32))
-    if not keys:
-        return []
-    key, who = np.concatenate(keys), np.concatenate(at)
-    order = np.argsort(key, kind="stable")
-    key, who = key[order], who[order]
-    ids, cut = np.array(docs, np.int64), bt.cuts(key, buckets)
-    return [(b, bt.squeeze(bt.deltas(key[x:y]), who[x:y], np.diff(ids, prepend=0))) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-
-
-def _grouped(payloads: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Documents in order of key then id, the payload and place they come from, and where each key begins."""
-    keys, ids, source, place = [], [], [], []
-    for i, p in enumerate(payloads):
-        gaps, who, steps = bt.unsqueeze(p)[:3]
-        keys.append(bt.undeltas(gaps)), ids.append(np.cumsum(steps)[who]), place.append(who)
-        source.append(np.full(len(who), i, np.int64))
-    key, doc = np.concatenate(keys), np.concatenate(ids)
-    order = np.lexsort((doc, key))
-    key = key[order]
-    begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return doc[order], np.concatenate(source)[order], np.concatenate(place)[order], begin
-
-
-def _hubs(key: tuple, asked: pa.Table) -> pa.Table:
-    """Pairs of each group's least document and every other one."""
-    doc, _, _, begin = _grouped(asked.column("payload").to_pylist())
-    hub = np.repeat(doc[begin], np.diff(np.append(begin, len(doc))))
-    pairs = np.unique(np.stack([hub, doc], axis=1)[hub != doc], axis=0)
-    return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
-
-
-def _unsettled(key: tuple, asked: pa.Table) -> pa.Table:
-    """Documents of the groups that span components even without their least document."""
-    payloads = asked.column("payload").to_pylist()
-    doc, source, place, begin = _grouped(payloads)
-    comps = [bt.unsqueeze(p)[3] for p in payloads]
-    starts = np.cumsum([0, *[len(x) for x in comps]])[:-1]
-    comp = np.concatenate(comps)[starts[source] + place]
-    sizes = np.diff(np.append(begin, len(doc)))
-    comp[begin[sizes > 1]] = comp[begin[sizes > 1] + 1]
-    mixed = np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)
-    return pa.table({"doc_id": pa.array(np.unique(doc[np.repeat(mixed, sizes)]))})
-
-
-def _across(bands: Bands):
-    """Pairs between components within a group, near enough by size and Hamming distance."""
-
-    def run(key: tuple, asked: pa.Table) -> pa.Table:
-        payloads = asked.column("payload").to_pylist()
-        doc, source, place, begin = _grouped(payloads)
-        held = [bt.unsqueeze(p)[3:] for p in payloads]  # component, size, first band, words in either band, their ends
-        comp = np.zeros(len(doc), np.int64)
-        size = np.zeros(len(doc), np.int64)
-        for i, h in enumerate(held):
-            mine = source == i
-            comp[mine], size[mine] = h[0][place[mine]], h[1][place[mine]]
-        ends = np.append(begin[1:], len(doc))
-        mixed = np.flatnonzero((np.maximum.reduceat(comp, begin) != np.minimum.reduceat(comp, begin)))
-        found: list[np.ndarray] = []
-        for g in mixed:
-            at = np.arange(begin[g], ends[g])
-            sketches, band = [], max(int(held[source[i]][2][place[i]]) for i in at)
-            for i in at:
-                _, _, first, words, where = held[source[i]]
-                j = 2 * place[i] + (band - int(first[place[i]]))
-                sketches.append(words[where[j] : where[j + 1]])
-            if len({len(s) for s in sketches}) > 1 or not len(sketches[0]):  # keys of another band that happen to agree
+def _met_rows(key: np.ndarray, hub: np.ndarray, doc: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(hub), pa.array(doc), pa.array(more)], ["key", "hub", "doc", "more"])
+
+
+def _sent(words: int, bands: Bands):
+    """The part keys of each lot of documents. A key's least document of the lot is its own hub (`more`: not the only one);
+    the others name that hub."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(parts, LOT):
+            texts, sets = utf8(batch.column("text")), []
+            for i in range(0, len(texts), 500):
+                sets += kernel.shingles(texts[i : i + 500], words)
+            keys = [np.unique(np.concatenate([part_keys(u, b, bands) for b in bands.of(len(u))])) if len(u) else u for u in sets]
+            if not sum(map(len, keys)):
                 continue
-            sketch, c, n, d = np.stack(sketches), comp[at], size[at], doc[at]
-            values, counts = np.unique(c, return_counts=True)
-            outside = np.flatnonzero(c != values[np.argmax(counts)])  # every pair between components has one of these
-            step = max(1, (4 << 20) // sketch[:, 0].size // sketch.shape[1])
-            for x in range(0, len(outside), step):
-                o = outside[x : x + step]
-                away = np.bitwise_count(sketch[o][:, None] ^ sketch[None]).sum(axis=2, dtype=np.int64)
-                total = n[o][:, None] + n[None]
-                near = (c[o][:, None] != c[None]) & (away * (bands.den + bands.num) <= (bands.den - bands.num) * total)
-                near &= bands.den * np.minimum(n[o][:, None], n[None]) >= bands.num * np.maximum(n[o][:, None], n[None])
-                i, j = np.nonzero(near)
-                if len(i):
-                    p, q = d[o[i]], d[j]
-                    found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)], axis=1), axis=0))
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
-        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+            key = np.concatenate(keys).view(np.int64)
+            doc = np.repeat(batch.column("doc_id").to_numpy(), [len(k) for k in keys])
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            begin = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            times = np.diff(np.append(begin, len(key)))
+            more = np.zeros(len(key), bool)
+            more[begin] = times > 1
+            hub = np.repeat(doc[begin], times)
+            for i in range(0, len(key), 1 << 17):
+                yield _met_rows(key[i : i + (1 << 17)], hub[i : i + (1 << 17)], doc[i : i + (1 << 17)], more[i : i + (1 << 17)])
+
+    return run
+
+
+def _met(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by key and document. Rows that name a hub pass. Of the hubs of a key, the least is the hub of the others;
+    it has a row of its own if one of them is not the only one of its lot."""
+    last = least = None
+    told = np.zeros(2, bool)  # of the key before: whether a hub has others, and whether there are other hubs
+    for batch in parts:
+        key, hub, doc, more = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "hub", "doc", "more"))
+        local = hub != doc
+        if local.any():
+            yield _met_rows(key[local], hub[local], doc[local], more[local])
+            key, doc, more = key[~local], doc[~local], more[~local]
+        if not len(key):
+            continue
+        fresh = np.concatenate([[key[0] != last], key[1:] != key[:-1]])  # None differs from all
+        heads = doc[fresh]
+        group = np.cumsum(fresh)  # 0: the key before goes on
+        top = np.concatenate([[0 if least is None else least], heads])[group]
+        other = doc != top
+        seen = np.zeros((2, len(heads) + 1), bool)
+        seen[:, 0] = told
+        np.logical_or.at(seen[0], group, more)
+        np.logical_or.at(seen[1], group, other)
+        alone = np.searchsorted(group, np.intersect1d(np.flatnonzero(seen.all(axis=0)), group))
+        yield _met_rows(np.concatenate([key[other], key[alone]]), np.concatenate([top[other], top[alone]]), np.concatenate([doc[other], top[alone]]), np.concatenate([more[other], more[alone]]))
+        last, least, told = key[-1], top[-1], seen[:, -1]
+
+
+def _folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of sets of like sizes, brought to the shortest one's bits."""
+    words = min(map(len, sketches)) // 8
+    out = np.empty((len(sketches), words), np.uint64)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, words), axis=0)
+    return out
+
+
+def _across(num: int, den: int):
+    """Rows sorted by block: pairs of different components near enough by size and Hamming distance. A block holds the
+    documents of one group, or of one pair of its parts: then those of the same part (`piece`) meet elsewhere."""
+
+    def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+        docs, comp, size, piece = (np.array(c, np.int64) for c in zip(*[r[:4] for r in rows], strict=True))
+        sketch = _folded([r[4] for r in rows])
+        across = piece.min() != piece.max()
+        values, counts = np.unique(comp, return_counts=True)
+        outside = np.flatnonzero(comp != values[np.argmax(counts)])  # every pair between components has one of these
+        step = max(1, (1 << 21) // sketch.size)
+        for x in range(0, len(outside), step):
+            o = outside[x : x + step]
+            total = size[o][:, None] + size[None]
+            ok = (comp[o][:, None] != comp[None]) & (den * np.minimum(size[o][:, None], size[None]) >= num * np.maximum(size[o][:, None], size[None]))
+            if across:
+                ok &= piece[o][:, None] != piece[None]
+            i, j = np.nonzero(ok)
+            for y in range(0, len(i), 1 << 14):
+                p, q = o[i[y : y + (1 << 14)]], j[y : y + (1 << 14)]
+                away = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
+                hit = away * (den + num) <= (den - num) * (size[p] + size[q])
+                yield from zip(np.minimum(docs[p[hit]], docs[q[hit]]).tolist(), np.maximum(docs[p[hit]], docs[q[hit]]).tolist(), strict=True)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, held, found = None, [], set()
+
+        def told() -> pa.RecordBatch:
+            pairs = sorted(found)
+            found.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in parts:
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc", "component", "n_shingles", "piece", "sketch")), strict=True):
+                if (key, i, j) != block:
+                    if len(held) > 1:
+                        found.update(near(held))
+                    block, held = (key, i, j), []
+                    if len(found) > 100_000:
+                        yield told()
+                held.append(tuple(row))
+        if len(held) > 1:
+            found.update(near(held))
+        yield told()
 
     return run
 
@@ -226,28 +241,26 @@ def _across(bands: Bands):
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets link."""
 
-    def run(parts):
-        for part in parts:
-            for batch in chunks([part], column="set_a"):
-                keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(parts, column="set_a"):
+            keep = [linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), num, den) for x, y in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR)
+    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR)
 
 
 def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sizes and sketches allow a link."""
 
-    def run(parts):
-        for part in parts:
-            for batch in chunks([part], column="sketch_a"):
-                cols = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "total")]
-                keep = [may_link(x, y, t, num, den) for x, y, t in zip(*cols, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(parts, column="sketch_a"):
+            cols = [batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b", "total")]
+            keep = [may_link(x, y, t, num, den) for x, y, t in zip(*cols, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge")
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return both.select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, PAIR)
 
@@ -257,84 +270,62 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     bands = Bands(num, den)
     rows = keyed(docs, "text")
     sizes = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
-    told = sizes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids"), F.coalesce(F.sum("n_shingles"), F.lit(0)).alias("s")).collect()[0]
+    told = sizes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()[0]
     rows = rows.filter("doc_id is not null")
     if told["n"] > told["ids"]:  # rows that share an id stand for their least text
         rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
         alone = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
     else:
         alone = sizes.filter("doc_id is not null")
-    buckets = bt.bucket_count(told["s"], 1 << 20)
-
-    def sent(parts):
-        for part in parts:
-            for batch in chunks([part], 8 << 20):
-                sets, texts = [], utf8(batch.column("text"))
-                for i in range(0, len(texts), 500):
-                    sets += kernel.shingles(texts[i : i + 500], words)
-                yield bt.as_batch(_keys_sent(batch.column("doc_id").to_pylist(), sets, bands, buckets), ["bucket", "payload"], [pa.int32(), pa.binary()])
-
-    # Copies of a set link with the least of them; of these only that one goes on.
-    copies = alone.filter("n_shingles > 0").groupBy("set_hash").agg(F.min("doc_id").alias("a"))
-    copy = alone.filter("n_shingles > 0").join(copies.hint("merge"), "set_hash").select("a", F.col("doc_id").alias("b")).filter("a != b")
-    copy = written(copy, "copies")
-    found = rows.mapInArrow(sent, "bucket int, payload binary").groupBy("bucket").applyInArrow(_hubs, PAIR)
-    to = copy.select(F.col("b").alias("doc_id"), F.col("a").alias("rep"))
-    for side in ("a", "b"):
-        found = found.join(to.hint("merge"), found[side] == to["doc_id"], "left").withColumn(side, F.coalesce("rep", side)).drop("doc_id", "rep")
-    met = written(found.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "met")
-    pairs = written(_sifted(met, alone, num, den), "pairs")
-    near = lambda pairs: pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-
-    def as_sets(parts):
-        for part in parts:
-            for batch in chunks([part]):
-                sets = kernel.shingles(utf8(batch.column("text")), words)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], ["doc_id", "shingles"])
-
-    def sets_of(pairs: DataFrame) -> DataFrame:
-        return written(rows.join(near(pairs).hint("merge"), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
-
-    links = written(_verified(pairs, sets_of(pairs), num, den).union(copy), "links")
-    parts = components(links)
-
-    # What is left: groups of equal parts that span components, their least documents aside, as those have met the rest.
-    labelled = rows.join(near(met).hint("merge"), "doc_id", "left_semi").join(parts.withColumnRenamed("node", "doc_id").hint("merge"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    fewer = bt.bucket_count(told["s"], 8 << 20)
-
-    def sent_with(more):
-        def run(batches):
-            for part in batches:
-                for batch in chunks([part]):
-                    ids, comps = batch.column("doc_id").to_pylist(), batch.column("component").to_numpy()
-                    held = kernel.shingles(utf8(batch.column("text")), words)
-                    out = [(b, bt.joined(p, more(held, comps))) for b, p in _keys_sent(ids, held, bands, fewer)]
-                    yield bt.as_batch(out, ["bucket", "payload"], [pa.int32(), pa.binary()])
-
-        return run
-
-    def sketches(held: list[np.ndarray], comps: np.ndarray) -> bytes:
-        first, sizes, words_, ends = [], [], [], [0]
-        for u in held:
-            spread = bands.of(max(1, len(u)))
-            first.append(spread[0]), sizes.append(len(u))
-            for band in (spread[0], spread[0] + 1):
-                words_.append(bit_sketch(u, band, bands) if band in spread else np.zeros(0, np.uint64))
-                ends.append(ends[-1] + len(words_[-1]))
-        return bt.squeeze(comps, np.array(sizes, np.int64), np.array(first, np.int32), np.concatenate(words_) if words_ else np.zeros(0, np.uint64), np.array(ends, np.int64))
-
-    apart = labelled.mapInArrow(sent_with(lambda held, comps: bt.squeeze(comps)), "bucket int, payload binary").groupBy("bucket").applyInArrow(_unsettled, "doc_id long").distinct()
-    left = written(labelled.join(apart.hint("merge"), "doc_id", "left_semi"), "unsettled")
-    rest = left.mapInArrow(sent_with(sketches), "bucket int, payload binary").groupBy("bucket").applyInArrow(_across(bands), PAIR).distinct()
-    rest = written(_sifted(rest, alone, num, den), "rest")
-    late = written(_verified(rest, sets_of(rest), num, den), "late-links")
+
+    # Equal sets link with the least of them, which alone goes on. The groups are written, so that Spark can split the join of a large one.
+    equal = alone.filter("n_shingles > 0")
+    copies = written(equal.groupBy("set_hash").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "equal")
+    copy = written(equal.select("set_hash", F.col("doc_id").alias("b")).join(copies, "set_hash").filter("a != b").select("a", "b"), "copies")
+    one = rows.join(copy.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+
+    at = F.when(F.col("hub") == F.col("doc"), F.col("key")).otherwise(F.xxhash64("key", "doc"))  # rows that name a hub need no meeting
+    met = written(one.mapInArrow(_sent(words, bands), MET).repartition(at).sortWithinPartitions("key", "doc").mapInArrow(_met, MET).select("key", "hub", "doc"), "met")
+    pairs = written(met.filter("hub != doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    near = written(_sifted(pairs, alone, num, den), "near")
+
+    def as_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(parts):
+            sets = kernel.shingles(utf8(batch.column("text")), words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], ["doc_id", "shingles"])
+
+    def links_of(near: DataFrame) -> DataFrame:
+        named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
+        sets = written(rows.join(named, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+        links = written(_verified(near, sets, num, den), "links")
+        given_up(sets)
+        return links
+
+    links = links_of(near).union(copy)
+    parts = written(components(links), "components")
+    given_up(pairs), given_up(near)
+
+    # What is left: groups whose documents, but for those that have met all others, span components.
+    label = parts.select(F.col("node").alias("doc"), "component")
+    labelled = written(met.select("key", "doc").join(label, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
+    given_up(met)
+    sketch = alone.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
+    groups = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    mixed = written(labelled.join(groups.select("key"), "key").distinct(), "mixed")
+    given_up(labelled)
+    mixed = written(mixed.join(sketch, "doc"), "unsettled")
+    sizes_of = mixed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("int").alias("pieces"))
+    cut = mixed.join(sizes_of, "key").withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with"))
+    rest = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(num, den), PAIR)
+    late = links_of(written(rest.distinct(), "rest"))
     if not late.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
-    own = sizes.select("doc_id", "n_shingles").join(parts.select(F.col("node").alias("doc_id"), "component").hint("merge"), "doc_id", "left")
+    own = sizes.select("doc_id", "n_shingles").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return own.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of which no linked one has a smaller doc_id, all columns as they were."""
-    gone = near_components(docs, words, num, den).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_"))
-    return docs.join(gone.hint("merge"), docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
+    gone = written(near_components(docs, words, num, den).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_")), "gone")
+    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")

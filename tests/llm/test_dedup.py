@@ -215,6 +215,17 @@ def test_join_of_one_large_near_group(spark):
     assert found == brute_join(rows, 3, 80, 100)
 
 
+def test_join_in_many_blocks(spark, monkeypatch):
+    """Groups that span components, cut into blocks of few documents: nothing is lost between blocks."""
+    monkeypatch.setattr(jaccardjoin, "BLOCK_DOCS", 3)
+    passage = [f"p{i}" for i in range(14)]
+    rng = __import__("random").Random(8)
+    texts = [" ".join(passage + [f"o{rng.randrange(6)}" for _ in range(4)]) for _ in range(150)]
+    rows = [cases.row(i, t) for i, t in enumerate(texts)]
+    found = got(jaccardjoin.near_components(cases.frame(spark, rows), 1, 80, 100), "doc_id", "n_shingles", "component_id")
+    assert found == brute_join(rows, 1, 80, 100)
+
+
 def test_join_of_odd_tables(spark):
     assert jaccardjoin.near_components(cases.empty(spark)).count() == 0
     found = jaccardjoin.near_components(cases.odd(spark)).collect()
@@ -223,14 +234,42 @@ def test_join_of_odd_tables(spark):
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["1", "1", "2", "3", "None", "None"]
 
 
-def test_bit_sketches_bound_the_difference():
+def test_sketches_bound_the_difference():
+    """Whole sketches, of any two sizes, and folded ones."""
     rng = np.random.default_rng(2)
-    bands = jaccardjoin.Bands(80, 100)
-    a = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
-    b = np.unique(np.concatenate([a[20:], rng.integers(0, 1 << 63, 9, dtype=np.uint64)]))
-    band = bands.of(len(a))[-1]
-    away = np.bitwise_count(jaccardjoin.bit_sketch(a, band, bands) ^ jaccardjoin.bit_sketch(b, band, bands)).sum()
-    assert away <= len(np.setxor1d(a, b))
+    for n, more in ((300, 9), (300, 400), (40, 3000), (1, 0), (5000, 5000)):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 15 :], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+        x, y = jaccardjoin._folded([jaccardjoin.whole_sketch(a), jaccardjoin.whole_sketch(b)])
+        apart = len(np.setxor1d(a, b))
+        assert np.bitwise_count(x ^ y).sum() <= apart
+        if 10 * len(np.intersect1d(a, b)) >= 8 * len(np.union1d(a, b)):
+            assert jaccardjoin.may_link(jaccardjoin.whole_sketch(a), jaccardjoin.whole_sketch(b), len(a) + len(b), 80, 100)
+
+
+def test_hubs_over_lots_and_batches():
+    """However lots and record batches are cut, a key's documents are linked to its least one, and a hub whose others have
+    not met the least one has a row of its own."""
+    rng = np.random.default_rng(4)
+    for seed in range(40):
+        lots = [[(int(k), int(d)) for k, d in sorted({(rng.integers(0, 4), rng.integers(0, 40)) for _ in range(rng.integers(1, 12))})] for _ in range(5)]
+        taken, sent = set(), []
+        for lot in lots:
+            lot = [(k, d) for k, d in lot if d not in taken]
+            taken |= {d for _, d in lot}
+            for k in {k for k, _ in lot}:
+                docs = sorted(d for x, d in lot if x == k)
+                sent += [(k, docs[0], d, d == docs[0] and len(docs) > 1) for d in docs]
+        sent.sort(key=lambda r: (r[0], r[2]))
+        cut = sorted({0, len(sent), *rng.integers(0, len(sent) + 1, 3).tolist()})
+        batches = [jaccardjoin._met_rows(*(np.array([r[i] for r in sent[a:b]], bool if i == 3 else np.int64) for i in range(4))) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+        out = {(r["key"], r["hub"], r["doc"]) for b in jaccardjoin._met(iter(batches)) for r in b.to_pylist()}
+        for k in {r[0] for r in sent}:
+            docs, hubs = {r[2] for r in sent if r[0] == k}, {r[2] for r in sent if r[0] == k and r[1] == r[2]}
+            least, met = min(docs), {(h, d) for x, h, d in out if x == k and h != d}
+            assert met == {(least, h) for h in hubs - {least}} | {(r[1], r[2]) for r in sent if r[0] == k and r[1] != r[2]}
+            lonely = len(hubs) > 1 and any(r[3] for r in sent if r[0] == k)
+            assert ((k, least, least) in out) == lonely, (seed, k)
 
 
 def test_components(spark):
