@@ -15,8 +15,9 @@ one task share a key, the least of them alone is shuffled by that key, so a key
 one row for each lot of `LOT` bytes of text. In a group of equal keys every document meets the least one, never every other. Distinct
 pairs whose whole-document bit sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the
 symmetric difference) differ in more bits than D go; what is then verified makes components. Groups whose other documents still span
-components are cut into blocks of bounded bytes, in which only sketches of different components are compared; near ones are
-verified too. So no link between components is lost.
+components are cut into blocks of bounded size, in which only sketches of different components are compared; of near ones a block
+sends no more than join its components, to be verified too. A block with one that fails is searched again with
+the sets themselves. So no link between components is lost.
 
 Defined cases: a null doc_id links with nothing and its component is null; rows that share a doc_id stand for their
 least text; null texts have no words; other columns are kept by `one_of_each` and ignored elsewhere.
@@ -44,6 +45,7 @@ SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch"]
 MET = "key long, hub long, doc long, more boolean"
 #: Bytes of text whose documents share keys before these are shuffled.
 LOT = 8 << 20
+BLOCK = ["key", "i", "j"]
 #: Documents, and bytes of their sketches, of one block of a group that spans components.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
 
@@ -190,49 +192,54 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _across(num: int, den: int):
-    """Rows sorted by block: pairs of different components near enough by size and Hamming distance. A block holds the
-    documents of one group, or of one pair of its parts: then those of the same part (`piece`) meet elsewhere."""
+def _across(num: int, den: int, exact: bool):
+    """Rows sorted by block: links between components, of pairs near enough by size and Hamming distance. A pair counts
+    only if its components are not yet joined in the block, so there are fewer pairs than documents. `exact`: rows have their sets,
+    and pairs are verified here. A block holds the documents of one group, or of one pair of its pieces: then those of
+    the same piece meet elsewhere."""
 
     def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         docs, comp, size, piece = (np.array(c, np.int64) for c in zip(*[r[:4] for r in rows], strict=True))
         sketch = _folded([r[4] for r in rows])
         across = piece.min() != piece.max()
-        values, counts = np.unique(comp, return_counts=True)
-        outside = np.flatnonzero(comp != values[np.argmax(counts)])  # every pair between components has one of these
+        values, comp, counts = np.unique(comp, return_inverse=True, return_counts=True)
+        up = np.arange(len(values))
+        outside = np.flatnonzero(comp != np.argmax(counts))  # every pair between components has one of these
         step = max(1, (1 << 21) // sketch.size)
         for x in range(0, len(outside), step):
             o = outside[x : x + step]
-            total = size[o][:, None] + size[None]
-            ok = (comp[o][:, None] != comp[None]) & (den * np.minimum(size[o][:, None], size[None]) >= num * np.maximum(size[o][:, None], size[None]))
+            own = up[comp]
+            ok = (own[o][:, None] != own[None]) & (den * np.minimum(size[o][:, None], size[None]) >= num * np.maximum(size[o][:, None], size[None]))
             if across:
                 ok &= piece[o][:, None] != piece[None]
             i, j = np.nonzero(ok)
             for y in range(0, len(i), 1 << 14):
                 p, q = o[i[y : y + (1 << 14)]], j[y : y + (1 << 14)]
-                away = np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64)
-                hit = away * (den + num) <= (den - num) * (size[p] + size[q])
-                yield from zip(np.minimum(docs[p[hit]], docs[q[hit]]).tolist(), np.maximum(docs[p[hit]], docs[q[hit]]).tolist(), strict=True)
+                spare = (den - num) * (size[p] + size[q]) - np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) * (den + num)
+                hit = np.flatnonzero(spare >= 0)
+                for k in hit[np.argsort(-spare[hit], kind="stable")].tolist():
+                    a, b = p[k], q[k]
+                    low, high = sorted((up[comp[a]], up[comp[b]]))
+                    if low != high and (not exact or linked(np.frombuffer(rows[a][5], np.uint64), np.frombuffer(rows[b][5], np.uint64), num, den)):
+                        up[up == high] = low
+                        yield min(int(docs[a]), int(docs[b])), max(int(docs[a]), int(docs[b]))
+
+    names = [*BLOCK, "doc", "component", "n_shingles", "piece", "sketch", *(["shingles"] if exact else [])]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block, held, found = None, [], set()
+        block, held = None, []
 
         def told() -> pa.RecordBatch:
-            pairs = sorted(found)
-            found.clear()
-            return pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)], ["a", "b"])
+            pairs = list(near(held)) if len(held) > 1 else []
+            ends = [pa.array([p[i] for p in pairs], pa.int64()) for i in (0, 1)]
+            return pa.RecordBatch.from_arrays([*[pa.array([x] * len(pairs), pa.int64()) for x in block or (0, 0, 0)], *ends], [*BLOCK, "a", "b"])
 
         for batch in parts:
-            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "doc", "component", "n_shingles", "piece", "sketch")), strict=True):
+            for key, i, j, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
                 if (key, i, j) != block:
-                    if len(held) > 1:
-                        found.update(near(held))
+                    yield told()
                     block, held = (key, i, j), []
-                    if len(found) > 100_000:
-                        yield told()
                 held.append(tuple(row))
-        if len(held) > 1:
-            found.update(near(held))
         yield told()
 
     return run
@@ -309,18 +316,29 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     label = parts.select(F.col("node").alias("doc"), "component")
     labelled = written(met.select("key", "doc").join(label, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
     given_up(met)
-    sketch = alone.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
-    groups = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    mixed = written(labelled.join(groups.select("key"), "key").distinct(), "mixed")
+    groups = written(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "spanning")
+    mixed = written(labelled.join(groups, "key").distinct(), "mixed")
     given_up(labelled)
+    sketch = alone.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
     mixed = written(mixed.join(sketch, "doc"), "unsettled")
-    sizes_of = mixed.groupBy("key").agg(F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("int").alias("pieces"))
-    cut = mixed.join(sizes_of, "key").withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")).cast("int"))
-    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with"))
-    rest = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_across(num, den), PAIR)
-    late = links_of(written(rest.distinct(), "rest"))
+    pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("long").alias("pieces")
+    cut = mixed.join(written(mixed.groupBy("key").agg(pieces), "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")))
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with")).drop("with", "pieces")
+    found = "key long, i long, j long, a long, b long"
+    rest = written(cut.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_across(num, den, False), found), "rest")
+    late = links_of(written(rest.select("a", "b").distinct(), "late"))
+    more = lambda links: components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     if not late.isEmpty():
-        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
+        parts = written(more(late), "components")
+    # Blocks of which a near pair was no link are searched again, set by set.
+    missed = written(rest.join(late, ["a", "b"], "left_anti").select(*BLOCK).distinct(), "missed")
+    if not missed.isEmpty():
+        again = cut.join(missed, BLOCK).drop("component").join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        sets = written(rows.join(again.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+        again = again.join(sets.withColumnRenamed("doc_id", "doc"), "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+        late = written(again.mapInArrow(_across(num, den, True), found).select("a", "b"), "last")
+        if not late.isEmpty():
+            parts = more(late)
     own = sizes.select("doc_id", "n_shingles").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
     return own.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
