@@ -11,7 +11,8 @@ bucket, equal runs become one string that keeps its least document, so copies co
 `length` bytes and give a Burrows-Wheeler transform. From the empty string on, breadth first, backward extension of
 each interval by each preceding byte sets the common prefixes between neighbouring suffixes by increasing value, and
 stops before `length`: suffixes with no value between them share a window. A hash with very many runs is dealt out
-window by window, by the hash of the whole window.
+window by window, by the hash of the whole window; then each batch sends a window of its least document alone, as that
+decides for the others.
 
 Defined cases: null text is empty; texts shorter than `length` bytes lose nothing; rows of equal doc_id do not remove
 from each other; a null doc_id is the least; other columns are ignored.
@@ -33,6 +34,8 @@ SEPARATOR = 0xFF  # never a byte of UTF-8
 HOT_RUNS = 4096
 #: Windows of one run as it is sent, with their number as uint16. Periodic text is one run without end.
 RUN_WINDOWS = 4096
+#: Bytes of runs that a bucket's work holds arrays for at a time (a single hash may have more).
+SLICE_BYTES = 1 << 20
 U = np.uint64
 
 
@@ -140,51 +143,78 @@ def _slices(keys: np.ndarray, sizes: np.ndarray, most: int = 1 << 18):
     return [slice(a, b) for a, b in zip(cut[:-1], cut[1:], strict=True)]
 
 
+def _first_hashes(text: np.ndarray, begin: np.ndarray, length: int, seed: int, step: int = 1 << 13) -> np.ndarray:
+    """The hash of each run, from its first window."""
+    out = np.empty(len(begin), np.uint64)
+    for x in range(0, len(begin), step):
+        some = begin[x : x + step]
+        windows = text[some[:, None] + np.arange(length)].ravel()
+        seeds = kernel.rolling(np.append(windows, np.zeros(length, np.uint8)), seed)[: len(windows)].reshape(-1, length)
+        out[x : x + step] = seeds[:, : length - seed + 1].min(axis=1)
+    return out
+
+
+def _covered(text: np.ndarray, doc: np.ndarray, windows: np.ndarray, hashes: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of some runs (concatenated bytes, documents, numbers of windows), the spans of covered windows: run, first window, last window."""
+    sizes = windows + length - 1
+    begin = np.cumsum(sizes) - sizes
+    strings = _string_hashes(text, sizes)
+    order = np.lexsort((doc, strings))
+    fresh = np.concatenate([[True], strings[order][1:] != strings[order][:-1]])
+    string_of = np.empty(len(doc), np.int64)
+    string_of[order] = np.cumsum(fresh) - 1
+    sample = order[fresh]  # one occurrence of each string, that of its least document
+    own, least = windows[sample], doc[sample]
+    own_begin = np.cumsum(own) - own
+    answer = np.repeat(least, own)  # the least document of each window of each string
+    # Windows of different strings can be equal only if their hashes are: those strings are sorted.
+    _, back, repeats = np.unique(hashes[sample], return_inverse=True, return_counts=True)
+    several = np.flatnonzero(repeats[back] > 1)
+    several = several[np.argsort(back[several], kind="stable")]
+    for part in _slices(back[several], sizes[sample[several]]):  # whole hashes at a time: a sort holds `length` bytes for each of theirs
+        some = several[part]
+        piece = _gather(text, begin[sample[some]], sizes[sample[some]])
+        told = least_documents(piece, np.cumsum(sizes[sample[some]]), least[some], length)
+        answer[_gather(np.arange(len(answer)), own_begin[some], own[some])] = told
+    row = np.repeat(np.arange(len(doc)), windows)
+    offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
+    covered = answer[own_begin[string_of[row]] + offset] < doc[row]
+    edge = np.concatenate([[True], (row[1:] != row[:-1]) | (covered[1:] != covered[:-1])])
+    heads = np.flatnonzero(edge)
+    tails = np.append(heads[1:], len(row)) - 1
+    heads, tails = heads[covered[heads]], tails[covered[heads]]
+    return row[heads], offset[heads], offset[tails]
+
+
 def _spans_of_bucket(length: int, seed: int):
     def run(key: tuple, sent: pa.Table) -> pa.Table:
-        """For each batch, the spans to remove: document in the batch, first byte, end."""
+        """For each batch, the spans to remove: document in the batch, first byte, end. Whole hashes are taken in turn, so
+        that beyond the bucket's bytes a task holds arrays for about `SLICE_BYTES` of them."""
+        batches = sent.column("batch").to_pylist()
+        if key[0].as_py() < 0:  # spans that their batch has decided
+            return sent.select(["batch", "payload"])
         payloads = [bt.unsqueeze(p) for p in sent.column("payload").to_pylist()]
-        counts = [len(p[0]) for p in payloads]
-        doc, place, start, windows = (np.concatenate([p[i] for p in payloads]).astype(np.int64) for i in range(4))
+        of = np.repeat(np.arange(len(payloads)), [len(p[0]) for p in payloads])
+        doc, place, start, windows = (np.concatenate([p[i] for p in payloads]) for i in range(4))
         text = np.concatenate([p[4] for p in payloads])
+        del payloads
+        windows = windows.astype(np.int64)
         sizes = windows + length - 1
         begin = np.cumsum(sizes) - sizes
-        strings = _string_hashes(text, sizes)
-        order = np.lexsort((doc, strings))
-        first = np.flatnonzero(np.concatenate([[True], strings[order][1:] != strings[order][:-1]]))
-        string_of = np.empty(len(doc), np.int64)
-        string_of[order] = np.cumsum(np.isin(np.arange(len(doc)), first, assume_unique=True)) - 1
-        sample, least = order[first], doc[order[first]]  # one occurrence of each string, that of its least document
-        own = windows[sample]
-        own_begin = np.cumsum(own) - own
-        answer = np.repeat(least, own)  # the least document of each window of each string
-        # Windows of different strings can be equal only if their hashes are: those strings are sorted.
-        seeds = kernel.rolling(text, seed)
-        spread = np.arange(length - seed + 1)[None] + begin[sample][:, None]
-        hashes = seeds[spread].min(axis=1)
-        _, back, repeats = np.unique(hashes, return_inverse=True, return_counts=True)
-        several = np.flatnonzero(repeats[back] > 1)
-        several = several[np.argsort(back[several], kind="stable")]
-        for part in _slices(back[several], sizes[sample[several]]):  # whole hashes at a time: a sort holds `length` bytes for each of theirs
-            some = several[part]
-            piece = _gather(text, begin[sample[some]], sizes[sample[some]])
-            told = least_documents(piece, np.cumsum(sizes[sample[some]]), least[some], length)
-            answer[_gather(np.arange(len(answer)), own_begin[some], own[some])] = told
-        row = np.repeat(np.arange(len(doc)), windows)
-        offset = np.arange(len(row)) - np.repeat(np.cumsum(windows) - windows, windows)
-        covered = answer[own_begin[string_of[row]] + offset] < doc[row]
-        edge = np.concatenate([[True], (row[1:] != row[:-1]) | (covered[1:] != covered[:-1])])
-        heads = np.flatnonzero(edge)
-        tails = np.append(heads[1:], len(row)) - 1
-        heads, tails = heads[covered[heads]], tails[covered[heads]]
-        which = row[heads]
-        a, b = start[which] + offset[heads], start[which] + offset[tails] + length
-        out, at = [], 0
-        for batch, n in zip(sent.column("batch").to_pylist(), counts, strict=True):
-            x, y = np.searchsorted(which, [at, at + n])
+        hashes = _first_hashes(text, begin, length, seed)
+        order = np.argsort(hashes, kind="stable")
+        found = []
+        for part in _slices(hashes[order], sizes[order], SLICE_BYTES):
+            some = order[part]
+            which, a, b = _covered(_gather(text, begin[some], sizes[some]), doc[some], windows[some], hashes[some], length)
+            found.append((some[which], a, b))
+        which, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(of[which], kind="stable")
+        which, a, b = which[order], a[order] + start[which[order]], b[order] + start[which[order]] + length
+        out, cut = [], np.searchsorted(of[which], np.arange(len(batches) + 1))
+        for batch, x, y in zip(batches, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if y > x:
-                out.append((batch, bt.squeeze(place[which[x:y]].astype(np.uint32), a[x:y].astype(np.uint32), b[x:y].astype(np.uint32))))
-            at += n
+                out.append((batch, bt.squeeze(place[which[x:y]], a[x:y].astype(np.uint32), b[x:y].astype(np.uint32))))
         return pa.Table.from_batches([bt.as_batch(out, ["batch", "payload"], [pa.int64(), pa.binary()])])
 
     return run
@@ -241,6 +271,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 hot, whole = level == 2, kernel.rolling(buf, length)
                 many = _gather(np.arange(len(buf)), begin[hot], windows[hot])
                 owner = np.repeat(doc[hot], windows[hot])
+                # Beyond the least document of the batch that holds it, a window is covered whatever other batches hold.
+                order = np.lexsort((ids[owner], whole[many]))
+                many, owner = many[order], owner[order]
+                fresh = np.concatenate([[True], whole[many][1:] != whole[many][:-1]])
+                sure = ids[owner] > ids[owner][np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+                a = (many - starts[owner])[sure].astype(np.uint32)
+                out.append((-1 - row["batch"], row["batch"], bt.squeeze(owner[sure].astype(np.uint32), a, a + np.uint32(length))))
+                many, owner = many[~sure], owner[~sure]
                 rest = level == 1
                 key_ = np.concatenate([hashes[rest], whole[many]])
                 doc, begin, windows = np.concatenate([doc[rest], owner]), np.concatenate([begin[rest], many]), np.concatenate([windows[rest], np.ones(len(many), np.int64)])
@@ -255,10 +293,10 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 if y > x:
                     bytes_ = _gather(buf, begin[x:y], windows[x:y] + length - 1)
                     out.append((b, row["batch"], bt.squeeze(ids[doc[x:y]], doc[x:y].astype(np.uint32), (begin[x:y] - starts[doc[x:y]]).astype(np.uint32), windows[x:y].astype(np.uint16), bytes_)))
-        return pa.Table.from_batches([bt.as_batch(out, ["bucket", "batch", "payload"], [pa.int32(), pa.int64(), pa.binary()])])
+        return pa.Table.from_batches([bt.as_batch(out, ["bucket", "batch", "payload"], [pa.int64(), pa.int64(), pa.binary()])])
 
     levels = staged.mapInArrow(ask, "bucket int, batch long, payload binary").groupBy("bucket").applyInArrow(judge, "batch long, bucket int, payload binary")
-    sent = staged.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(send, "bucket int, batch long, payload binary")
+    sent = staged.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(send, "bucket long, batch long, payload binary")
     return staged, sent.groupBy("bucket").applyInArrow(_spans_of_bucket(length, seed), "batch long, payload binary")
 
 
