@@ -13,7 +13,6 @@ stays null; an empty table gives no pieces; other columns are ignored.
 from __future__ import annotations
 
 import functools
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -23,13 +22,15 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, keyed, written
+from sluice.llm import kernel
+from sluice.llm.common import chunks, keyed, utf8, written
 
-#: str.split() and the tokenizers' white space differ in these.
-_ODD_SPACE = re.compile("[\x1c-\x1f\x85]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Entries after which no more are kept.
+#: Latin letters up to here are the same after NFC; one of them alone is more than a letter in lower case.
+_LATIN, _NO_LETTER = "\u0250", "\u0130"
+#: Words after which no more are kept.
 CACHE = 500_000
+_MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 class Encoder:
@@ -63,30 +64,58 @@ class Encoder:
         done.update(zip(rest, self._each(rest), strict=True))
         return [done[t] for t in texts]
 
-    def _parts(self, chunk: str) -> tuple[str, ...]:
-        """A word with ASCII punctuation after it is the word's ids, whatever its case, then the punctuation's."""
-        core = chunk.rstrip(_MARKS)
-        if not core.isalpha() or "\u03a3" in core or "\u0130" in core:  # these two lower differently by context
-            return (chunk,)
-        return (core.lower(), chunk[len(core) :]) if len(core) < len(chunk) else (core.lower(),)
+    def _parts(self, word: str) -> tuple[str, ...]:
+        """Latin letters with ASCII punctuation after them are the letters' ids, whatever their case, then the punctuation's.
+        All else is for the tokenizer to cut."""
+        core = word.rstrip(_MARKS)
+        if not core.isalpha() or max(core) >= _LATIN or _NO_LETTER in core:
+            return (word,)
+        return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
 
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """The ids as little-endian 32-bit numbers."""
-        split = [None if _ODD_SPACE.search(t) else t.split() for t in texts]
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each of some distinct words, as little-endian 32-bit numbers."""
         known = self.known
-        parts = {c: self._parts(c) for c in {c for s in split if s for c in s}.difference(known)}
+        parts = {w: self._parts(w.decode()) for w in words if w not in known}
         new = list({p for x in parts.values() for p in x}.difference(known))
         fresh = dict(zip(new, self._encode(new), strict=True))
-        for c, x in parts.items():
-            if c not in fresh:
-                fresh[c] = b"".join([known[p] if p in known else fresh[p] for p in x])
+        for w, x in parts.items():
+            fresh[w] = b"".join([known[p] if p in known else fresh[p] for p in x])
+        out = [known[w] if w in known else fresh[w] for w in words]
         if len(known) < CACHE:
             known.update(fresh)
-            fresh = known
-        else:
-            fresh = fresh | {c: known[c] for c in {c for s in split if s for c in s}.intersection(known)}
-        get = fresh.__getitem__
-        return [self._each([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return out
+
+    def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, and where each text's ids begin (with the end as last).
+
+        Words are the runs between ASCII white space. Those of up to 16 bytes are told apart as two numbers, and a sum of
+        both finds the distinct ones; longer ones are told apart as bytes."""
+        buf, starts = kernel.joined(texts)
+        edge = np.diff(kernel.NOT_SPACE[buf].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        if not len(begin):
+            return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
+        raw = buf.tobytes() + bytes(16)
+        eight = np.ndarray((len(buf) + 9,), "<u8", raw, strides=(1,))  # the eight bytes from each byte on
+        n = end - begin
+        low, high = eight[begin] & _MASK[np.minimum(n, 8)], eight[begin + np.minimum(n, 8)] & _MASK[np.clip(n - 8, 0, 8)]
+        order = np.argsort(kernel.mix(low + kernel.mix(high + n.astype(np.uint64))))
+        order = order[n[order] <= 16]
+        a, b = order[1:], order[:-1]
+        first = np.flatnonzero(np.concatenate([np.ones(min(1, len(order)), bool), (low[a] != low[b]) | (high[a] != high[b]) | (n[a] != n[b])]))
+        which = np.empty(len(n), np.int64)
+        which[order] = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(order))))
+        distinct = [raw[x:y] for x, y in zip(begin[order[first]].tolist(), end[order[first]].tolist(), strict=True)]
+        far = np.flatnonzero(n > 16)
+        place: dict[bytes, int] = {}
+        which[far] = [len(distinct) + place.setdefault(raw[x:y], len(place)) for x, y in zip(begin[far].tolist(), end[far].tolist(), strict=True)]
+        ids = self.words(distinct + list(place))
+        sizes = np.array([len(x) // 4 for x in ids])
+        flat, at = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(sizes) - sizes
+        each = sizes[which]
+        total = np.concatenate([[0], np.cumsum(each)])
+        out = flat[np.arange(total[-1]) + np.repeat(at[which] - total[:-1], each)]
+        return out, total[np.searchsorted(begin, starts)]
 
 
 @functools.cache
@@ -102,13 +131,14 @@ def _tokenised(path: str, end_id: int):
         from pyspark import TaskContext
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, tail, pack = encoder(path), np.array([end_id], "<u4").tobytes(), zstandard.ZstdCompressor(1).compress
+        encode, tail, pack = encoder(path), np.array([end_id], "<u4"), zstandard.ZstdCompressor(1).compress
         row = TaskContext.get().partitionId() << 33
         for batch in chunks(batches, 1 << 20):
-            ids = [x + tail for x in encode([t or "" for t in batch.column("text").to_pylist()])]
-            n = len(ids)
+            ids, cut = encode(utf8(batch.column("text")))
+            n = batch.num_rows
+            each = [np.concatenate([ids[a:b], tail]) for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([pack(narrow(x)) for x in ids], pa.binary())],
+                [pa.array(range(row, row + n), pa.int64()), batch.column("doc_id"), pa.array([len(x) for x in each], pa.int64()), pa.array([pack(narrow(x)) for x in each], pa.binary())],
                 ["row", "doc_id", "n", "ids"],
             )
             row += n
@@ -116,10 +146,9 @@ def _tokenised(path: str, end_id: int):
     return run
 
 
-def narrow(ids: bytes) -> bytes:
+def narrow(ids: np.ndarray) -> bytes:
     """Two bytes an id where they suffice; the first byte tells the width."""
-    x = np.frombuffer(ids, "<u4")
-    return b"2" + x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"4" + ids
+    return b"2" + ids.astype("<u2").tobytes() if ids.max() < 1 << 16 else b"4" + ids.tobytes()
 
 
 def widen(packed: bytes) -> np.ndarray:

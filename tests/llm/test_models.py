@@ -252,13 +252,33 @@ def test_packing_of_odd_tables(spark):
     assert sum(r["length"] for r in found if r["doc_id"] == 1) == 2 * found[[r["doc_id"] for r in found].index(1)]["doc_tokens"]
 
 
+def encoded(encode, texts):
+    ids, cut = encode([t.encode() for t in texts])
+    return [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:], strict=True)]
+
+
 def test_encoder_is_the_tokenizer():
     from tokenizers import Tokenizer
 
     path = tokenizers.path("word_bpe_49k.json")
     tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
-    texts = [r[1] or "" for r in cases.corpus(52, 80)] + ["ΣΑΣ Σ. İstanbul", "a\x1cb\x85c", "don't stop—now… (really?) 12,5% #1 a_b", "x" * 300, "漢字かな交じり文", "é ﬁ", "　wide space"]
-    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    texts = [r[1] or "" for r in cases.corpus(52, 80)] + ["ΣΑΣ Σ. İstanbul", "a\x1cb\x85c", "don't stop—now… (really?) 12,5% #1 a_b", "x" * 300, "漢字かな交じり文", "é ﬁ", "　wide space"]
+    texts += ["a\0 a a\0\0 ab", "", " ", "exactly16letters exactly16letters, Exactly16letterx seventeen-letters x", "<|endoftext|> a<|startoftext|>b", "ab\u0338= ab=\u0338 e\u0301.", "क़, क़ ড়, שׁ, שׁ."]
+    assert encoded(encode, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoded(encode, []) == [] and encoded(encode, ["", " \n"]) == [[], []]
+
+
+def test_encoder_on_every_code_point():
+    """Every code point alone, before and after letters, punctuation and marks."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("word_bpe_49k.json")
+    tokenizer, encode = Tokenizer.from_file(path), packing.Encoder(path)
+    shapes = ["{}", "{},", "a{}", "{}b", "A{}.", "{}'s", "{}\u0301!", "ab{}c;"]
+    points = [chr(c) for c in [*range(1, 0xD800), *range(0xE000, 0x1F000)]]
+    texts = [" ".join(s.format(c) for c in points[i : i + 500]) for s in shapes for i in range(0, len(points), 500)]
+    told = [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert encoded(encode, texts) == told
 
 
 def test_nnls():
@@ -304,6 +324,24 @@ def test_shards_of_odd_tables(spark, tmp_path):
     assert sharding.shards(cases.empty(spark)).count() == 0
     found = rows_of(sharding.shards(cases.odd(spark), 3))
     assert len(found) == 7 and sorted(Counter(r["shard"] for r in found).values()) == [2, 2, 3]
-    docs = cases.frame(spark, cases.corpus(62, 60))
-    sharding.write_shards(docs, f"file://{tmp_path}/shards", 4)
-    assert spark.read.parquet(f"file://{tmp_path}/shards").count() == docs.count()
+    docs = cases.odd(spark)
+    sharding.write_shards(docs, f"file://{tmp_path}/odd", 3)
+    kept = spark.read.parquet(f"file://{tmp_path}/odd").select(*docs.columns)
+    assert sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))  # null and repeated ids, each row once
+
+
+def test_shards_prune_files(spark, tmp_path):
+    """Every row is written once, and the least and largest values of files rule most of them out in every dimension."""
+    rng = random.Random(6)
+    rows = [cases.row(i, "x" * int(2 ** rng.uniform(0, 12)), rng.choice("abcdefgh"), rng.choice("pqrstuvw")) for i in range(4000)]
+    docs = cases.frame(spark, rows)
+    sharding.write_shards(docs, f"file://{tmp_path}/shards", 64)
+    files = defaultdict(list)
+    for r in spark.read.parquet(f"file://{tmp_path}/shards").select("*", "_metadata.file_path").collect():
+        files[r["file_path"]].append(r)
+    assert sorted(r["doc_id"] for rs in files.values() for r in rs) == list(range(4000))
+    for value in (lambda r: r["lang"], lambda r: r["source"], lambda r: len(r["text"])):
+        wanted = [value(r) for r in rng.sample([r for rs in files.values() for r in rs], 40)]
+        spans = [(min(map(value, rs)), max(map(value, rs))) for rs in files.values()]
+        read = sum(a <= w <= b for w in wanted for a, b in spans) / len(wanted) / len(spans)
+        assert read < 0.5, read  # at random nearly all files
