@@ -25,12 +25,43 @@ from pyspark.sql import functions as F
 from sluice.llm import kernel
 from sluice.llm.common import chunks, keyed, utf8, written
 
-_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-#: Latin letters up to here are the same after NFC; one of them alone is more than a letter in lower case.
-_LATIN, _NO_LETTER = "\u0250", "\u0130"
 #: Words after which no more are kept.
 CACHE = 500_000
 _MASK = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+#: ASCII punctuation; letters; continuation bytes that make a letter, and a capital, after the byte 0xC3 (Latin letters with marks).
+_MARK, _LETTER, _LATIN, _CAPITAL = (np.zeros(256, bool) for _ in range(4))
+_MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+_LETTER[[b for b in range(128) if chr(b).isalpha()]] = True
+_LATIN[[b for b in range(0x80, 0xC0) if b not in (0x97, 0xB7)]] = True
+_CAPITAL[[b for b in range(0x80, 0x9F) if b != 0x97]] = True
+
+
+def units(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes, and first byte and end of each unit of them. A unit is a run between ASCII white space; but of a run of letters (ASCII,
+    or Latin letters after 0xC3) with ASCII punctuation after them, the letters in lower case are one unit and the punctuation another:
+    these letters are the same after normalisation, and the tokenizer cuts before the punctuation."""
+    edge = np.diff(kernel.NOT_SPACE[buf].view(np.int8), prepend=np.int8(0), append=np.int8(0))
+    begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not len(begin):
+        return buf, begin, end
+    lead = buf == 0xC3
+    after = np.concatenate([[False], lead[:-1]])
+    marked = after & _LATIN[buf]
+    letter = _LETTER[buf] | marked | np.append(lead[:-1] & marked[1:], False)
+    letters = np.concatenate([[0], np.cumsum(letter)])
+    core = np.maximum.accumulate(np.where(_MARK[buf], -1, np.arange(len(buf))))[end - 1] + 1  # the end of what is before the last marks
+    plain = (core > begin) & (letters[np.maximum(core, begin)] - letters[begin] == core - begin)
+    inside = np.zeros(len(buf) + 1, np.int8)
+    inside[begin[plain]] = 1
+    inside[end[plain]] -= 1
+    capital = (np.cumsum(inside[:-1], dtype=np.int8) > 0) & (((buf >= 65) & (buf <= 90)) | (after & _CAPITAL[buf]))
+    buf = buf + capital.astype(np.uint8) * np.uint8(32)
+    cut = plain & (core < end)
+    place = np.arange(len(begin)) + np.concatenate([[0], np.cumsum(cut)[:-1]])
+    out = np.empty((2, len(begin) + int(cut.sum())), np.int64)
+    out[:, place] = begin, np.where(cut, core, end)
+    out[:, place[cut] + 1] = core[cut], end[cut]
+    return buf, out[0], out[1]
 
 
 class Encoder:
@@ -53,46 +84,32 @@ class Encoder:
         """Words of letters alone are encoded as one text and cut where a word's last id stands."""
         words = [t for t in texts if t.isalpha()]
         done: dict[str, bytes] = {}
-        for i in range(0, len(words), 2000):
-            block = words[i : i + 2000]
+        for i in range(0, len(words), 200):
+            block = words[i : i + 200]
             ids = self._each([" ".join(block)])[0]
-            ends = 4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)
-            cuts = [0, *ends.tolist()]
-            whole = len(ends) == len(block) and cuts[-1] == len(ids)
+            cuts = [0, *(4 * (np.flatnonzero(self.ends[np.frombuffer(ids, "<u4")]) + 1)).tolist()]
+            whole = len(cuts) == len(block) + 1 and cuts[-1] == len(ids)
             done.update(zip(block, [ids[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)] if whole else self._each(block), strict=True))
         rest = [t for t in texts if t not in done]
         done.update(zip(rest, self._each(rest), strict=True))
         return [done[t] for t in texts]
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        """Latin letters with ASCII punctuation after them are the letters' ids, whatever their case, then the punctuation's.
-        All else is for the tokenizer to cut."""
-        core = word.rstrip(_MARKS)
-        if not core.isalpha() or max(core) >= _LATIN or _NO_LETTER in core:
-            return (word,)
-        return (core.lower(), word[len(core) :]) if len(core) < len(word) else (core.lower(),)
-
     def words(self, words: list[bytes]) -> list[bytes]:
         """The ids of each of some distinct words, as little-endian 32-bit numbers."""
-        known = self.known
-        parts = {w: self._parts(w.decode()) for w in words if w not in known}
-        new = list({p for x in parts.values() for p in x}.difference(known))
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        for w, x in parts.items():
-            fresh[w] = b"".join([known[p] if p in known else fresh[p] for p in x])
-        out = [known[w] if w in known else fresh[w] for w in words]
-        if len(known) < CACHE:
-            known.update(fresh)
-        return out
+        new = [w for w in words if w not in self.known]
+        fresh = dict(zip(new, self._encode([w.decode() for w in new]), strict=True))
+        if len(self.known) < CACHE:
+            self.known.update(fresh)
+            return [self.known[w] for w in words]
+        return [fresh[w] if w in fresh else self.known[w] for w in words]
 
     def __call__(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, and where each text's ids begin (with the end as last).
 
-        Words are the runs between ASCII white space. Those of up to 16 bytes are told apart as two numbers, and a sum of
-        both finds the distinct ones; longer ones are told apart as bytes."""
+        Units of up to 16 bytes are told apart as two numbers, and a sum of both finds the distinct ones; longer ones are
+        told apart as bytes."""
         buf, starts = kernel.joined(texts)
-        edge = np.diff(kernel.NOT_SPACE[buf].view(np.int8), prepend=np.int8(0), append=np.int8(0))
-        begin, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        buf, begin, end = units(buf)
         if not len(begin):
             return np.zeros(0, "<u4"), np.zeros(len(starts), np.int64)
         raw = buf.tobytes() + bytes(16)
