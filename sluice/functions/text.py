@@ -83,6 +83,10 @@ def mebibytes(n: Column) -> Column:
     return F.coalesce(F.concat(F.format_number(n / 1048576, 1), F.lit(" MiB")), F.lit("Unavailable"))
 
 
+def gibibytes(n: Column) -> Column:
+    return F.coalesce(F.concat(F.format_number(n / 1073741824, 2), F.lit(" GiB")), F.lit("Unavailable"))
+
+
 def scrubbed(metadata: Column) -> Column:
     """Log metadata with the values of telling keys replaced."""
     from sluice.functions.patterns import FORBIDDEN_LOG_KEY
@@ -95,4 +99,4 @@ def mentions(task: Column, name: Column) -> Column:
     return (F.length(name) >= 2) & ~name.rlike(r"^\d+$") & F.regexp_like(task, F.concat(F.lit("(?i)(?<![A-Za-z0-9_])"), escaped(name), F.lit("(?![A-Za-z0-9_])")))
 
 
-__all__ = ["EDGE", "escaped", "fnv1a", "is_iso_date", "journey", "mebibytes", "mentions", "month_label", "nfkc", "normalised", "price", "scrubbed", "seconds", "share", "words"]
+__all__ = ["EDGE", "escaped", "fnv1a", "gibibytes", "is_iso_date", "journey", "mebibytes", "mentions", "month_label", "nfkc", "normalised", "price", "scrubbed", "seconds", "share", "words"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions.patterns import DETECTORS, Detector
@@ -11,6 +11,27 @@ from sluice.functions.validators import VALIDATORS
 SPAN = "struct<type:string,value:string,start:int,stop:int,confidence:double,priority:int>"
 
 
+#: Items of a list under construction before they are set aside: appending copies this many, not all.
+_CHUNK = 256
+
+
+def _empty(kind: str, **more: Column) -> Column:
+    """The state of a fold that builds a list of `kind`: lists set aside, the one that grows, and what else is given."""
+    none = F.array()
+    return F.struct(none.cast(f"array<array<{kind}>>").alias("aside"), none.cast(f"array<{kind}>").alias("last"), *[v.alias(k) for k, v in more.items()])
+
+
+def _append(acc: Column, x: Column, **more: Column) -> Column:
+    full = F.size(acc["last"]) >= _CHUNK
+    aside = F.when(full, F.concat(acc["aside"], F.array(acc["last"]))).otherwise(acc["aside"])
+    last = F.when(full, F.array(x)).otherwise(F.concat(acc["last"], F.array(x)))
+    return F.struct(aside.alias("aside"), last.alias("last"), *[v.alias(k) for k, v in more.items()])
+
+
+def _listed(acc: Column) -> Column:
+    return F.concat(F.flatten(acc["aside"]), acc["last"])
+
+
 def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
     """Every match as {value, start, stop}: offsets are code points, start counts from 0, and the value of a group
     lies where its text first occurs in the match."""
@@ -18,15 +39,14 @@ def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<value:string,start:int,stop:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + F.length(x["gap"])
         start = begin + F.greatest(F.instr(x["whole"], x["value"]) - 1, F.lit(0)) if group else begin
         found = F.struct(x["value"].alias("value"), start.cast("int").alias("start"), (start + F.length(x["value"])).cast("int").alias("stop"))
-        return F.struct((begin + F.length(x["whole"])).alias("at"), F.concat(acc["out"], F.array(found)).alias("out"))
+        return _append(acc, found, at=(begin + F.length(x["whole"])).cast("int"))
 
-    return F.aggregate(rows, empty, step, lambda acc: acc["out"])
+    return F.aggregate(rows, _empty("struct<value:string,start:int,stop:int>", at=F.lit(0)), step, _listed)
 
 
 def _candidates(text: Column, d: Detector) -> Column:
@@ -42,15 +62,27 @@ def _candidates(text: Column, d: Detector) -> Column:
 
 def resolve(candidates: Column) -> Column:
     """Of overlapping candidates the one of higher priority, then of lower start, is accepted first; what touches none
-    accepted stays. Result by start."""
-    order = lambda a, b: (
-        F.when(a["priority"] > b["priority"], -1).when(a["priority"] < b["priority"], 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
-    )
-    accepted = F.aggregate(
-        F.array_sort(candidates, order), F.array().cast(f"array<{SPAN}>"),
-        lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])), acc).otherwise(F.concat(acc, F.array(x))),
-    )
-    return F.array_sort(accepted, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0))
+    accepted stays. Result by start. Candidates are cut into clusters that do not overlap each other, so that each is
+    only compared with those near it."""
+    by_start = lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).otherwise(0)
+    by_priority = lambda a, b: F.when(a["priority"] > b["priority"], -1).when(a["priority"] < b["priority"], 1).otherwise(by_start(a, b))
+    none = F.array().cast(f"array<{SPAN}>")
+
+    def cluster(acc: Column, x: Column) -> Column:
+        joins = x["start"] < acc["top"]
+        grown = F.struct(acc["aside"].alias("aside"), acc["last"].alias("last"), F.greatest(acc["top"], x["stop"]).alias("top"), F.concat(acc["now"], F.array(x)).alias("now"))
+        return F.when(joins, grown).otherwise(_append(acc, acc["now"], top=x["stop"], now=F.array(x)))
+
+    def greedy(group: Column) -> Column:
+        accepted = F.aggregate(
+            F.array_sort(group, by_priority), none,
+            lambda acc, x: F.when(F.exists(acc, lambda y: (x["start"] < y["stop"]) & (y["start"] < x["stop"])), acc).otherwise(F.concat(acc, F.array(x))),
+        )
+        return F.when(F.size(group) < 2, group).otherwise(F.array_sort(accepted, by_start))
+
+    start = _empty(f"array<{SPAN}>", top=F.lit(-1), now=none)
+    clusters = F.aggregate(F.array_sort(candidates, by_start), start, cluster, lambda acc: F.concat(_listed(acc), F.array(acc["now"])))
+    return F.flatten(F.transform(clusters, greedy))
 
 
 def detect(text: Column, types: tuple[str, ...] | None = None) -> Column:
@@ -70,12 +102,53 @@ def entities(df: DataFrame, text: str, key: list[str], types: tuple[str, ...] |
     )
 
 
-def field_texts(observations: DataFrame) -> DataFrame:
-    """Every text that a page snapshot is scanned for: one row for each (snapshot, element, field, option index)."""
+def field_texts(observations: DataFrame, tasks: DataFrame | None = None, values: DataFrame | None = None) -> DataFrame:
+    """Every text that a page snapshot is scanned for: one row for each (snapshot, element, field, option index). The fields are
+    TEXT, LABEL, OPTION and CONTROL_VALUE of elements; TASK of tasks (snapshot_id, task); and PRIVATE_VALUE of the side table
+    of values (snapshot_id, element_id, value). Empty and null texts have no row."""
     e = F.col("e")
     rows = observations.select("snapshot_id", F.explode("elements").alias("e"))
     source = F.when(F.array_contains(e["sources"], "OCR") & ~F.array_contains(e["sources"], "DOM"), "OCR").otherwise("DOM")
     one = lambda field, value: F.struct(F.lit(field).alias("field"), value.alias("text"), F.lit(None).cast("int").alias("option_index"))
     options = F.transform(F.coalesce(e["options"], F.array()), lambda x, i: F.struct(F.lit("OPTION").alias("field"), x.alias("text"), i.alias("option_index")))
     texts = F.concat(F.array(one("TEXT", e["text"]), one("LABEL", e["label"])), options, F.array(one("CONTROL_VALUE", e["control_value"])))
-    return rows.select("snapshot_id", e["id"].alias("element_id"), source.alias("source"), F.posexplode(texts).alias("part", "t")).select("snapshot_id", "element_id", "source", "part", "t.*").filter(F.length("text") > 0)
+    found = rows.select("snapshot_id", e["id"].alias("element_id"), source.alias("source"), F.posexplode(texts).alias("part", "t")).select("snapshot_id", "element_id", "source", "part", "t.*")
+    extra = lambda df, element, field, text: df.select(
+        "snapshot_id", element.cast("string").alias("element_id"), F.lit("DOM").alias("source"), F.lit(0).alias("part"), F.lit(field).alias("field"), F.col(text).alias("text"), F.lit(None).cast("int").alias("option_index")
+    )
+    if tasks is not None:
+        found = found.unionByName(extra(tasks, F.lit(None), "TASK", "task"))
+    if values is not None:
+        found = found.unionByName(extra(values, F.col("element_id"), "PRIVATE_VALUE", "value"))
+    return found.filter(F.length("text") > 0)
+
+
+def all_entities(*sources: DataFrame) -> DataFrame:
+    """The union of entities of all sources (text fields, metadata, visual hints, OCR, contextual), columns that one lacks
+    null; numbered pii_1, pii_2, ... in each snapshot by source, place and value."""
+    whole = sources[0]
+    for s in sources[1:]:
+        whole = whole.unionByName(s, allowMissingColumns=True)
+    for name, kind in (("field", "string"), ("element_id", "string"), ("region_id", "string"), ("option_index", "int"), ("start", "int"), ("evidence_id", "string"), ("contextual", "boolean")):
+        if name not in whole.columns:
+            whole = whole.withColumn(name, F.lit(None).cast(kind))
+    order = Window.partitionBy("snapshot_id").orderBy("source", "element_id", "region_id", "field", "option_index", "start", "type", "raw_value")
+    return whole.withColumn("entity_id", F.concat(F.lit("pii_"), F.row_number().over(order)))
+
+
+def contextual_entities(protected: DataFrame, type_of) -> DataFrame:
+    """Entities of a contextual scanner: one row for each placeholder of `protected` (snapshot_id, element_id, field, protected
+    {text, found}), of confidence 0.9, the type that type_of gives its placeholder, and decision ABSTRACT. raw_value is private."""
+    p = F.col("p")
+    rows = protected.select("snapshot_id", "element_id", "field", F.explode("protected.found").alias("p"))
+    return rows.select(
+        "snapshot_id", "element_id", "field", type_of(p["placeholder"]).alias("type"), F.lit("DOM").alias("source"), F.lit(0.9).alias("confidence"), p["value"].alias("raw_value"), p["placeholder"].alias("placeholder"),
+        F.lit(True).alias("contextual"), F.lit("ABSTRACT").alias("decision"),
+    )
+
+
+def handled_task(text: Column, found: Column, handle_of: Column) -> Column:
+    """A protected task text with each placeholder replaced by its handle: handle_of maps placeholders to handles, and one
+    without a handle stays. Other fields keep their placeholders."""
+    put = lambda t, p: F.when(F.element_at(handle_of, p["placeholder"]).isNotNull(), F.replace(t, p["placeholder"], F.element_at(handle_of, p["placeholder"]))).otherwise(t)
+    return F.aggregate(F.coalesce(found, F.array().cast("array<struct<placeholder:string,value:string>>")), text, put)

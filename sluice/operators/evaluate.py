@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 c = F.col
@@ -24,27 +24,88 @@ def set_confusion(cases: DataFrame, key: str = "case_id") -> DataFrame:
     return confusion(both, ["type"], c("expe_"), c("pred_"))
 
 
+def _order_statistics(rows: DataFrame, by: list[str], value: Column, fractions: dict[str, float], digits: int = 6) -> DataFrame:
+    """by, n and the percentiles of a value, exact and linearly interpolated. No group meets in one task: mergeable sketches bracket
+    each percentile, values below the bracket are counted, and only the distinct values in it (about a hundredth) are ranked.
+    Groups of up to 1000 values are bracketed whole. Null values do not count; a group of them alone has n 0 and null percentiles."""
+    keys = [F.coalesce(c(k).cast("string"), F.lit("")).alias(f"k{i}_") for i, k in enumerate(by)]
+    keys += [c(k).isNull().alias(f"z{i}_") for i, k in enumerate(by)]
+    names = [f"{x}{i}_" for x in "kz" for i in range(len(by))]
+    typed = rows.select(*by, *keys, value.cast("double").alias("v_"))
+    cuts = [min(1.0, max(0.0, p + d)) for p in fractions.values() for d in (-0.005, 0.005)]
+    groups = typed.groupBy(*by, *names).agg(F.count("v_").alias("n"), F.min("v_").alias("min_"), F.max("v_").alias("max_"), F.percentile_approx("v_", [float(x) for x in cuts], 10_000).alias("cuts_"))
+    few = c("n") <= 1000
+    brackets = F.array(*[
+        F.struct(F.lit(i).alias("p"), F.when(few, c("min_")).otherwise(F.get("cuts_", 2 * i)).alias("low"), F.when(few, c("max_")).otherwise(F.get("cuts_", 2 * i + 1)).alias("high"), (F.lit(float(p)) * (c("n") - 1)).alias("at")) for i, p in enumerate(fractions.values())
+    ])
+    told = groups.select(*names, F.explode(brackets).alias("b")).select(*names, "b.*") if names else groups.select(F.explode(brackets).alias("b")).select("b.*")
+    values = typed.filter("v_ is not null").select(*names, "v_")
+    near = (values.join(told, names) if names else values.crossJoin(F.broadcast(told))).filter(c("v_") <= c("high"))
+    inside = F.when(c("v_") >= c("low"), c("v_"))
+    counts = near.groupBy(*names, "p", "at", inside.alias("x")).agg(F.count("*").alias("m"))  # x is null below the bracket
+    upto = F.sum("m").over(Window.partitionBy(*names, "p").orderBy(F.asc_nulls_first("x")))
+    ranked = counts.withColumn("upto", upto).filter("x is not null")
+    low = F.min(F.when(c("upto") > F.floor("at"), c("x")))
+    high = F.min(F.when(c("upto") > F.ceil("at"), c("x")))
+    first = ranked.groupBy(*names, "p").agg(F.round(low + (F.first("at") - F.floor(F.first("at"))) * (high - low), digits).alias("q"))
+    wide = first.groupBy(*names).agg(*[F.max(F.when(c("p") == i, c("q"))).alias(name) for i, name in enumerate(fractions)])
+    out = groups.join(wide, names, "left") if names else groups.crossJoin(F.broadcast(wide))
+    return out.select(*by, "n", *fractions)
+
+
 def percentiles(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float], digits: int = 6) -> DataFrame:
-    """Percentiles with linear interpolation, rounded; exact, as Spark merges counts of distinct values."""
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), *[F.round(F.percentile(value, F.lit(p)), digits).alias(name) for name, p in fractions.items()])
+    """by, n and percentiles with linear interpolation, rounded; exact."""
+    return _order_statistics(rows, by, c(value), fractions, digits)
 
 
 def attempts(rows: DataFrame, by: list[str], done: Column, ms: str) -> DataFrame:
     """attempts, completed, and median and p95 of the completed; failures stay in the denominator."""
-    value = F.when(done, c(ms))
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("attempts"), F.count_if(done).alias("completed"), F.round(F.percentile(value, F.lit(0.5)), 6).alias("median"), F.round(F.percentile(value, F.lit(0.95)), 6).alias("p95")
-    )
+    own = rows.select(*by, F.coalesce(done, F.lit(False)).alias("done_"), c(ms).alias("ms_"))
+    counts = own.groupBy(*by).agg(F.count("*").alias("attempts"), F.count_if("done_").alias("completed"))
+    told = _order_statistics(own, by, F.when(c("done_"), c("ms_")), {"median": 0.5, "p95": 0.95}).drop("n")
+    same = F.lit(True)
+    for k in by:
+        same = same & counts[k].eqNullSafe(told[k])
+    return counts.join(told, same).select(*[counts[k] for k in by], "attempts", "completed", "median", "p95")
 
 
 def stage_medians(rows: DataFrame, by: list[str], stages: list[str]) -> DataFrame:
     """by, stage and the median of each stage's column."""
-    long = rows.unpivot(by, stages, "stage", "value")
-    return long.groupBy(*by, "stage").agg(F.round(F.percentile("value", F.lit(0.5)), 6).alias("median"))
+    return _order_statistics(rows.unpivot(by, stages, "stage", "value"), [*by, "stage"], c("value"), {"median": 0.5}).drop("n")
 
 
 def resources(samples: DataFrame, by: list[str], rss: str, cpu: str) -> DataFrame:
-    return samples.groupBy(*by).agg(F.count("*").alias("samples"), F.max(rss).alias("peak_rss"), F.round(F.avg(cpu), 6).alias("mean_cpu"))
+    """Number of samples, peak of memory, mean of processor use, and the difference of the peak and the least memory."""
+    return samples.groupBy(*by).agg(F.count("*").alias("samples"), F.max(rss).alias("peak_rss"), F.round(F.avg(cpu), 6).alias("mean_cpu"), (F.max(rss) - F.min(rss)).alias("rss_spread"))
+
+
+def ratio_of_sums(rows: DataFrame, by: list[str], part: str, whole: str, digits: int = 9) -> DataFrame:
+    """Sum of parts over sum of wholes (1 at least), not the mean of ratios."""
+    return rows.groupBy(*by).agg(F.round(F.sum(part) / F.greatest(F.lit(1), F.sum(whole)), digits).alias("ratio"))
+
+
+def case_report(cases: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """From arrays expected and predicted, and critical, of each case: cases; tp, fp and fn over types; the share of cases without
+    expected types that have a false one; recall of critical cases' types; share of expected types that are removed. Denominators are 1 at
+    least; null arrays are empty."""
+    none = F.array().cast("array<string>")
+    e, p = F.array_distinct(F.coalesce("expected", none)), F.array_distinct(F.coalesce("predicted", none))
+    n = lambda a: F.size(a).cast("long")
+    rows = cases.select(*by, n(e).alias("e_"), n(F.array_intersect(e, p)).alias("tp_"), n(F.array_except(p, e)).alias("fp_"), F.coalesce("critical", F.lit(False)).alias("c_"))
+    share = lambda a, b: F.round(a / F.greatest(F.lit(1), b), 9)
+    critical = lambda x: F.coalesce(F.sum(F.when(c("c_"), c(x))), F.lit(0))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("cases"), F.sum("tp_").alias("tp"), F.sum("fp_").alias("fp"), F.sum(c("e_") - c("tp_")).alias("fn"),
+        share(F.count_if((c("e_") == 0) & (c("fp_") > 0)), F.count_if(c("e_") == 0)).alias("false_positive_case_rate"), share(critical("tp_"), critical("e_")).alias("critical_recall"), share(F.sum("tp_"), F.sum("e_")).alias("removal_recall"),
+    )
+
+
+def pixel_coverage(rows: DataFrame, by: list[str]) -> DataFrame:
+    """From pixels, sensitive, masked and covered (both) areas: recall of sensitive pixels, precision of the masks, and the share of other
+    pixels left alone, each a ratio of sums."""
+    share = lambda a, b: F.round(a / F.greatest(F.lit(1), b), 9)
+    s, m, v, p = (F.sum(x) for x in ("sensitive", "masked", "covered", "pixels"))
+    return rows.groupBy(*by).agg(share(v, s).alias("pixel_recall"), share(v, m).alias("pixel_precision"), F.round(1 - (m - v) / F.greatest(F.lit(1), p - s), 9).alias("preserved"))
 
 
 def clamped_sum(value: Column) -> Column:

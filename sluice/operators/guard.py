@@ -34,6 +34,19 @@ def forbidden_properties(json: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.rlike(FORBIDDEN_PROPERTY))))
 
 
+def outbound(payloads: DataFrame, payload: str, human: str, secrets: DataFrame | None = None, key: str = "n", most_bytes: int = 2_500_000) -> DataFrame:
+    """The one assertion before anything leaves: status and reason, first failing check first. 413 TOO_LARGE; 422 KNOWN_SECRET (of the
+    session's own), SECRET (an obvious shape in human text), FORBIDDEN_KEY; else 200. A null payload counts as empty."""
+    rows = payloads.withColumn("known_", F.lit(False))
+    if secrets is not None:
+        hit = leaks(payloads.select(key, c(payload).alias("payload")), secrets, key).select(key, F.lit(True).alias("hit_")).distinct()
+        rows = rows.join(hit, key, "left").withColumn("known_", F.coalesce("hit_", F.lit(False))).drop("hit_")
+    forbidden = F.size(forbidden_properties(F.coalesce(payload, F.lit("")))) > 0
+    reason = F.when(F.octet_length(payload) > most_bytes, "TOO_LARGE").when(c("known_"), "KNOWN_SECRET").when(has_obvious_secret(c(human)), "SECRET").when(forbidden, "FORBIDDEN_KEY")
+    rows = rows.withColumn("reason", reason).drop("known_")
+    return rows.withColumn("status", F.when(c("reason").isNull(), 200).when(c("reason") == "TOO_LARGE", 413).otherwise(422))
+
+
 def leaks(payloads: DataFrame, secrets: DataFrame, key: str = "payload_id", most: int = 100_000) -> DataFrame:
     """Payload ids and the hash of each known secret found in them. The secrets are a session's own; more than
     `most` is an error, as they are broadcast."""

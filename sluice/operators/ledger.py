@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 c = F.col
 ZEROS = "0" * 64
 BODY = ("session", "index", "at", "event", "action", "action_commitment")
-BLOCK = "struct<session:string,index:long,at:long,event:string,action:string,action_commitment:string,previous:string,hash:string>"
 
 
 def digest(block: dict[str, Column], previous: Column) -> Column:
@@ -37,16 +36,29 @@ def inspect(blocks: DataFrame) -> DataFrame:
 
 
 def rehash(blocks: DataFrame) -> DataFrame:
-    """The blocks with previous and hash computed anew, in order; a session is folded, as each hash needs the one before."""
-    listed = blocks.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("index", "at", "event", "action", "action_commitment"))).alias("b"))
-    start = F.struct(F.lit(ZEROS).alias("previous"), F.array().cast(f"array<{BLOCK}>").alias("out"))
+    """The blocks with previous and hash computed anew, in order. Each hash needs the one before, so sessions are streamed in order
+    through their partition, of which only the last hash is held."""
+    import hashlib
 
-    def step(acc: Column, x: Column) -> Column:
-        own = {"session": c("session").cast("string")} | {k: x[k].cast("long" if k in ("index", "at") else "string") for k in BODY[1:]}
-        h = digest(own, acc["previous"])
-        return F.struct(h.alias("previous"), F.concat(acc["out"], F.array(F.struct(*[own[k].alias(k) for k in BODY], acc["previous"].alias("previous"), h.alias("hash")))).alias("out"))
+    body = F.to_json(F.struct(*[c(k).cast("long" if k in ("index", "at") else "string").alias({"action_commitment": "actionCommitment"}.get(k, k)) for k in BODY]), {"ignoreNullFields": "false"})
+    rows = blocks.select(*[c(k).cast("long" if k in ("index", "at") else "string").alias(k) for k in BODY], body.alias("body"))
 
-    return listed.select(F.explode(F.aggregate("b", start, step, lambda a: a["out"])).alias("b")).select("b.*")
+    def run(parts):
+        import pyarrow as pa
+
+        session, last = None, ZEROS
+        for part in parts:
+            before, hashes = [], []
+            for own, text in zip(part.column("session").to_pylist(), part.column("body").to_pylist(), strict=True):
+                if own != session:
+                    session, last = own, ZEROS
+                before.append(last)
+                last = hashlib.sha256(f'{text[:-1]},"previous":"{last}"}}'.encode()).hexdigest()
+                hashes.append(last)
+            yield pa.RecordBatch.from_arrays([*[part.column(k) for k in BODY], pa.array(before, pa.string()), pa.array(hashes, pa.string())], [*BODY, "previous", "hash"])
+
+    ordered = rows.repartition("session").sortWithinPartitions("session", *BODY[1:])
+    return ordered.mapInArrow(run, "session string, index long, at long, event string, action string, action_commitment string, previous string, hash string")
 
 
 def append(events: DataFrame) -> DataFrame:

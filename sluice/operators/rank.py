@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.functions.text import words
+from sluice.functions.text import mentions, words
 
 c = F.col
 
 
 def priority(task_words: Column) -> Column:
     """Score of an element for a task: 20 a shared word, 1000 for a handle, 800 for an empty input, 700 for options,
-    500 for a control, 100 for a link, less 200 if disabled."""
+    500 for a control, 100 for a link, less 200 if disabled. These weights are fixed values."""
     name = F.concat_ws(" ", "text", "label", "selected_option", "control_value", F.array_join(F.coalesce("options", F.array().cast("array<string>")), " "))
     flag = lambda cond, n: F.when(F.coalesce(cond, F.lit(False)), n).otherwise(0)
     return (
@@ -50,6 +50,13 @@ def budgeted(elements: DataFrame, tasks: DataFrame, chars: int = 20_000, most: i
     return rows.join(chosen, ["snapshot_id", "rank"], "left_semi").drop("size_")
 
 
+def longest_named(elements: DataFrame, tasks: DataFrame, name: str) -> DataFrame:
+    """Of the elements whose name the task of their snapshot mentions, the one of the longest name, ties by place."""
+    rows = elements.join(tasks.select("snapshot_id", c("task").alias("task_")), "snapshot_id").filter(mentions(c("task_"), c(name)))
+    order = Window.partitionBy("snapshot_id").orderBy(F.length(name).desc(), "dom_index", "id")
+    return rows.withColumn("n_", F.row_number().over(order)).filter("n_ = 1").drop("n_", "task_")
+
+
 # Ordinals and verbs of control requests.
 ORDINALS = {"first": 0, "1st": 0, "second": 1, "2nd": 1, "third": 2, "3rd": 2, "fourth": 3, "4th": 3, "fifth": 4, "5th": 4}
 SET_VERBS, CLEAR_VERBS = "select|check|tick|mark|enable|choose", "clear|uncheck|untick|deselect|disable"

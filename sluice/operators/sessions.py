@@ -50,26 +50,51 @@ COLUMNS = [x.split()[0] for x in OUT.split(", ")]
 
 
 def outcomes(events: DataFrame) -> DataFrame:
-    """Status and state after each event, sessions folded in order of seq. A session has at most MOST_STEPS accepted
-    steps, so it is a small group."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(replay(NEW, group)[1], columns=COLUMNS)
-
-    return events.groupBy("session_id").applyInPandas(run, OUT)
-
-
-def streamed(events: DataFrame) -> DataFrame:
-    """The same over a stream; the state of each session is kept between triggers."""
+    """Status and state after each event, sessions streamed in order of seq through their partition, of which only the last
+    state is held."""
+    names = ("session_id", "seq", "kind", "snapshot_id", "action_id", "plan", "success")
+
+    def run(parts):
+        import pyarrow as pa
+
+        session, now = None, NEW
+        for part in parts:
+            rows = []
+            for own, seq, kind, snapshot, action, plan, success in zip(*(part.column(n).to_pylist() for n in names), strict=True):
+                if own != session:
+                    session, now = own, NEW
+                now, status = advance(now, kind, snapshot, action, plan, success)
+                rows.append((own, seq, kind, status, now[0], now[2]))
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.int32(), pa.string(), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], COLUMNS)
+
+    typed = events.select(*[F.col(n).cast("long" if n == "seq" else "boolean" if n == "success" else "string").alias(n) for n in names])
+    return typed.repartition("session_id").sortWithinPartitions("session_id", "seq").mapInArrow(run, OUT)
+
+
+def streamed(events: DataFrame, most_steps: int = MOST_STEPS, most_ms: int | None = None) -> DataFrame:
+    """The same over a stream; the state of each session is kept between triggers. A session beyond `most_steps` accepted steps fails, with a row of
+    kind LIMIT (status 429). One without an event for `most_ms` fails with a row of kind TIMEOUT (408), and its state goes; such a stream
+    needs a trigger that goes on, as timers ask for another batch each time."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = tuple(state.get) if state.exists else NEW
-        now, rows = replay(now, pd.concat(list(parts)))
-        state.update(now)
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([(key[0], -1, "TIMEOUT", 408, "FAILED", None)], columns=COLUMNS)
+            return
+        *now, steps = state.get if state.exists else (*NEW, 0)
+        now, rows = replay(tuple(now), pd.concat(list(parts)))
+        steps += sum(r[2] in ("START", "STEP") and r[3] == 200 for r in rows)
+        if steps > most_steps and now[0] in ("OBSERVE", "EXECUTE"):
+            now = ("FAILED", now[1], None)
+            rows.append((key[0], rows[-1][1], "LIMIT", 429, "FAILED", None))
+        state.update((*now, steps))
+        if most_ms is not None:
+            state.setTimeoutDuration(most_ms)
         yield pd.DataFrame(rows, columns=COLUMNS)
 
-    return events.groupBy("session_id").applyInPandasWithState(run, OUT, "state string, snapshot_id string, pending string", "append", GroupStateTimeout.NoTimeout)
+    return events.groupBy("session_id").applyInPandasWithState(run, OUT, "state string, snapshot_id string, pending string, steps long", "append", GroupStateTimeout.NoTimeout if most_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def latest(events: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:

@@ -51,27 +51,18 @@ def _name() -> Column:
     return F.trim(F.regexp_replace(F.lower(F.concat_ws(" ", *[F.nullif(x, F.lit("")) for x in ("text", "label", "control_value")])), r"[^\p{L}\p{N}]+", " "))
 
 
-CELL = 256.0
-
-
-def _cells(df: DataFrame, box: str) -> DataFrame:
-    """One row for each grid cell that a box touches, so that only near boxes meet."""
-    b = c(box)
-    span = lambda p, s: F.sequence(F.floor(b[p] / CELL), F.floor((b[p] + F.greatest(b[s], F.lit(0.0))) / CELL))
-    return df.withColumn("cell_x_", F.explode(span("x", "width"))).withColumn("cell_y_", F.explode(span("y", "height")))
-
-
 def fuse(dom: DataFrame, pixels: DataFrame, least: float = 0.3, most: int = 2000) -> DataFrame:
     """Page elements with the sources of pixel records that lie on them (three at most), then the records that lie on
     none; at most `most` rows a snapshot, page elements first, each by dom_index.
 
-    A record of VISION fits an image, others fit by name containment. The join is by snapshot and grid cell.
+    A record of VISION fits an image, others fit by name containment. A snapshot has 2000 elements at most, so that the join by
+    snapshot, with the overlap as condition, stays small in each.
     """
-    left = _cells(dom.withColumn("name_", _name()).select("snapshot_id", c("id").alias("dom_id"), "role", "tag", "name_", c("bbox").alias("dom_box")), "dom_box")
-    right = _cells(pixels.withColumn("pixel_name_", _name()).select("snapshot_id", c("id").alias("pixel_id"), c("sources").alias("pixel_sources"), "pixel_name_", c("bbox").alias("pixel_box"), c("dom_index").alias("pixel_index")), "pixel_box")
+    left = dom.withColumn("name_", _name()).select("snapshot_id", c("id").alias("dom_id"), "role", "tag", "name_", c("bbox").alias("dom_box"))
+    right = pixels.withColumn("pixel_name_", _name()).select("snapshot_id", c("id").alias("pixel_id"), c("sources").alias("pixel_sources"), "pixel_name_", c("bbox").alias("pixel_box"), c("dom_index").alias("pixel_index"))
     named = (c("name_") != "") & (c("pixel_name_") != "") & (c("name_").contains(c("pixel_name_")) | c("pixel_name_").contains(c("name_")))
     fits = F.when(F.array_contains("pixel_sources", "VISION"), (c("role") == "img") | (c("tag") == "img")).otherwise(named)
-    pairs = left.join(right, ["snapshot_id", "cell_x_", "cell_y_"]).filter((overlap_ratio(c("dom_box"), c("pixel_box")) >= least) & fits).select("snapshot_id", "dom_id", "pixel_id", "pixel_sources", "pixel_index").distinct()
+    pairs = left.join(right, "snapshot_id").filter((overlap_ratio(c("dom_box"), c("pixel_box")) >= least) & fits).select("snapshot_id", "dom_id", "pixel_id", "pixel_sources", "pixel_index").distinct()
     added = pairs.groupBy("snapshot_id", c("dom_id").alias("id")).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pixel_index", "pixel_id", "pixel_sources"))), lambda x: x["pixel_sources"])).alias("added_"))
     own = F.coalesce("sources", F.array(F.lit("DOM")))
     fused = dom.join(added, ["snapshot_id", "id"], "left").withColumn("sources", F.when(c("added_").isNull(), own).otherwise(F.slice(F.array_distinct(F.concat(own, "added_")), 1, 3))).drop("added_").withColumn("rank_", F.lit(0))
@@ -82,38 +73,34 @@ def fuse(dom: DataFrame, pixels: DataFrame, least: float = 0.3, most: int = 2000
 
 def masks_in_regions(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """snapshot_id, region_id, box_id and the common part of each box and region of a snapshot."""
-    left = _cells(boxes.select("snapshot_id", "box_id", c("bbox").alias("box")), "box")
-    right = _cells(regions.select("snapshot_id", "region_id", c("bbox").alias("region")), "region")
+    left = boxes.select("snapshot_id", "box_id", c("bbox").alias("box"))
+    right = regions.select("snapshot_id", "region_id", c("bbox").alias("region"))
     low = lambda p: F.greatest(c("box")[p], c("region")[p])
     size = lambda p, s: F.least(c("box")[p] + c("box")[s], c("region")[p] + c("region")[s]) - low(p)
-    pairs = left.join(right, ["snapshot_id", "cell_x_", "cell_y_"]).filter(intersection(c("box"), c("region")) > 0)
+    pairs = left.join(right, "snapshot_id").filter(intersection(c("box"), c("region")) > 0)
     return pairs.select("snapshot_id", "region_id", "box_id", F.struct(low("x").alias("x"), low("y").alias("y"), size("x", "width").alias("width"), size("y", "height").alias("height")).alias("part")).distinct()
 
 
-def _iou_rows(boxes: pd.DataFrame, x: pd.Series, floor: float) -> pd.Series:
-    w = boxes["right"].clip(upper=x["right"]) - boxes["x"].clip(lower=x["x"])
-    h = boxes["bottom"].clip(upper=x["bottom"]) - boxes["y"].clip(lower=x["y"])
-    common = w.clip(lower=0) * h.clip(lower=0)
-    union = boxes["width"] * boxes["height"] + x["width"] * x["height"] - common
-    return common / union.clip(lower=floor)
-
-
 def suppress(detections: DataFrame, by: str = "image_id", most_iou: float = 0.45, most: int = 100) -> DataFrame:
     """Non-maximum suppression: by falling confidence, a detection stays unless a kept one of its type overlaps it by
     more than `most_iou`; at most `most` an image. Columns: image_id, det_id, type, confidence, x, y, width, height."""
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
         group = group.sort_values(["confidence", "det_id"], ascending=[False, True], ignore_index=True)
-        group["right"], group["bottom"] = group["x"] + group["width"], group["y"] + group["height"]
+        x, y, w, h = (group[k].to_numpy(float) for k in ("x", "y", "width", "height"))
+        types, right, bottom = group["type"].to_numpy(), x + w, y + h
         kept: list[int] = []
-        for i, x in group.iterrows():
-            same = group.loc[kept]
-            same = same[same["type"] == x["type"]]
-            if not (len(same) and (_iou_rows(same, x, 1e-12) > most_iou).any()):
+        for i in range(len(group)):
+            k = np.array(kept, int)
+            k = k[types[k] == types[i]]
+            common = np.maximum(np.minimum(right[k], right[i]) - np.maximum(x[k], x[i]), 0) * np.maximum(np.minimum(bottom[k], bottom[i]) - np.maximum(y[k], y[i]), 0)
+            if not (common > most_iou * np.maximum(w[k] * h[k] + w[i] * h[i] - common, 1e-12)).any():
                 kept.append(i)
-            if len(kept) >= most:
-                break
-        return group.loc[kept].drop(columns=["right", "bottom"])
+                if len(kept) >= most:
+                    break
+        return group.iloc[kept]
 
     return detections.groupBy(by).applyInPandas(run, detections.schema)
 
@@ -146,6 +133,37 @@ def merge_detections(detections: DataFrame, by: str = "snapshot_id", most_iou: f
     return detections.groupBy(by).applyInPandas(run, schema)
 
 
+def document_regions(texts: DataFrame, regions: DataFrame, types: tuple[str, ...] = ("PAN", "GSTIN", "PAYMENT_CARD", "AADHAAR_LIKE", "ACCOUNT_ID")) -> tuple[DataFrame, DataFrame]:
+    """Read texts (snapshot_id, text_id, text, bbox) to detected entities and masks: one row for each accepted span with the box of its text; and
+    the regions with `type`: PRIVATE_DOCUMENT, without a crop, for one that a text with an entity of `types` meets, else null."""
+    from sluice.operators.detect import detect
+
+    found = texts.select("snapshot_id", "text_id", "bbox", F.explode(detect(c("text"))).alias("e")).select("snapshot_id", "text_id", "bbox", c("e.type").alias("type"), F.lit("OCR").alias("source"), c("e.confidence").alias("confidence"), c("e.value").alias("raw_value"))
+    hard = found.filter(c("type").isin(*types)).select("snapshot_id", c("text_id").alias("box_id"), "bbox").distinct()
+    met = masks_in_regions(hard, regions).select("snapshot_id", "region_id").distinct().withColumn("type", F.lit("PRIVATE_DOCUMENT"))
+    return found, regions.join(met, ["snapshot_id", "region_id"], "left").withColumn("crop", c("type").isNull())
+
+
+def crop_records(done: DataFrame, kind: str = "image/png") -> DataFrame:
+    """Records of verified crops from `masked` rasters: id, mime_type, width, height, sha256, data_base64, redaction_verified. One that
+    is not verified is an error."""
+    checked = F.when(c("verified"), True).otherwise(F.raise_error("REDACTION_FAILED").cast("boolean"))
+    return done.select(c("image_id").alias("id"), F.lit(kind).alias("mime_type"), "width", "height", F.sha2("rgba", 256).alias("sha256"), F.base64("rgba").alias("data_base64"), checked.alias("redaction_verified"))
+
+
+def capped_pixels(records: DataFrame, most: int = 160) -> DataFrame:
+    """At most `most` pixel records of a snapshot, by falling confidence, then id."""
+    n = F.row_number().over(Window.partitionBy("snapshot_id").orderBy(c("confidence").desc(), "id"))
+    return records.withColumn("n_", n).filter(c("n_") <= most).drop("n_")
+
+
+def reading_order(boxes: DataFrame, by: str = "image_id", most: int = 200) -> DataFrame:
+    """Recognised texts (text, confidence, x, y) joined from top to bottom, then left to right: text and mean confidence of each image."""
+    n = F.row_number().over(Window.partitionBy(by).orderBy("y", "x", "text"))
+    kept = boxes.withColumn("n_", n).filter(c("n_") <= most)
+    return kept.groupBy(by).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_", "text"))), lambda t: t["text"]), " ").alias("text"), F.round(F.avg("confidence"), 6).alias("confidence"))
+
+
 def capped_regions(regions: DataFrame, analysed: int = 8) -> DataFrame:
     """The first `analysed` regions of a snapshot keep what was found; the others count as private documents."""
     n = F.row_number().over(Window.partitionBy("snapshot_id").orderBy("region_no"))

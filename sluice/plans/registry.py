@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import text as tx
 from sluice.functions.patterns import TYPES
 from sluice.operators import detect, elements, evaluate, evidence, guard, ledger, policy, rank, sessions, spatial
-from sluice.plans import corpus
+from sluice.plans import actions, controls, corpus
 from sluice.sources import page_elements
 
 c = F.col
@@ -177,6 +177,8 @@ QUERIES = {
     )
 }
 
+QUERIES |= controls.QUERIES | actions.QUERIES
+
 _EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 _CARD = r"\b(?:[0-9]{4}[ -]){3}[0-9]{4}\b|\b[0-9]{13,19}\b"  # RE2 looks neither ahead nor behind: the two usual forms
 _BLOCK = """'{"session":"' || user_id || '","index":' || i || ',"at":' || event_id || ',"event":"' || EVENT || '","action":"CLICK","actionCommitment":null,"previous":"' || repeat('0', 64) || '"}'"""
@@ -227,3 +229,17 @@ UNION ALL SELECT 'PRIVATE_DOCUMENT', 'VISION', count(*), count(DISTINCT c_custke
     "unknown_props": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) WHERE key NOT IN ('value', 'id') GROUP BY event_type, key",
     "normalised_turns": r"SELECT role, t, count(*) AS n FROM (SELECT role, nullif(substring(trim(regexp_replace(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x0B]+', ' ', 'g')), 1, 64), '') AS t FROM conversations) GROUP BY role, t",
 }
+ORACLE_SQL["detection_cases"] = "SELECT type, n AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1::DOUBLE AS precision, 1::DOUBLE AS recall, 1::DOUBLE AS f1 FROM (VALUES " + ", ".join(f"('{kind}', {n}::BIGINT)" for kind, (n, _, _) in corpus.POSITIVES.items()) + ") t(type, n)"
+ORACLE_SQL["session_outcomes"] = """
+WITH e AS (SELECT event_id // 4 AS s, event_id % 4 AS i, value > 40 AS done, event_type <> 'error' AS ok FROM events),
+w AS (SELECT s, max(CASE WHEN i = 0 THEN done::INT END) AS d0, max(CASE WHEN i = 1 THEN ok::INT END) AS o1, max(CASE WHEN i = 2 THEN done::INT END) AS d2, max(CASE WHEN i = 3 THEN ok::INT END) AS o3 FROM e GROUP BY s),
+a AS (SELECT *, CASE WHEN d0 IS NULL THEN 'NONE' WHEN d0 = 1 THEN 'COMPLETE' ELSE 'EXECUTE' END AS s0 FROM w),
+b AS (SELECT *, CASE WHEN o1 IS NULL OR s0 <> 'EXECUTE' THEN s0 WHEN o1 = 1 THEN 'OBSERVE' ELSE 'FAILED' END AS s1 FROM a),
+c AS (SELECT *, CASE WHEN d2 IS NULL OR s1 <> 'OBSERVE' THEN s1 WHEN d2 = 1 THEN 'COMPLETE' ELSE 'EXECUTE' END AS s2 FROM b),
+d AS (SELECT *, CASE WHEN o3 IS NULL OR s2 <> 'EXECUTE' OR s1 <> 'OBSERVE' THEN s2 WHEN o3 = 1 THEN 'OBSERVE' ELSE 'FAILED' END AS s3 FROM c),
+r AS (SELECT 'START' AS kind, 200 AS status, s0 AS state FROM d WHERE d0 IS NOT NULL
+UNION ALL SELECT 'VERIFY', CASE WHEN s0 = 'NONE' THEN 404 WHEN s0 = 'EXECUTE' THEN 200 ELSE 409 END, s1 FROM d WHERE o1 IS NOT NULL
+UNION ALL SELECT 'STEP', CASE WHEN s1 = 'NONE' THEN 404 WHEN s1 = 'OBSERVE' THEN 200 ELSE 409 END, s2 FROM d WHERE d2 IS NOT NULL
+UNION ALL SELECT 'VERIFY', CASE WHEN s2 = 'NONE' THEN 404 WHEN s2 = 'EXECUTE' AND s1 = 'OBSERVE' THEN 200 ELSE 409 END, s3 FROM d WHERE o3 IS NOT NULL)
+SELECT kind, status::INT AS status, state, count(*) AS n FROM r GROUP BY ALL"""
+ORACLE_SQL |= controls.ORACLE_SQL | actions.ORACLE_SQL

@@ -35,7 +35,7 @@ def test_validators(spark, name, value, ok):
 
 def test_cases_are_all_found(spark):
     cases = corpus.cases(spark)
-    assert cases.count() == 295
+    assert cases.count() == 315
     found = cases.withColumn("predicted", F.transform(detect.detect(c("text")), lambda s: s["type"]))
     wrong = found.filter(F.array_sort("predicted") != F.array_sort("expected")).collect()
     assert not wrong
@@ -223,3 +223,132 @@ def test_scalars(spark):
     assert one(spark, "2026-02-30").select(tx.is_iso_date(c("v"))).first()[0] is not True
     p95 = evaluate.percentiles(spark.createDataFrame([(47889.5,), (52741.5,), (61141.699999999255,)], "ms double"), [], "ms", {"p95": 0.95}, 2).first()
     assert p95["p95"] == 60301.68
+
+
+def test_many_spans_in_one_text(spark):
+    """Time grows with the number of spans, not with its square: 16,000 within seconds."""
+    import time
+
+    n = 16_000
+    text = " ".join(f"u{i}@mail{i}.example" for i in range(n))
+    frame = one(spark, text)
+    begin = time.time()
+    found = frame.select(detect.detect(c("v"))).first()[0]
+    took = time.time() - begin
+    assert len(found) == n and found[-1]["stop"] == len(text) and [s["start"] for s in found] == sorted(s["start"] for s in found)
+    assert took < 30
+
+
+def test_resolution_against_brute_force(spark):
+    import random
+
+    rng = random.Random(5)
+    for n in (0, 1, 5, 40, 700):
+        rows = [("T", "v", a := rng.randrange(900), a + rng.randrange(1, 25), 0.5, rng.randrange(6)) for _ in range(n)]
+        rows = list({(r[2], r[5]): r for r in rows}.values())  # priority and start tell all apart
+        accepted = []
+        for r in sorted(rows, key=lambda r: (-r[5], r[2])):
+            if not any(r[2] < y[3] and y[2] < r[3] for y in accepted):
+                accepted.append(r)
+        got = one(spark, [dict(zip(("type", "value", "start", "stop", "confidence", "priority"), r, strict=True)) for r in rows], f"array<{detect.SPAN}>").select(detect.resolve(c("v"))).first()[0]
+        assert [tuple(g) for g in got] == sorted(accepted, key=lambda r: r[2])
+
+
+def test_percentiles_against_numpy(spark):
+    """Large and small groups, ties, null keys and values: the sketches only bracket."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    groups = {"a": rng.normal(size=30_000).round(6), "b": rng.integers(0, 3, 5000).astype(float), None: rng.exponential(size=2500).round(6), "c": np.array([4.0]), "d": np.arange(7.0)}
+    rows = [(k, float(v)) for k, vs in groups.items() for v in vs] + [("e", None), ("a", None)]
+    told = {"p0": 0.0, "p50": 0.5, "p95": 0.95, "p100": 1.0}
+    got = {r["k"]: r for r in evaluate.percentiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", told).collect()}
+    assert set(got) == {*groups, "e"} and got["e"]["n"] == 0 and got["e"]["p50"] is None
+    for k, vs in groups.items():
+        assert got[k]["n"] == len(vs)
+        for name, p in told.items():
+            assert abs(got[k][name] - np.percentile(vs, 100 * p)) < 2e-6, (k, name)
+
+
+def test_label_order_and_regions(spark):
+    from sluice.sources import page_regions
+
+    html = """<body class="weava"><label for=a>For a</label><input id=a aria-label=" Aria "><input id=a2 aria-labelledby="x y"><b id=x>One</b><i id=y>Two</i>
+      <form><label>Wrap <input id=w></label></form><div><div><label>Near</label></div><section><input placeholder=Ph></section></div>
+      <p><input type=radio value=r1> beside it<br><input type=checkbox value=on title=T></p><div class="web-highlighter"><button>Gone</button></div>
+      <li>outer <p>deep <a href=/z>link <b>bold</b></a></p></li><div tabindex=0>tab</div><div tabindex=-1>no</div><span contenteditable=true>edit</span><a>bare</a>
+      <details><summary>Sum</summary><button>in</button></details><img alt=Pic><canvas></canvas><embed type=application/pdf><div data-visual-control>v</div><button aria-disabled=true>off</button></body>"""
+    pages = spark.createDataFrame([(None, html), (2, None), (3, "<p>" * 3000)], "page_id long, html string")
+    rows = page_elements(pages).collect()
+    by = [r for r in rows if r["page_id"] is None]
+    labels = {r["label"] for r in by}
+    assert {"Aria", "One Two", "Wrap", "Near Ph", "beside it"} <= labels and "Gone" not in {r["text"] for r in by}
+    texts = {r["tag"]: r["text"] for r in by if r["text"]}
+    assert texts["li"] == "outer deep link bold" and texts["a"] == "link bold" and texts["img"] == "Pic"
+    assert {r["text"] for r in by if r["tag"] in ("div", "span")} >= {"tab", "edit"} and "no" not in {r["text"] for r in by}
+    assert [r["control_value"] for r in by if r["type"] in ("radio", "checkbox")] == ["r1", None] and [r["selected"] for r in by if r["type"] == "radio"] == [False]
+    assert {r["text"]: (r["visible"], r["enabled"]) for r in by if r["tag"] in ("button", "summary")} == {"Sum": (True, True), "in": (False, True), "off": (True, False)}
+    assert sum(r["page_id"] == 3 for r in rows) == 2000
+    assert [(r["kind"], r["region_no"]) for r in page_regions(pages).orderBy("region_no").collect()] == [("IMAGE", 1), ("CANVAS", 2), ("PDF", 3), ("CONTROL", 4)]
+
+
+def test_reports_round_trip(spark, tmp_path):
+    from sluice import sources
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"name": "x",\n "ms": 3}')
+    (tmp_path / "in" / "b.json").write_text('{"ms": 4}')
+    read = sources.read_reports(spark, f"file://{tmp_path}/in", "name string, ms long")
+    assert sorted((r["name"] or "", r["ms"]) for r in read.collect()) == [("", 4), ("x", 3)]
+    sources.write_report(read, f"file://{tmp_path}/out")
+    assert spark.read.json(f"file://{tmp_path}/out").count() == 2
+    assert sources.passes(read, c("ms") > 2) and not sources.passes(read, c("name") == "x")
+    deep = '{"title":"d"}'
+    for _ in range(12):
+        deep = '{"title":"d","suites":[' + deep + "]}"
+    with pytest.raises(Exception, match="nested too deeply"):
+        sources.flat_reports(one(spark, deep), c("v"), 3).collect()
+    assert sources.flat_reports(one(spark, None), c("v"), 3).count() == 0
+    (tmp_path / "shots").mkdir()
+    (tmp_path / "shots" / "s.png").write_bytes(b"abc")
+    assert [r["bytes"] for r in sources.screenshots(spark, f"file://{tmp_path}/shots").collect()] == [3]
+
+
+def test_outbound_reasons(spark):
+    rows = [(1, '{"a":"x"}', "x"), (2, '{"Cookie":"x"}', "x"), (3, '{"a":"mail a@b.example"}', "mail a@b.example"), (4, '{"a":"hunter2"}', "x"), (5, "y" * 200, "x"), (6, None, None)]
+    df = spark.createDataFrame(rows, "n int, payload string, human string")
+    got = guard.outbound(df, "payload", "human", spark.createDataFrame([("hunter2",)], "secret string"), most_bytes=100).collect()
+    assert {r["n"]: (r["status"], r["reason"]) for r in got} == {1: (200, None), 2: (422, "FORBIDDEN_KEY"), 3: (422, "SECRET"), 4: (422, "KNOWN_SECRET"), 5: (413, "TOO_LARGE"), 6: (200, None)}
+
+
+def test_streamed_session_limits(spark, tmp_path):
+    from sluice.operators.sessions import streamed
+
+    steps = [("a", 0, "START", "snap_0", "act_0", "ACT", None)]
+    for i in range(1, 6):
+        steps += [("a", 2 * i - 1, "VERIFY", None, f"act_{i - 1}", None, True), ("a", 2 * i, "STEP", f"snap_{i}", f"act_{i}", "ACT", None)]
+    spark.createDataFrame(steps, SESSION).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = streamed(spark.readStream.schema(SESSION).parquet(f"file://{tmp_path}/in"), most_steps=3)
+    query = stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").trigger(availableNow=True).start(f"file://{tmp_path}/out", format="parquet")
+    assert query.awaitTermination(90)
+    assert [(r["status"], r["state"]) for r in spark.read.parquet(f"file://{tmp_path}/out").filter("kind = 'LIMIT'").collect()] == [(429, "FAILED")]
+
+
+def test_streamed_session_timeout(spark, tmp_path):
+    import time
+
+    from sluice.operators.sessions import streamed
+
+    spark.createDataFrame(STEPS[1:2], SESSION).coalesce(1).write.parquet(f"file://{tmp_path}/in")
+    stream = streamed(spark.readStream.schema(SESSION).parquet(f"file://{tmp_path}/in"), most_ms=2_000)
+    query = stream.writeStream.option("checkpointLocation", f"file://{tmp_path}/state").trigger(processingTime="1 second").start(f"file://{tmp_path}/out", format="parquet")
+    try:
+        for _ in range(60):
+            time.sleep(1)
+            rows = spark.read.schema("kind string, status int").parquet(f"file://{tmp_path}/out").collect() if (tmp_path / "out").exists() else []
+            if any(r["kind"] == "TIMEOUT" and r["status"] == 408 for r in rows):
+                break
+        else:
+            raise AssertionError("no timeout")
+    finally:
+        query.stop()
