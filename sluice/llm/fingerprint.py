@@ -1,6 +1,8 @@
 """Document fingerprints: bottom-k sketches of shingle hashes, mergeable, that estimate resemblance, containment and
 the number of distinct shingles.
 
+With k = 128 a resemblance r has a standard error of about sqrt(r * (1 - r) / 128), 0.044 at most.
+
 A shingle is `words` consecutive words `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words is one shingle; a text
 without words has none. A fingerprint is the base64 of the k least 48-bit hashes in ascending order.
 
@@ -87,7 +89,7 @@ def merged(prints: DataFrame, by: list[str], k: int = K, salts: int = 64) -> Dat
     """One fingerprint for each group: the sketch of all its documents' shingles together. Groups are cut by salt
     first, so that the last step has at most salts x k rows of a group."""
     parts = F.pandas_udf(lambda s: s.map(lambda f: [int(x) for x in decode(f or "")]), "array<long>")
-    rows = prints.withColumn("salt_", F.floor(F.rand(0) * salts)).select(*by, "salt_", F.explode(parts("fingerprint")).alias("hash_"))
+    rows = prints.withColumn("salt_", F.pmod(F.xxhash64("fingerprint"), F.lit(salts))).select(*by, "salt_", F.explode(parts("fingerprint")).alias("hash_"))
     for keys in ([*by, "salt_"], by):
         w = Window.partitionBy(*keys).orderBy("hash_")
         rows = rows.select(*keys, "hash_").distinct().withColumn("place_", F.row_number().over(w)).filter(F.col("place_") <= k).drop("place_")
@@ -108,20 +110,30 @@ def against_next(docs: DataFrame, k: int = K, words: int = WORDS) -> DataFrame:
     """Each document's fingerprint beside that of its edited text (its last half replaced from the next document)
     and of the next document.
 
-    Documents go to ranges of doc_id, each range sorted and streamed; the least document of a range goes to the range
-    before it as well (the first to the last), so one shuffle brings every document beside its next.
+    Documents go to ranges of doc_id (of text hash, within an id that fills several ranges), one partition for each, sorted and
+    streamed; the least document of a range goes to the range before it as well (the first to the last), so one shuffle brings every
+    document beside its next.
     """
     spark = docs.sparkSession
-    rows = keyed(docs, "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID)))
+    rows = keyed(docs, "text").withColumn("id", F.coalesce("doc_id", F.lit(NO_ID))).withColumn("tie", F.xxhash64(F.coalesce("text", F.lit(""))))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted({int(x) for x in rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts)})
-    part = F.pandas_udf(lambda s: pd.Series(np.searchsorted(cuts, s, "right"), dtype="int64"), "long")
-    # One row for each range: its least id, for the range before it.
-    least = sorted((r[0], r[1]) for r in rows.select("id").groupBy(part("id").alias("part")).agg(F.min("id")).collect())
-    heads = spark.createDataFrame([(i, least[j - 1][0]) for j, (_, i) in enumerate(least)], "head long, before long")
-    own = rows.select("id", "doc_id", part("id").alias("part"), _packed(F.col("text")).alias("packed")).join(F.broadcast(heads), F.col("id") == F.col("head"), "left")
-    copies = own.select("id", "doc_id", "packed", F.explode(F.when(F.col("head").isNull(), F.array(F.struct("part", F.lit(0).alias("extra")))).otherwise(F.array(F.struct("part", F.lit(0).alias("extra")), F.struct(F.col("before").alias("part"), F.lit(1).alias("extra"))))).alias("to"))
-    laid = copies.select("to.part", "to.extra", "id", "doc_id", "packed", F.xxhash64("packed").alias("tie")).repartition(parts, "part").sortWithinPartitions("part", "extra", "id", "tie")
+    cuts = np.sort(np.array(rows.approxQuantile("id", [i / parts for i in range(1, parts)], 0.2 / parts), np.int64))
+
+    @F.pandas_udf("long")
+    def part(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        """Ids equal to m > 1 cuts fill m ranges, by text hash."""
+        low, high = np.searchsorted(cuts, ids, "left"), np.searchsorted(cuts, ids, "right")
+        share = np.minimum((ties.to_numpy() + float(1 << 63)) / float(1 << 64), 1 - 1e-9)
+        return pd.Series(np.where(high > low + 1, low + 1 + np.floor(share * (high - low)).astype(np.int64), high))
+
+    # One row for each range: its least document, for the range before it.
+    least = sorted((*r["least"], r["part"]) for r in rows.groupBy(part("id", "tie").alias("part")).agg(F.min(F.struct("id", "tie")).alias("least")).collect())
+    heads = spark.createDataFrame([(i, t, least[j - 1][2]) for j, (i, t, _) in enumerate(least)], "head long, head_tie long, before long")
+    placed = rows.select("id", "tie", "doc_id", part("id", "tie").alias("part"), _packed(F.col("text")).alias("packed"))
+    own = placed.join(F.broadcast(heads), (F.col("id") == F.col("head")) & (F.col("tie") == F.col("head_tie")), "left")
+    once = F.array(F.struct("part", F.lit(0).alias("extra")))
+    copies = own.select("id", "tie", "doc_id", "packed", F.explode(F.when(F.col("head").isNull(), once).otherwise(F.concat(once, F.array(F.struct(F.col("before").alias("part"), F.lit(1).alias("extra")))))).alias("to"))
+    laid = copies.select("to.part", "to.extra", "id", "doc_id", "packed", "tie").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "extra", "id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress

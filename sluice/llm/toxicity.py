@@ -3,8 +3,11 @@ documents, and then point at the offending sentences.
 
 A sentence's score is the logistic of a bias and the weights of its words; a word's weight is the sum of the weights
 of its features, the word itself and its beginnings. score(document) = 1 - prod(1 - excess(sentence)), the excess being
-what a sentence's score has above that of the bias alone: sentences without evidence say nothing, however many. Texts are read
-whole. Labels train on a bounded sample of `sample` labelled documents, the least by hash of doc_id.
+what a sentence's score has above that of the bias alone: sentences without evidence say nothing, however many. Weak evidence adds up
+with the number of sentences, so of the sum of -log(1 - excess) what clean sentences give by chance (mean and spread in the clean
+documents of the sample) is taken off; the worst sentence counts whole in any case. Texts are read
+whole. Labels train on a bounded sample of `sample` labelled documents, the least by hash of doc_id; of each, sentences alike in
+their evidence come to the driver once, with their number.
 
 Defined cases: null or empty text is one sentence without words; labels that are null are ignored, of repeated ones the
 largest counts; without labels every document's score is 0 and every sentence's that of the bias alone; repeated rows are
@@ -38,10 +41,12 @@ def word_features(word: str) -> set[int]:
 
 @dataclass
 class Model:
-    """Weights of the selected feature buckets and the bias of a sentence."""
+    """Weights of the selected feature buckets, the bias of a sentence, and mean and spread of a clean sentence's evidence."""
 
     weights: dict[int, float]
     bias: float
+    mean: float = 0.0
+    spread: float = 0.0
     known: dict[str, float] = field(default_factory=dict, repr=False)
 
     def word(self, word: str) -> float:
@@ -65,8 +70,14 @@ class Model:
 
     def combined(self, sentences: np.ndarray) -> float:
         """Score of a document from those of its sentences."""
+        evidence, n = self.evidence(sentences), len(sentences)
+        beyond = evidence.sum() - n * self.mean - 3 * self.spread * np.sqrt(n)
+        return float(-np.expm1(-max(evidence.max(), beyond)))
+
+    def evidence(self, sentences: np.ndarray) -> np.ndarray:
+        """-log(1 - excess) of each sentence; noisy-or adds them up."""
         alone = 1 / (1 + np.exp(-np.clip(self.bias, -30, 30)))
-        return noisy_or(np.maximum(sentences - alone, 0) / (1 - alone))
+        return -np.log1p(-np.minimum(np.maximum(sentences - alone, 0) / (1 - alone), 1 - 1e-12))
 
     def score(self, text: str | None) -> float:
         return self.combined(self.sentences(text))
@@ -120,34 +131,37 @@ def _selected(sample: DataFrame, n_features: int, least: int) -> list[int]:
     return [r[0] for r in found.orderBy(F.desc("gain"), "feature").limit(n_features).collect()]
 
 
-def _bags(sample: DataFrame, features: list[int]) -> list:
-    """For each sampled document: label, sentences, and (sentence, feature) for each word's selected features."""
+def _bags(sample: DataFrame, features: list[int]):
+    """For each sampled document: label, number of sentences, and its distinct bags of selected features (those of each bag one after the other, as 16-bit
+    places, with the bags' sizes) with the number of sentences that have each."""
     place = {f: i for i, f in enumerate(features)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, list[int]] = {}
+        known: dict[str, tuple[int, ...]] = {}
         for batch in chunks(batches):
             rows = []
             for y, text in zip(batch.column("toxic").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                at, n, where, what = -1, 0, [], []
-                fresh = True
-                for t in TOKEN.findall((text or "").lower()):
+                n, bag, seen, any_word = 0, [], {}, False
+                for t in [*TOKEN.findall((text or "").lower()), "."]:
                     if t in STOPS:
-                        fresh = True
+                        n += any_word
+                        if bag:
+                            key = tuple(sorted(bag))
+                            seen[key] = seen.get(key, 0) + 1
+                        bag, any_word = [], False
                         continue
-                    if fresh:
-                        at, n, fresh = at + 1, n + 1, False
+                    any_word = True
                     if t not in known:
                         if len(known) > 300_000:
                             known.clear()
-                        known[t] = [place[f] for f in word_features(t) if f in place]
-                    for f in known[t]:
-                        where.append(at), what.append(f)
-                rows.append((y, max(n, 1), where, what))
+                        known[t] = tuple(place[f] for f in word_features(t) if f in place)
+                    bag += known[t]
+                rows.append((y, max(n, 1), [f for b in seen for f in b], [len(b) for b in seen], list(seen.values())))
             cols = list(zip(*rows, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.list_(pa.int32())), strict=True)], ["toxic", "n", "sentence", "feature"])
+            kinds = (pa.int32(), pa.int64(), pa.list_(pa.int16()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], ["toxic", "n", "feature", "size", "times"])
 
-    return sample.mapInArrow(run, "toxic int, n int, sentence array<int>, feature array<int>").toArrow()
+    return sample.mapInArrow(run, "toxic int, n long, feature array<short>, size array<int>, times array<int>").toArrow()
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features: int = 2048, rounds: int = 150, ridge: float = 3e-5) -> Model:
@@ -156,29 +170,34 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000, n_features:
     told = told.filter(~held_out()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     # The sample's bound is the bound of the broadcast.
     rows = written(keyed(docs, "text").join(F.broadcast(told), "doc_id").select("toxic", "text"), "labelled")
-    features = _selected(rows, n_features, least=3)
+    features = _selected(rows, min(n_features, 1 << 15), least=3)
     bags = _bags(rows, features)
     if not bags.num_rows:
         return Model({}, -3.0)
-    y, n = bags.column("toxic").to_numpy(), bags.column("n").to_numpy().astype(np.int64)
+    y, n = bags.column("toxic").to_numpy(), bags.column("n").to_numpy()
     flat = lambda c: bags.column(c).combine_chunks().flatten().to_numpy()
-    sizes = np.array([len(x) for x in bags.column("sentence")])
-    key = np.repeat(np.arange(len(y)), sizes) * (n.max() + 1) + flat("sentence")
-    sentences, at = np.unique(key, return_inverse=True)
-    of, what = sentences // (n.max() + 1), flat("feature")
-    rest = n - np.bincount(of, minlength=len(y))  # sentences of the bias alone
+    of = np.repeat(np.arange(len(y)), [len(x) for x in bags.column("size")])  # the document of each bag
+    at, what, times = np.repeat(np.arange(len(of)), flat("size")), flat("feature").astype(np.int64), flat("times").astype(float)
+    rest = n - np.bincount(of, weights=times, minlength=len(y))  # sentences of the bias alone
     w, b = np.zeros(len(features)), float(np.log(max(y.mean(), 1e-3) / max(n.mean(), 1)))
     m, v = np.zeros(len(features) + 1), np.zeros(len(features) + 1)
     for step in range(1, rounds + 1):
-        z = np.bincount(at, weights=w[what], minlength=len(sentences)) + b
-        none = np.bincount(of, weights=np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, b)  # -log of no toxic sentence
+        z = np.bincount(at, weights=w[what], minlength=len(of)) + b
+        none = np.bincount(of, weights=times * np.logaddexp(0, z), minlength=len(y)) + rest * np.logaddexp(0, b)  # -log of no toxic sentence
         pull = np.where(y > 0, -1 / np.expm1(np.clip(none, 1e-9, 500)), 1.0) / len(y)
-        dz = pull[of] / (1 + np.exp(-z))
+        dz = pull[of] * times / (1 + np.exp(-z))
         g = np.append(np.bincount(what, weights=dz[at], minlength=len(features)) + 2 * ridge * w, dz.sum() + (pull * rest).sum() / (1 + np.exp(-b)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         w, b = w - move[:-1], b - move[-1]
-    return Model({f: float(x) for f, x in zip(features, w, strict=True) if abs(x) > 1e-6}, float(b))
+    model = Model({f: float(x) for f, x in zip(features, w, strict=True) if abs(x) > 1e-6}, float(b))
+    clean, sentences = y[of] == 0, n[y == 0].sum()
+    if clean.any():  # evidence of a clean document's sentences by chance; those without a selected feature have none
+        z = np.bincount(at, weights=w[what], minlength=len(of)) + b
+        found = model.evidence(1 / (1 + np.exp(-np.clip(z[clean], -30, 30))))
+        model.mean = float((found * times[clean]).sum() / sentences)
+        model.spread = float(np.sqrt(max((found**2 * times[clean]).sum() / sentences - model.mean**2, 0)))
+    return model
 
 
 def scores(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -209,7 +228,8 @@ def reject(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
 
 
 def offending(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """doc_id, start, stop (code points) and score of each sentence at or over the threshold."""
+    """doc_id, start, stop (code points) and score of each sentence at or over the threshold. Null and empty texts have none; repeated
+    rows are read one by one."""
 
     def spans(text: str) -> list[dict]:
         out, begin = [], 0

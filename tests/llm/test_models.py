@@ -73,6 +73,45 @@ def test_sentences_without_evidence_say_nothing():
     assert m.score(clean + "You snarkwit!") >= 0.5 and math.isclose(m.score(clean + "You snarkwit!"), m.score("You snarkwit!"), rel_tol=1e-6)
 
 
+def test_weak_evidence_of_many_sentences(spark, sf_dir):
+    """Clean held-out documents joined by the hundred and three hundred stay clean; one toxic document among them is found."""
+    docs, labels = (spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    told = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect() if r["doc_id"] in told and zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2}
+    scores = {d: model.score(t) for d, t in texts.items()}
+    clean = [t for d, t in texts.items() if told[d] == 0 and scores[d] < 0.3]
+    toxic = [t for d, t in texts.items() if told[d] == 1 and scores[d] >= 0.9]
+    rng = random.Random(1)
+    for n in (100, 300):
+        wrong = sum(model.score(". ".join(rng.choices(clean, k=n))) >= 0.5 for _ in range(20))
+        assert wrong <= 1, (n, wrong)
+    found = sum(model.score(". ".join([*rng.choices(clean, k=50), rng.choice(toxic), *rng.choices(clean, k=50)])) >= 0.5 for _ in range(20))
+    assert found >= 15, found
+
+
+def test_scores_by_brute_force(spark):
+    """Every score by the formula, from the model's weights alone."""
+    docs, labels = toxic_corpus(spark, 200)
+    model = toxicity.train(docs, labels)
+    logistic = lambda x: 1 / (1 + math.exp(-max(-30, min(30, x))))
+
+    def brute(text):
+        alone, evidence = logistic(model.bias), []
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = re.findall(r"[^\W\d_]+", sentence)
+            if words:
+                p = logistic(model.bias + sum(model.weights.get(f, 0.0) for w in words for f in toxicity.word_features(w)))
+                evidence.append(-math.log(1 - min(max(p - alone, 0) / (1 - alone), 1 - 1e-12)))
+        evidence = evidence or [0.0]
+        n = len(evidence)
+        return 1 - math.exp(-max(max(evidence), sum(evidence) - n * model.mean - 3 * model.spread * math.sqrt(n)))
+
+    found = {r["doc_id"]: r["score"] for r in rows_of(toxicity.scores(docs, model))}
+    for r in docs.collect():
+        assert math.isclose(found[r["doc_id"]], brute(r["text"] or ""), rel_tol=1e-6, abs_tol=1e-9)
+
+
 def test_toxicity_of_odd_tables(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = toxicity.train(cases.odd(spark), none)
@@ -168,6 +207,32 @@ def test_fingerprints_against_brute_force(spark, n):
     assert found == brute_next(rows)
 
 
+def test_likeness_of_true_sets(spark):
+    """near_edited and near_next against the resemblance of whole shingle sets: within four standard errors, a quarter of that on average."""
+    rows = cases.corpus(44, 150)
+    shingled = lambda t: set(zip(*[re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t))[i:] for i in range(5)]))
+    ordered = sorted((d, t or "") for d, t, *_ in rows)
+    found = {r["doc_id"]: r for r in rows_of(fingerprint.against_next(cases.frame(spark, rows)))}
+    off = []
+    for i, (d, t) in enumerate(ordered):
+        n = ordered[(i + 1) % len(ordered)][1]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        for name, other in (("near_edited", e), ("near_next", n)):
+            a, b = shingled(t), shingled(other)
+            if len(a) > 4 and len(b) > 4:
+                off.append(abs(found[d][name] - len(a & b) / len(a | b)))
+    assert len(off) > 150 and max(off) <= 0.18 and sum(off) / len(off) < 0.02
+
+
+def test_an_id_that_fills_many_ranges(spark):
+    """A third of the rows share an id, with texts of their own: they go in order of text hash over several ranges, and none is lost."""
+    rng = random.Random(9)
+    rows = [cases.row(7, cases.prose(rng, 12)) for _ in range(150)] + [cases.row(i, cases.prose(rng, 12)) for i in range(300) if i != 7] + [cases.row(None, None)] * 3
+    found = rows_of(fingerprint.against_next(cases.frame(spark, rows)))
+    assert Counter(r["doc_id"] for r in found) == Counter(r[0] for r in rows)
+    assert sorted(r["fingerprint"] for r in found) == sorted(fingerprint.encode(fingerprint.sketches([(r[1] or "").encode()])[0]) for r in rows)
+
+
 def test_sketch_estimates():
     rng = random.Random(6)
     words = [f"w{i}" for i in range(4000)]

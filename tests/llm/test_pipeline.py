@@ -30,7 +30,7 @@ def base(tmp_path_factory, spark):
     item = "what is the name of the river that runs past the old stone market in the morning"
     rows += [cases.row(6000, "A long preface about wholly other matters, in words that no item has. " * 4 + item), cases.row(6001, item)]
     cases.frame(spark, rows).write.parquet(f"file://{path}/documents.parquet")
-    labels = [(5000 + i, 1, int(i % 3 == 0)) for i in range(120)] + [(r[0], 1, 0) for r in rows if r[0] < 5000]
+    labels = [(5000 + i, 1, int(i % 3 == 0)) for i in range(120)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"file://{path}/labels.parquet")
     spark.createDataFrame([(1, item), (2, None)], "item_id long, text string").write.parquet(f"file://{path}/benchmark.parquet")
     return f"file://{path}"
