@@ -22,9 +22,10 @@ def nfkc(text: Column) -> Column:
     return _nfkc(text)
 
 
-def normalised(text: Column, most: int) -> Column:
-    """Trimmed, white space collapsed, cut to `most` characters; null if nothing is left."""
-    return F.nullif(F.substring(F.trim(F.regexp_replace(text, f"{SPACE}+", " ")), 1, most), F.lit(""))
+def normalised(text: Column, most: int | None = None) -> Column:
+    """Trimmed, white space collapsed, cut to `most` characters if given; null if nothing is left."""
+    whole = F.trim(F.regexp_replace(text, f"{SPACE}+", " "))
+    return F.nullif(whole if most is None else F.substring(whole, 1, most), F.lit(""))
 
 
 def escaped(text: Column) -> Column:

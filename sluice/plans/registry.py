@@ -152,7 +152,7 @@ def unknown_props(spark, sf_dir):
 
 
 def normalised_turns(spark, sf_dir):
-    turns = table(spark, sf_dir, "conversations").select("role", tx.normalised(c("text"), 64).alias("t"))
+    turns = table(spark, sf_dir, "conversations").select("role", tx.normalised(c("text")).alias("t"))
     return turns.groupBy("role", "t").agg(F.count("*").alias("n"))
 
 
@@ -227,7 +227,7 @@ UNION ALL SELECT 'PRIVATE_DOCUMENT', 'VISION', count(*), count(DISTINCT c_custke
     "endpoint_rule": "SELECT coalesce(regexp_matches(url, '^https:') OR regexp_matches(url, '^[a-z]+://(127\\.0\\.0\\.1|localhost)([:/?#]|$)'), false) AS allowed, count(*) AS pages FROM pages GROUP BY 1",
     "url_fingerprints": "SELECT page_id, printf('%08x', list_reduce(list_prepend(2166136261::BIGINT, list_transform(string_split(url, ''), lambda x: unicode(x)::BIGINT)), lambda a, x: (xor(a, x) * 16777619) & 4294967295)) AS fingerprint FROM pages",
     "unknown_props": "SELECT event_type, key, count(*) AS n FROM (SELECT event_type, unnest(json_keys(props)) AS key FROM events) WHERE key NOT IN ('value', 'id') GROUP BY event_type, key",
-    "normalised_turns": r"SELECT role, t, count(*) AS n FROM (SELECT role, nullif(substring(trim(regexp_replace(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x0B]+', ' ', 'g')), 1, 64), '') AS t FROM conversations) GROUP BY role, t",
+    "normalised_turns": r"SELECT role, t, count(*) AS n FROM (SELECT role, nullif(trim(regexp_replace(text, '[\s\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}\x0B]+', ' ', 'g')), '') AS t FROM conversations) GROUP BY role, t",
 }
 ORACLE_SQL["detection_cases"] = "SELECT type, n AS tp, 0::BIGINT AS fp, 0::BIGINT AS fn, 1::DOUBLE AS precision, 1::DOUBLE AS recall, 1::DOUBLE AS f1 FROM (VALUES " + ", ".join(f"('{kind}', {n}::BIGINT)" for kind, (n, _, _) in corpus.POSITIVES.items()) + ") t(type, n)"
 ORACLE_SQL["session_outcomes"] = """
