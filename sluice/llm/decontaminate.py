@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -24,8 +25,11 @@ from sluice.llm.common import chunks, given_up, keyed, written
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 _LOWER = {i: i + 32 for i in range(65, 91)}
-#: Words of benchmark text in one automaton; a larger benchmark is cut into blocks of whole items, each streamed in turn.
-BLOCK_WORDS = 1_000_000
+#: Words of benchmark text in one automaton, which has at most twice as many states, of some 700 bytes each; a larger benchmark is cut
+#: into blocks of whole items, each streamed in turn.
+BLOCK_WORDS = 100_000
+#: The automaton that a Python worker has built last, by the name of its block.
+_BUILT: dict[str, Automaton] = {}
 #: What the blocks before the last have hit: spans and items of each row.
 HITS = "hits_"
 HITS_TYPE = pa.struct({"begin": pa.list_(pa.int64()), "end": pa.list_(pa.int64()), "items": pa.list_(pa.string())})
@@ -168,6 +172,14 @@ def _hits(batch: pa.RecordBatch, machine: Automaton | None) -> Iterator[tuple[in
         yield len(sequence), _merged(spans), items
 
 
+def _machine(name: str, block, window: int) -> Automaton:
+    """The automaton of a broadcast block, built once in each Python worker."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Automaton(block.value, window)
+    return _BUILT[name]
+
+
 def _swept(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int):
     """The documents with the column of hits of all blocks but the last, and the broadcast of the last (None of none).
 
@@ -191,8 +203,10 @@ def _with_hits(docs: DataFrame) -> StructType:
 
 
 def _sweep(sent, window: int):
+    name = uuid.uuid4().hex
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(sent.value, window)
+        machine = _machine(name, sent, window)
         for batch in chunks(batches):
             hits = [{"begin": [a for a, _ in s], "end": [b for _, b in s], "items": list(i)} for _, s, i in _hits(batch, machine)]
             own = [c for c in batch.schema.names if c != HITS]
@@ -208,9 +222,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block
     words. Blocks are streamed one after the other over the same documents; what they hit is merged per row.
     """
     swept, block = _swept(keyed(docs, "text"), benchmark, window, block_words)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(block.value, window) if block else None
+        machine = _machine(name, block, window) if block else None
         for batch in chunks(batches):
             rows = []
             for n_words, spans, items in _hits(batch, machine):
@@ -242,9 +257,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_w
     """The documents, all columns as they were, with benchmark spans of at least `max_words` words cut out of text;
     documents of which more than `max_share` of the words are hit go. A null text stays as it is."""
     swept, block = _swept(docs, benchmark, window, block_words)
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        machine = Automaton(block.value, window) if block else None
+        machine = _machine(name, block, window) if block else None
         for batch in chunks(batches):
             old = batch.column("text").to_pylist()
             new = [cut_spans(t, spans, max_words, max_share) for t, (_, spans, _) in zip(old, _hits(batch, machine), strict=True)]

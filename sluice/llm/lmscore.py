@@ -75,6 +75,8 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2)
         for row in bt.rows(batch):
             ids, first, distinct, places, inside = batch_grams(row, order)
             told = sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
+            if len(distinct) and not told:
+                raise RuntimeError("a batch changed between two readings of the documents")
             table = np.concatenate([bt.unsqueeze(p)[0] for _, p in told]) if told else np.zeros(0, np.int64)
             n = len(places[0])
             counts = [np.where(ok, table[p] if len(table) else 0, 0) for p, ok in zip(places, inside, strict=True)]
