@@ -48,13 +48,46 @@ def outbound(payloads: DataFrame, payload: str, human: str, secrets: DataFrame |
 
 
 def leaks(payloads: DataFrame, secrets: DataFrame, key: str = "payload_id", most: int = 100_000) -> DataFrame:
-    """Payload ids and the hash of each known secret found in them. The secrets are a session's own; more than
-    `most` is an error, as they are broadcast."""
-    known = secrets.filter(F.length("secret") > 0).select("secret").distinct()
-    if known.limit(most + 1).count() > most:
-        raise ValueError(f"more than {most} secrets")
-    found = payloads.join(F.broadcast(known), F.contains(c("payload"), c("secret")))
-    return found.select(key, F.sha2("secret", 256).alias("secret_sha256"))
+    """Payload ids and the hash of each known secret found in them, one pass over the payloads for each block of at most `most` secrets,
+    which is broadcast and scanned for all at once. Null payloads and empty secrets find nothing; repeated secrets count once."""
+    import hashlib
+    import uuid
+
+    from pyspark.sql.types import StringType, StructField, StructType
+
+    spark, field = payloads.sparkSession, payloads.schema[key]
+    schema = StructType([StructField(key, field.dataType), StructField("secret_sha256", StringType())])
+    found = spark.createDataFrame([], schema)
+    rows = payloads.select(key, c("payload").cast("string").alias("payload")).filter("payload is not null")
+
+    def scan(name: str, sent):
+        def run(parts):
+            import ahocorasick
+            import pyarrow as pa
+
+            if name not in _SCANNERS:
+                _SCANNERS.clear()
+                _SCANNERS[name] = ahocorasick.Automaton()
+                for s in sent.value:
+                    _SCANNERS[name].add_word(s, hashlib.sha256(s.encode()).hexdigest())
+                _SCANNERS[name].make_automaton()
+            for part in parts:
+                hits = [sorted({v for _, v in _SCANNERS[name].iter(t)}) for t in part.column("payload").to_pylist()]
+                at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(key).take(at), pa.array([v for h in hits for v in h], pa.string())], [key, "secret_sha256"])
+
+        return run
+
+    block: list[str] = []
+    for row in secrets.select(c("secret").cast("string").alias("secret")).filter(F.length("secret") > 0).distinct().toLocalIterator():
+        block.append(row["secret"])
+        if len(block) == most:
+            found, block = found.union(rows.mapInArrow(scan(uuid.uuid4().hex, spark.sparkContext.broadcast(block)), schema)), []
+    return found.union(rows.mapInArrow(scan(uuid.uuid4().hex, spark.sparkContext.broadcast(block)), schema)) if block else found
+
+
+#: The scanner that a Python worker has built last, by the name of its block.
+_SCANNERS: dict = {}
 
 
 def endpoint_allowed(url: Column) -> Column:

@@ -352,3 +352,13 @@ def test_streamed_session_timeout(spark, tmp_path):
             raise AssertionError("no timeout")
     finally:
         query.stop()
+
+
+def test_leaks_by_blocks(spark):
+    secrets = [(f"s3cret-{i}-",) for i in range(25)] + [("",), (None,), ("s3cret-3-",), ("cret-3",)]
+    payloads = [(i, f"has s3cret-{i}- and more") for i in range(30)] + [(99, None)]
+    got = guard.leaks(spark.createDataFrame(payloads, "payload_id int, payload string"), spark.createDataFrame(secrets, "secret string"), most=7).collect()
+    wanted = {(i, s) for i, p in payloads if p for s, in set(secrets) if s and s in p}
+    import hashlib
+
+    assert {(r["payload_id"], r["secret_sha256"]) for r in got} == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in wanted} and len(got) == len(wanted)
