@@ -15,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -185,6 +184,15 @@ def line_digest(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
 
 def drop_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """The documents with repeated lines removed from text; every other column as it was."""
-    apply = F.pandas_udf(lambda t, b: pd.Series([applied(x, y) for x, y in zip(t, b, strict=True)], dtype=object), "string")
-    marked = with_bitmaps(docs, min_chars, min_docs)
-    return marked.withColumn("text", F.when(F.col("keep_bitmap_").isNull(), F.col("text")).otherwise(apply("text", "keep_bitmap_"))).select(*docs.columns)
+    marked, columns = with_bitmaps(docs, min_chars, min_docs), docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches):
+            place = batch.schema.get_field_index("text")
+            kind = batch.schema.field(place)
+            bitmaps = batch.column("keep_bitmap_").to_pylist()
+            if any(bitmaps):
+                batch = batch.set_column(place, kind, pa.array([applied(t, b) for t, b in zip(batch.column(place).to_pylist(), bitmaps, strict=True)], kind.type))
+            yield batch.select(columns)
+
+    return marked.mapInArrow(run, docs.schema)

@@ -34,9 +34,13 @@ BUCKETS, SLICES = 1 << 20, 64
 PREFIXES = range(4, 9)
 
 
-def word_features(word: str) -> set[int]:
-    """Hashed features of a word: itself, and its beginnings of four to eight letters."""
-    return {zlib.crc32(b"w" + word.encode()) % BUCKETS} | {zlib.crc32(b"p" + word[:n].encode()) % BUCKETS for n in PREFIXES if len(word) >= n}
+#: Words whose features or weights a Python worker keeps; then it begins anew.
+KEPT_WORDS = 60_000
+
+
+def word_features(word: str) -> tuple[int, ...]:
+    """Hashed features of a word, distinct: itself, and its beginnings of four to eight letters."""
+    return tuple({zlib.crc32(b"w" + word.encode()) % BUCKETS} | {zlib.crc32(b"p" + word[:n].encode()) % BUCKETS for n in PREFIXES if len(word) >= n})
 
 
 @dataclass
@@ -56,7 +60,7 @@ class Model:
         """Score of each sentence, those of no words included."""
         tokens = TOKEN.findall((text or "").lower())
         known = self.known
-        if len(known) > 300_000:
+        if len(known) > KEPT_WORDS:
             known.clear()
         for t in set(tokens).difference(known):
             known[t] = np.nan if t in STOPS else self.word(t)
@@ -101,10 +105,10 @@ def _selected(sample: DataFrame, n_features: int, least: int) -> list[int]:
                 found: set[int] = set()
                 for word in set(TOKEN.findall((text or "").lower())) - STOPS:
                     if word not in known:
-                        if len(known) > 300_000:
+                        if len(known) > KEPT_WORDS:
                             known.clear()
                         known[word] = word_features(word)
-                    found |= known[word]
+                    found.update(known[word])
                 counts[y, list(found)] += 1
                 sizes[y] += 1
         width = BUCKETS // SLICES
@@ -152,7 +156,7 @@ def _bags(sample: DataFrame, features: list[int]):
                         continue
                     any_word = True
                     if t not in known:
-                        if len(known) > 300_000:
+                        if len(known) > KEPT_WORDS:
                             known.clear()
                         known[t] = tuple(place[f] for f in word_features(t) if f in place)
                     bag += known[t]
