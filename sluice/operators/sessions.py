@@ -100,3 +100,22 @@ def streamed(events: DataFrame, most_steps: int = MOST_STEPS, most_ms: int | Non
 def latest(events: DataFrame, by: str, value: str, order: list[str]) -> DataFrame:
     """The value of each group's last event."""
     return events.groupBy(by).agg(F.max_by(value, F.struct(*order)).alias("state"), F.count("*").alias("n_events"))
+
+
+def record(events: DataFrame, path: str) -> None:
+    """Append events to a log, a session and its first action in one write."""
+    events.write.mode("append").parquet(path)
+
+
+def recorded(stream: DataFrame, path: str, checkpoint: str):
+    """A streaming query that appends each micro-batch of events once, told by its number."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def lookup(events: DataFrame, session_id: str) -> DataFrame:
+    """The state of one session: session_id, state and pending_action_id after its last event; no row if it is unknown."""
+    return outcomes(events.filter(F.col("session_id") == session_id)).groupBy("session_id").agg(F.max_by(F.struct("state", "pending_action_id"), "seq").alias("s")).select("session_id", "s.*")

@@ -362,3 +362,36 @@ def test_leaks_by_blocks(spark):
     import hashlib
 
     assert {(r["payload_id"], r["secret_sha256"]) for r in got} == {(i, hashlib.sha256(s.encode()).hexdigest()) for i, s in wanted} and len(got) == len(wanted)
+
+
+def test_recorded_sessions(spark, tmp_path):
+    frame = spark.createDataFrame(STEPS, SESSION)
+    sessions.record(frame.filter("seq < 4"), f"file://{tmp_path}/log")
+    sessions.record(frame.filter("seq >= 4"), f"file://{tmp_path}/log")
+    log = spark.read.parquet(f"file://{tmp_path}/log")
+    assert [(r["state"], r["pending_action_id"]) for r in sessions.lookup(log, "a").collect()] == [("COMPLETE", None)] and sessions.lookup(log, "zz").count() == 0
+    stream = spark.readStream.schema(SESSION).parquet(f"file://{tmp_path}/log")
+    assert sessions.recorded(stream, f"file://{tmp_path}/out", f"file://{tmp_path}/check").awaitTermination(90)
+    assert spark.read.parquet(f"file://{tmp_path}/out").count() == len(STEPS)
+
+
+def test_planner_ladder(spark):
+    """One snapshot for each rule, in the ladder's order."""
+    from sluice.operators import planner
+
+    told = [
+        ("finish the order", [element(0, text="Order placed")], "VISIBLY_DONE", None), ("fill", [element(1, "textbox", value_handle="LOCAL_EMAIL_1"), element(0, text="Submit")], "FILL", "el_1"),
+        ("choose blue", [element(3, "combobox", options=["Select one", "Red", "Blue"], selected_option="Red")], "CHOOSE", "el_3"), ("take the cheapest", [element(3, "combobox", options=["a Rs. 90", "b Rs. 1,000", "c ₹ 20"])], "CHOOSE", "el_3"),
+        ("check the second checkbox", [element(i, "checkbox", selected=False) for i in range(3)], "ORDINAL", "el_1"), ("uncheck newsletter", [element(4, "checkbox", label="Newsletter", selected=True)], "NAMED_STATE", "el_4"),
+        ("please continue", [element(2, text="Continue now")], "BUTTON_INTENT", "el_2"), ("click save", [element(5, text="Save"), element(6, text="Other")], "NAMED_BUTTON", "el_5"), ("click save", [element(5, text="Save"), element(6, label="save")], "NO_RULE", None),
+        ("choose blue", [element(3, "combobox", options=["Blue"], selected_option="Blue")], "SATISFIED", None), ("do not press continue", [element(2, text="Continue")], "NO_RULE", None), ("nothing", [element(9, "div")], "NO_RULE", None),
+    ]
+    rows, asked = [], []
+    for i, (task, es, *_) in enumerate(told):
+        rows += [(f"snap_{i}", *e[1:]) for e in es]
+        asked.append((f"snap_{i}", task))
+    asked.append(("snap_empty", "continue"))
+    frame = spark.createDataFrame(rows, ELEMENT).withColumn("task", F.lit("overridden"))
+    got = {r["snapshot_id"]: (r["rule"], r["element_id"], r["option"]) for r in planner.plan(frame, spark.createDataFrame(asked, "snapshot_id string, task string")).collect()}
+    assert {k: v[:2] for k, v in got.items()} == {f"snap_{i}": (rule, at) for i, (_, _, rule, at) in enumerate(told)} | {"snap_empty": ("NO_RULE", None)}
+    assert got["snap_2"][2] == "Blue" and got["snap_3"][2] == "c ₹ 20"
