@@ -43,11 +43,14 @@ def batch_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids, first, distinct, places, [np.append(ok, np.zeros(len(hashes) - len(ok), bool)) for _, ok in grams]
 
 
-def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2) -> DataFrame:
-    """doc_id, n_tokens, n_backed_off, log_score (natural, summed) and log_score_per_token of every document."""
+def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_bytes: int = bt.BATCH_BYTES, bucket_bytes: int = 4 << 20) -> DataFrame:
+    """doc_id, n_tokens, n_backed_off, log_score (natural, summed) and log_score_per_token of every document.
+
+    A batch and a bucket exchange one row: both sizes grow with the root of the input, as executors allow, to keep rows full.
+    """
     total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).collect()[0][0]
-    staged = bt.cut(docs).repartition("batch")  # both uses below share this one exchange
-    buckets = bt.bucket_count(total, 4 << 20)
+    staged = bt.cut(docs, batch_bytes).repartition("batch")  # both uses below share this one exchange
+    buckets = bt.bucket_count(total, bucket_bytes)
 
     def ask(parts):
         for part in parts:

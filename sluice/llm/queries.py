@@ -102,5 +102,28 @@ n3 AS (SELECT w3, count(*) AS n FROM t WHERE w3 IS NOT NULL GROUP BY w3), s AS (
 ), a AS (SELECT doc_id, sum(log) AS log, sum(backed) AS backed, count(*) AS n FROM s GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_tokens, coalesce(backed, 0)::BIGINT AS n_backed_off, round(coalesce(log, 0), 4) AS log_score, round(log / n, 4) AS log_score_per_token
 FROM d LEFT JOIN a USING (doc_id)
+""",
+    "op6_suffix_array_dedup": """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+p AS (SELECT doc_id, o, least(1000, len(h) // 2 - o) AS n, len(h) // 2 - 49 - o AS last, h[2 * o + 1:2 * o + 2098] AS h FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2, 1000)) AS o FROM d)),
+b AS (SELECT doc_id, o, last, h, unnest(range(1, n + 1)) AS j FROM p),
+w AS (SELECT doc_id, o + j AS i, h[2 * j - 1:2 * j] AS byte, CASE WHEN j <= last THEN md5_number(h[2 * j - 1:2 * j + 98]) END AS win FROM b),
+f AS (SELECT win, min(doc_id) AS first FROM w WHERE win IS NOT NULL GROUP BY win),
+c AS (SELECT doc_id, i, byte, coalesce(first < doc_id, false)::INT AS covered FROM w LEFT JOIN f USING (win)),
+g AS (SELECT doc_id, i, byte, max(covered) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone FROM c),
+e AS (SELECT *, lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) AS was FROM g),
+t AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone = 1) AS n_removed, count(*) FILTER (gone = 1 AND was = 0) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (gone = 0), '') AS kept FROM e GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN t USING (doc_id)
+""",
+    "op10_ngram_jaccard_join": rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM d
+), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), p AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS x, any_value(b.n) AS y, count(*) AS c FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (SELECT a, b FROM p WHERE 100 * c >= 90 * (x + y - c)), both_ AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r AS (SELECT doc_id AS node, doc_id AS least FROM s UNION SELECT b, least FROM r JOIN both_ ON node = a WHERE least < b)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, min(least) AS component_id FROM s JOIN r ON node = s.doc_id GROUP BY ALL
 """,
 }

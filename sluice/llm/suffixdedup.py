@@ -220,13 +220,16 @@ def _spans_of_bucket(length: int, seed: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS) -> tuple[DataFrame, DataFrame]:
-    """The staged documents, and for each batch the spans to remove as compressed arrays."""
+def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS, batch_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+    """The staged documents, and for each batch the spans to remove as compressed arrays.
+
+    A batch and a bucket exchange one row: both sizes grow with the root of the input, as executors allow, to keep rows full.
+    """
     if not 0 < seed < length:
         raise ValueError("the seed is shorter than the window")
-    staged, total = bt.stage(docs, "suffix", 1 << 20)
-    buckets = bt.bucket_count(total, 4 << 20)
-    fine = bt.bucket_count(total, 1 << 20)  # runs overlap, and sorting takes `length` bytes for each of theirs
+    staged, total = bt.stage(docs, "suffix", batch_bytes)
+    buckets = bt.bucket_count(total, bucket_bytes)
+    fine = bt.bucket_count(total, bucket_bytes // 4)  # runs overlap, and sorting takes `length` bytes for each of theirs
 
     def ask(parts):
         for part in parts:
