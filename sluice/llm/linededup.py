@@ -107,7 +107,8 @@ def _streamed(min_docs: int):
 def line_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """doc_id, text_hash, n_dropped and keep_bitmap (zlib of packed bits, first line first) of each row that loses a line."""
     rows = keyed(docs, "text")
-    lines = rows.withColumn("text_hash", text_hash(rows)).mapInArrow(_lines(min_chars), "key binary, doc long, pos int, text_hash long")
+    # Written, as a range partitioning reads its input twice: once for the bounds.
+    lines = written(rows.withColumn("text_hash", text_hash(rows)).mapInArrow(_lines(min_chars), "key binary, doc long, pos int, text_hash long"), "all-lines")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("key"), F.col("doc").desc(), F.col("pos")]
     found = written(
