@@ -55,6 +55,11 @@ def given_up(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Shuffle files that nothing refers to any more go when the driver collects its garbage; after a large shuffle, now."""
+    spark._jvm.System.gc()
+
+
 def keyed(docs: DataFrame, *columns: str) -> DataFrame:
     """doc_id as long and the named string columns; missing ids stay null, other columns are left behind."""
     small_lots(docs.sparkSession)

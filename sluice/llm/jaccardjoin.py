@@ -16,8 +16,8 @@ one row for each lot of `LOT` bytes of text. In a group of equal keys every docu
 pairs whose whole-document bit sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the
 symmetric difference) differ in more bits than D go; what is then verified makes components. Groups whose other documents still span
 components are cut into blocks of bounded size, in which only sketches of different components are compared; of near ones a block
-sends no more than join its components, to be verified too. A block with one that fails is searched again with
-the sets themselves. So no link between components is lost.
+sends no more than join its components, to be verified too. A block with one that fails is searched again, for the documents that are near
+any of another component, and these by their sets. So no link between components is lost.
 
 Defined cases: a null doc_id links with nothing and its component is null; rows that share a doc_id stand for their
 least text; null texts have no words; other columns are kept by `one_of_each` and ignored elsewhere.
@@ -35,13 +35,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel
-from sluice.llm.common import chunks, given_up, keyed, utf8, written
+from sluice.llm.common import chunks, free_shuffles, given_up, keyed, utf8, written
 from sluice.llm.components import components
 
 U = np.uint64
 PAIR = "a long, b long"
-SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary"
-SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch"]
+SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary, fold binary"
+SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch", "fold"]
 MET = "key long, hub long, doc long, more boolean"
 #: Bytes of text whose documents share keys before these are shuffled.
 LOT = 8 << 20
@@ -102,6 +102,12 @@ def whole_sketch(u: np.ndarray) -> bytes:
     return np.packbits(odd.astype(bool), bitorder="little").tobytes()
 
 
+def folded(sketch: bytes) -> bytes:
+    """Half the bits, a bit for each shingle still, for comparison within blocks; 512 bits stay."""
+    x = np.frombuffer(sketch, np.uint64)
+    return sketch if len(x) <= 8 else (x[: len(x) // 2] ^ x[len(x) // 2 :]).tobytes()
+
+
 def may_link(a: bytes, b: bytes, total: int, num: int, den: int) -> bool:
     """Whether the Hamming distance of two sketches allows a link of sets of `total` elements together."""
     x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
@@ -120,7 +126,9 @@ def _sizes(words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(parts):
             sets = kernel.shingles(utf8(batch.column("text")), words)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array([whole_sketch(u) for u in sets], pa.binary())], SIZES_NAMES)
+            sketches = [whole_sketch(u) for u in sets]
+            columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array(sketches, pa.binary()), pa.array([folded(x) for x in sketches], pa.binary())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], SIZES_NAMES)
 
     return run
 
@@ -192,11 +200,12 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
-def _across(num: int, den: int, exact: bool):
-    """Rows sorted by block: links between components, of pairs near enough by size and Hamming distance. A pair counts
-    only if its components are not yet joined in the block, so there are fewer pairs than documents. `exact`: rows have their sets,
-    and pairs are verified here. A block holds the documents of one group, or of one pair of its pieces: then those of
-    the same piece meet elsewhere."""
+def _across(num: int, den: int, what: str):
+    """Rows sorted by block; pairs of different components near enough by size and Hamming distance are sought. what is `links`: a pair is told
+    if its components are not yet joined in the block, so that there are fewer pairs than documents; `docs`: each document of a pair is told
+    (as a and b), once; or `exact`: as links, but rows have their sets and pairs are verified here. A block holds the documents of one
+    group, or of one pair of its pieces: then those of the same piece meet elsewhere."""
+    exact = what == "exact"
 
     def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         docs, comp, size, piece = (np.array(c, np.int64) for c in zip(*[r[:4] for r in rows], strict=True))
@@ -206,6 +215,7 @@ def _across(num: int, den: int, exact: bool):
         up = np.arange(len(values))
         outside = np.flatnonzero(comp != np.argmax(counts))  # every pair between components has one of these
         step = max(1, (1 << 21) // sketch.size)
+        named = np.zeros(len(docs), bool)
         for x in range(0, len(outside), step):
             o = outside[x : x + step]
             own = up[comp]
@@ -217,14 +227,18 @@ def _across(num: int, den: int, exact: bool):
                 p, q = o[i[y : y + (1 << 14)]], j[y : y + (1 << 14)]
                 spare = (den - num) * (size[p] + size[q]) - np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) * (den + num)
                 hit = np.flatnonzero(spare >= 0)
+                if what == "docs":
+                    named[p[hit]] = named[q[hit]] = True
+                    continue
                 for k in hit[np.argsort(-spare[hit], kind="stable")].tolist():
                     a, b = p[k], q[k]
                     low, high = sorted((up[comp[a]], up[comp[b]]))
                     if low != high and (not exact or linked(np.frombuffer(rows[a][5], np.uint64), np.frombuffer(rows[b][5], np.uint64), num, den)):
                         up[up == high] = low
                         yield min(int(docs[a]), int(docs[b])), max(int(docs[a]), int(docs[b]))
+        yield from ((d, d) for d in docs[named].tolist())
 
-    names = [*BLOCK, "doc", "component", "n_shingles", "piece", "sketch", *(["shingles"] if exact else [])]
+    names = [*BLOCK, "doc", "component", "n_shingles", "piece", "fold", *(["shingles"] if exact else [])]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -274,7 +288,7 @@ def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame
 
 def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    bands = Bands(num, den)
+    spark, bands = docs.sparkSession, Bands(num, den)
     rows = keyed(docs, "text")
     sizes = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
     told = sizes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()[0]
@@ -293,6 +307,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 
     at = F.when(F.col("hub") == F.col("doc"), F.col("key")).otherwise(F.xxhash64("key", "doc"))  # rows that name a hub need no meeting
     met = written(one.mapInArrow(_sent(words, bands), MET).repartition(at).sortWithinPartitions("key", "doc").mapInArrow(_met, MET).select("key", "hub", "doc"), "met")
+    free_shuffles(spark)
     pairs = written(met.filter("hub != doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     near = written(_sifted(pairs, alone, num, den), "near")
 
@@ -319,24 +334,31 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     groups = written(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "spanning")
     mixed = written(labelled.join(groups, "key").distinct(), "mixed")
     given_up(labelled)
-    sketch = alone.select(F.col("doc_id").alias("doc"), "n_shingles", "sketch")
-    mixed = written(mixed.join(sketch, "doc"), "unsettled")
-    pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum(F.octet_length("sketch")) / BLOCK_BYTES)).cast("long").alias("pieces")
+    size = alone.select(F.col("doc_id").alias("doc"), "n_shingles", F.octet_length("fold").alias("bytes"))
+    mixed = written(mixed.join(size, "doc"), "unsettled")
+    pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("pieces")
     cut = mixed.join(written(mixed.groupBy("key").agg(pieces), "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")))
-    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with")).drop("with", "pieces")
-    found = "key long, i long, j long, a long, b long"
-    rest = written(cut.repartition(*BLOCK).sortWithinPartitions(*BLOCK).mapInArrow(_across(num, den, False), found), "rest")
+    cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with")).drop("with", "pieces", "bytes")
+    fold = alone.select(F.col("doc_id").alias("doc"), "fold")
+
+    def searched(rows: DataFrame, what: str) -> DataFrame:
+        laid = rows.join(fold, "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+        return written(laid.mapInArrow(_across(num, den, what), "key long, i long, j long, a long, b long"), f"blocks-{what}")
+
+    rest = searched(cut, "links")
+    free_shuffles(spark)
     late = links_of(written(rest.select("a", "b").distinct(), "late"))
     more = lambda links: components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links))
     if not late.isEmpty():
         parts = written(more(late), "components")
-    # Blocks of which a near pair was no link are searched again, set by set.
+    # Blocks of which a near pair was no link are searched again: for the documents near others, then by the sets of these.
     missed = written(rest.join(late, ["a", "b"], "left_anti").select(*BLOCK).distinct(), "missed")
     if not missed.isEmpty():
         again = cut.join(missed, BLOCK).drop("component").join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        sets = written(rows.join(again.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
-        again = again.join(sets.withColumnRenamed("doc_id", "doc"), "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
-        late = written(again.mapInArrow(_across(num, den, True), found).select("a", "b"), "last")
+        again = written(again, "again")
+        near = written(again.join(searched(again, "docs").select(*BLOCK, F.col("a").alias("doc")), [*BLOCK, "doc"]), "near-docs")
+        sets = written(rows.join(near.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+        late = searched(near.join(sets.withColumnRenamed("doc_id", "doc"), "doc"), "exact").select("a", "b")
         if not late.isEmpty():
             parts = more(late)
     own = sizes.select("doc_id", "n_shingles").join(parts.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
