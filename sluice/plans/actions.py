@@ -156,7 +156,7 @@ def capped_pixel_rows(spark, sf_dir):
 
 
 def read_texts(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").select(F.floor(c("p_partkey") / 10).alias("image_id"), c("p_name").alias("text"), (c("p_size") / 64).alias("confidence"), (c("p_size") % 5).alias("y"), c("p_partkey").alias("x"))
+    p = _table(spark, sf_dir, "part").select(F.floor(c("p_partkey") / 10).alias("image_id"), c("p_name").alias("text"), (c("p_size") * 0.01).cast("double").alias("confidence"), (c("p_size") % 5).alias("y"), c("p_partkey").alias("x"))
     return spatial.reading_order(p)
 
 
@@ -303,7 +303,7 @@ met AS (SELECT DISTINCT r.s, r.id FROM b t JOIN b r ON t.s = r.s AND t.odd = 1 A
 q AS (SELECT CASE WHEN met.id IS NOT NULL THEN 'PRIVATE_DOCUMENT' END AS type FROM b LEFT JOIN met USING (s, id) WHERE odd = 0)
 SELECT type, type IS NULL AS crop, count(*) AS n, (SELECT count(*) FROM b WHERE odd = 1 AND m = 0) AS pans, (SELECT count(*) FROM b WHERE odd = 1 AND m = 1) AS mails FROM q GROUP BY ALL""",
     "capped_pixel_rows": "SELECT user_id AS snapshot_id, count(*) AS n, min(value) AS least, sum(event_id)::BIGINT AS ids FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS nth FROM events) WHERE nth <= 40 GROUP BY user_id",
-    "read_texts": "SELECT p_partkey // 10 AS image_id, string_agg(p_name, ' ' ORDER BY p_size % 5, p_partkey) AS text, round(avg(p_size / 64), 6) AS confidence FROM part GROUP BY 1",
+    "read_texts": "SELECT p_partkey // 10 AS image_id, string_agg(p_name, ' ' ORDER BY p_size % 5, p_partkey) AS text, round(avg(p_size * 0.01::DOUBLE), 6) AS confidence FROM part GROUP BY 1",
     "decoded_symbols": f"""WITH e AS (SELECT user_id, event_type, value, lag(event_type) OVER w AS b, row_number() OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), k AS (SELECT * FROM e WHERE event_type IN {_SYMBOLS} AND event_type IS DISTINCT FROM b), u AS (SELECT DISTINCT user_id FROM events)
 SELECT user_id, sha256(coalesce(string_agg(event_type[1], '' ORDER BY n), '')) AS text_sha256, round(coalesce(avg(value), 0), 6) AS confidence FROM u LEFT JOIN k USING (user_id) GROUP BY user_id""",
     "suppressed_pairs": """WITH p AS (SELECT p_partkey AS image_id, p_size AS d, p_partkey % 3 <> 0 AS same, greatest(0, 40 - p_size) * 20.0 AS c FROM part WHERE p_partkey % 2 = 0), q AS (SELECT *, same AND c / (1600 - c) > 0.45 AS over FROM p)
