@@ -55,6 +55,11 @@ def given_up(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
 
 
+def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table, to be broadcast if it has at most `most` (narrow) rows; beyond, Spark joins it as any other."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Shuffle files that nothing refers to any more go when the driver collects its garbage; after a large shuffle, now."""
     spark._jvm.System.gc()

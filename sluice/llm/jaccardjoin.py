@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm import kernel
-from sluice.llm.common import chunks, free_shuffles, given_up, keyed, utf8, written
+from sluice.llm.common import chunks, free_shuffles, given_up, keyed, sized, utf8, written
 from sluice.llm.components import components
 
 U = np.uint64
@@ -44,7 +44,7 @@ SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary, fold bina
 SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch", "fold"]
 MET = "key long, hub long, doc long, more boolean"
 #: Bytes of text whose documents share keys before these are shuffled.
-LOT = 8 << 20
+LOT = 4 << 20
 BLOCK = ["key", "i", "j"]
 #: Documents, and bytes of their sketches, of one block of a group that spans components.
 BLOCK_DOCS, BLOCK_BYTES = 1024, 8 << 20
@@ -303,7 +303,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     equal = alone.filter("n_shingles > 0")
     copies = written(equal.groupBy("set_hash").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).filter("n > 1").drop("n"), "equal")
     copy = written(equal.select("set_hash", F.col("doc_id").alias("b")).join(copies, "set_hash").filter("a != b").select("a", "b"), "copies")
-    one = rows.join(copy.select(F.col("b").alias("doc_id")), "doc_id", "left_anti")
+    one = rows.join(sized(written(copy.select(F.col("b").alias("doc_id")), "copies-ids")), "doc_id", "left_anti")
 
     at = F.when(F.col("hub") == F.col("doc"), F.col("key")).otherwise(F.xxhash64("key", "doc"))  # rows that name a hub need no meeting
     met = written(one.mapInArrow(_sent(words, bands), MET).repartition(at).sortWithinPartitions("key", "doc").mapInArrow(_met, MET).select("key", "hub", "doc"), "met")
@@ -317,8 +317,8 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([u.tobytes() for u in sets], pa.binary())], ["doc_id", "shingles"])
 
     def links_of(near: DataFrame) -> DataFrame:
-        named = near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct()
-        sets = written(rows.join(named, "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+        named = written(near.select(F.col("a").alias("doc_id")).union(near.select("b")).distinct(), "named")
+        sets = written(rows.join(sized(named), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
         links = written(_verified(near, sets, num, den), "links")
         given_up(sets)
         return links
@@ -357,7 +357,8 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
         again = cut.join(missed, BLOCK).drop("component").join(parts.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         again = written(again, "again")
         near = written(again.join(searched(again, "docs").select(*BLOCK, F.col("a").alias("doc")), [*BLOCK, "doc"]), "near-docs")
-        sets = written(rows.join(near.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
+        named = written(near.select(F.col("doc").alias("doc_id")).distinct(), "named")
+        sets = written(rows.join(sized(named), "doc_id", "left_semi").mapInArrow(as_sets, "doc_id long, shingles binary"), "sets")
         late = searched(near.join(sets.withColumnRenamed("doc_id", "doc"), "doc"), "exact").select("a", "b")
         if not late.isEmpty():
             parts = more(late)
@@ -368,4 +369,4 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
 def one_of_each(docs: DataFrame, words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The documents of which no linked one has a smaller doc_id, all columns as they were."""
     gone = written(near_components(docs, words, num, den).filter("doc_id != component_id").select(F.col("doc_id").alias("gone_")), "gone")
-    return docs.join(gone, docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
+    return docs.join(sized(gone), docs["doc_id"].cast("long") == F.col("gone_"), "left_anti")
