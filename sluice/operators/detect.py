@@ -11,25 +11,31 @@ from sluice.functions.validators import VALIDATORS
 SPAN = "struct<type:string,value:string,start:int,stop:int,confidence:double,priority:int>"
 
 
-#: Items of a list under construction before they are set aside: appending copies this many, not all.
+#: A fold copies all that it has built at each step, so long lists are folded in pieces of this many.
 _CHUNK = 256
 
 
-def _empty(kind: str, **more: Column) -> Column:
-    """The state of a fold that builds a list of `kind`: lists set aside, the one that grows, and what else is given."""
-    none = F.array()
-    return F.struct(none.cast(f"array<array<{kind}>>").alias("aside"), none.cast(f"array<{kind}>").alias("last"), *[v.alias(k) for k, v in more.items()])
+def _let(value: Column, body) -> Column:
+    """body(value), the value being computed once."""
+    return F.get(F.transform(F.array(value), body), 0)
 
 
-def _append(acc: Column, x: Column, **more: Column) -> Column:
-    full = F.size(acc["last"]) >= _CHUNK
-    aside = F.when(full, F.concat(acc["aside"], F.array(acc["last"]))).otherwise(acc["aside"])
-    last = F.when(full, F.array(x)).otherwise(F.concat(acc["last"], F.array(x)))
-    return F.struct(aside.alias("aside"), last.alias("last"), *[v.alias(k) for k, v in more.items()])
+def _before(values: Column, start: int, combine) -> Column:
+    """For each of some whole numbers, `start` combined with all before it: running sums or maxima."""
+    none = F.struct(F.lit(start).alias("at"), F.array().cast("array<int>").alias("out"))
 
+    def fold(xs: Column, value) -> Column:
+        return F.aggregate(xs, none, lambda acc, x: F.struct(combine(acc["at"], value(x)).cast("int").alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
 
-def _listed(acc: Column) -> Column:
-    return F.concat(F.flatten(acc["aside"]), acc["last"])
+    def pieces(xs: Column) -> Column:
+        cut = F.when(F.size(xs) > 0, F.transform(F.sequence(F.lit(0), F.size(xs) - 1, F.lit(_CHUNK)), lambda b: F.slice(xs, b + 1, F.lit(_CHUNK)))).otherwise(F.array().cast("array<array<int>>"))
+        return F.transform(cut, lambda piece: fold(piece, lambda x: x))
+
+    def whole(local: Column) -> Column:
+        bases = fold(local, lambda piece: piece["at"])["out"]
+        return F.flatten(F.transform(F.arrays_zip(local.alias("piece"), bases.alias("base")), lambda z: F.transform(z["piece"]["out"], lambda o: combine(z["base"], o).cast("int"))))
+
+    return _let(values, lambda xs: _let(pieces(xs), whole))
 
 
 def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
@@ -38,15 +44,20 @@ def spans_of(text: Column, pattern: str, group: int = 0) -> Column:
     gaps = F.split(text, pattern, -1)
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = F.arrays_zip(F.slice(gaps, F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        start = begin + F.greatest(F.instr(x["whole"], x["value"]) - 1, F.lit(0)) if group else begin
-        found = F.struct(x["value"].alias("value"), start.cast("int").alias("start"), (start + F.length(x["value"])).cast("int").alias("stop"))
-        return _append(acc, found, at=(begin + F.length(x["whole"])).cast("int"))
+    def placed(rows: Column) -> Column:
+        at = _before(F.transform(rows, lambda x: F.length(x["gap"]) + F.length(x["whole"])), 0, lambda a, b: a + b)
+
+        def span(z: Column) -> Column:
+            x = z["x"]
+            begin = z["at"] + F.length(x["gap"])
+            start = begin + F.greatest(F.instr(x["whole"], x["value"]) - 1, F.lit(0)) if group else begin
+            return F.struct(x["value"].alias("value"), start.cast("int").alias("start"), (start + F.length(x["value"])).cast("int").alias("stop"))
 
-    return F.aggregate(rows, _empty("struct<value:string,start:int,stop:int>", at=F.lit(0)), step, _listed)
+        return F.transform(F.arrays_zip(rows.alias("x"), at.alias("at")), span)
+
+    rows = _let(gaps, lambda g: _let(whole, lambda w: F.arrays_zip(F.slice(g, F.lit(1), F.size(w)).alias("gap"), w.alias("whole"), (w if group == 0 else value).alias("value"))))
+    return _let(rows, placed)
 
 
 def _candidates(text: Column, d: Detector) -> Column:
@@ -68,11 +79,6 @@ def resolve(candidates: Column) -> Column:
     by_priority = lambda a, b: F.when(a["priority"] > b["priority"], -1).when(a["priority"] < b["priority"], 1).otherwise(by_start(a, b))
     none = F.array().cast(f"array<{SPAN}>")
 
-    def cluster(acc: Column, x: Column) -> Column:
-        joins = x["start"] < acc["top"]
-        grown = F.struct(acc["aside"].alias("aside"), acc["last"].alias("last"), F.greatest(acc["top"], x["stop"]).alias("top"), F.concat(acc["now"], F.array(x)).alias("now"))
-        return F.when(joins, grown).otherwise(_append(acc, acc["now"], top=x["stop"], now=F.array(x)))
-
     def greedy(group: Column) -> Column:
         accepted = F.aggregate(
             F.array_sort(group, by_priority), none,
@@ -80,16 +86,21 @@ def resolve(candidates: Column) -> Column:
         )
         return F.when(F.size(group) < 2, group).otherwise(F.array_sort(accepted, by_start))
 
-    start = _empty(f"array<{SPAN}>", top=F.lit(-1), now=none)
-    clusters = F.aggregate(F.array_sort(candidates, by_start), start, cluster, lambda acc: F.concat(_listed(acc), F.array(acc["now"])))
-    return F.flatten(F.transform(clusters, greedy))
+    def clustered(xs: Column) -> Column:
+        """Lists of candidates: one begins where it starts at or after the end of all before it."""
+        reach = _before(F.transform(xs, lambda x: x["stop"]), -1, lambda a, b: F.greatest(a, b))
+        marked = F.transform(F.arrays_zip(xs.alias("x"), reach.alias("reach")), lambda z, i: F.when(z["x"]["start"] >= z["reach"], i))
+        starts = F.filter(marked, lambda i: i.isNotNull())
+        return _let(starts, lambda b: F.transform(b, lambda at, i: F.slice(xs, at + 1, F.coalesce(F.get(b, i + 1), F.size(xs)) - at)))
+
+    return F.when(F.size(candidates) < 2, candidates).otherwise(_let(F.array_sort(candidates, by_start), lambda xs: F.flatten(F.transform(clustered(xs), greedy))))
 
 
 def detect(text: Column, types: tuple[str, ...] | None = None) -> Column:
     """Accepted spans of a text, by start; none for a null text."""
     chosen = [d for d in DETECTORS if types is None or d.type in types]
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return resolve(F.concat(*[_candidates(text, d) for d in chosen]))
+    return _let(F.concat(*[_candidates(text, d) for d in chosen]), resolve)
 
 
 def entities(df: DataFrame, text: str, key: list[str], types: tuple[str, ...] | None = None, source: str = "DOM") -> DataFrame:
