@@ -76,8 +76,22 @@ def ngrams(hashes: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, n
     return mix(out), np.arange(size) + n <= last
 
 
+#: Bytes of text hashed at once: tables and sums take some forty bytes for each, and the tables stay.
+_LOT = 1 << 18
+
+
 def shingles(texts: list[bytes], n: int, kind: np.ndarray = NOT_SPACE) -> list[np.ndarray]:
     """For each text, the sorted distinct hashes of its n-word shingles; of fewer words, the whole sequence is one; of none, nothing."""
+    out, begin, size = [], 0, 0
+    for i, text in enumerate(texts):
+        if i > begin and size + len(text) > _LOT:
+            out += _shingled(texts[begin:i], n, kind)
+            begin, size = i, 0
+        size += len(text)
+    return out + _shingled(texts[begin:], n, kind)
+
+
+def _shingled(texts: list[bytes], n: int, kind: np.ndarray) -> list[np.ndarray]:
     buf, starts = joined(texts)
     hashes, first = words(buf, starts, kind)
     grams, _ = ngrams(hashes, first, n)
