@@ -269,11 +269,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("set_a"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("set_b"))
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR)
+    return pairs.join(right.hint("merge"), "b").join(left.hint("merge"), "a").select("a", "b", "set_a", "set_b").mapInArrow(run, PAIR)
 
 
 def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sizes and sketches allow a link."""
+    """The pairs whose sizes and sketches allow a link. Sketches and sets grow with the documents, so these joins are alike at every size."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(parts, column="sketch_a"):
@@ -281,7 +281,7 @@ def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame
             keep = [may_link(x, y, t, num, den) for x, y, t in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}"))
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge")
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return both.select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, PAIR)
 
@@ -342,7 +342,7 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     fold = alone.select(F.col("doc_id").alias("doc"), "fold")
 
     def searched(rows: DataFrame, what: str) -> DataFrame:
-        laid = rows.join(fold, "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+        laid = rows.join(fold.hint("merge"), "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
         return written(laid.mapInArrow(_across(num, den, what), "key long, i long, j long, a long, b long"), f"blocks-{what}")
 
     rest = searched(cut, "links")
