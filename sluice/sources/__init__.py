@@ -1,198 +1,15 @@
-"""Sources and sinks: elements and regions of HTML, images, JSON reports, processes and checked artifacts."""
+"""Sources and sinks: elements, private values and regions of HTML, images, JSON reports, processes and checked artifacts."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from html.parser import HTMLParser
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ELEMENT = (
-    "page_id long, id string, tag string, role string, type string, text string, aria string, labelled string, own_label string, near_label string, beside string, title string, placeholder string, value string, "
-    "enabled boolean, visible boolean, selected boolean, options array<string>, selected_option string, control_value string, injected boolean, visual boolean, dom_index int, nth int, region_no int"
-)
-# The elements of a scan, those that hold a value, elements without an end tag, and marks of injected interfaces.
-_KEPT = frozenset("button input select textarea summary h1 h2 h3 p li td th label img".split())
-_FIELDS = frozenset("input select textarea".split())
-_VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INJECTED = r"(?i)(?:^|[-_\s])(?:weava|web[-_]?highlighter|chrome[-_]?extension|browser[-_]?extension|third[-_]?party[-_]?extension|extension[-_]?root|extension[-_]?toolbar)(?:$|[-_\s])"
-MOST_ELEMENTS, MOST_REGIONS, MOST_OPTIONS = 2000, 200, 500
-
-
-class _Node:
-    __slots__ = ("tag", "a", "up", "kids")
-
-    def __init__(self, tag: str, attrs: dict, up: _Node | None) -> None:
-        self.tag, self.a, self.up, self.kids = tag, attrs, up, []
-
-    def text(self) -> str:
-        out, todo = [], [self]
-        while todo:
-            x = todo.pop()
-            if isinstance(x, str):
-                out.append(x)
-            elif x.tag not in ("script", "style"):
-                todo.extend(reversed(x.kids))
-        return "".join(out)
-
-    def above(self) -> Iterator[_Node]:
-        node = self.up
-        while node is not None:
-            yield node
-            node = node.up
-
-
-class _Tree(HTMLParser):
-    """The elements of a page in document order, with their parents."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.now = self.root = _Node("", {}, None)
-        self.nodes: list[_Node] = []
-
-    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        node = _Node(tag, {k: v or "" for k, v in attrs}, self.now)
-        self.now.kids.append(node)
-        self.nodes.append(node)
-        if tag not in _VOID:
-            self.now = node
-
-    def handle_endtag(self, tag: str) -> None:
-        for node in (self.now, *self.now.above()):
-            if node.tag == tag and node.up is not None:
-                self.now = node.up
-                break
-
-    def handle_data(self, data: str) -> None:
-        self.now.kids.append(data)
-
-
-def _short(text: str | None, most: int = 500) -> str | None:
-    return " ".join((text or "").split())[:most] or None
-
-
-def _beside(node: _Node) -> str | None:
-    """Text next to a control up to a line break or another control: after it, else before it."""
-    around = node.up.kids
-    at = next(i for i, x in enumerate(around) if x is node)
-    for side, step in ((around[at + 1 :], 1), (around[:at][::-1], -1)):
-        parts = []
-        for x in side[:8]:
-            if not isinstance(x, str) and x.tag in ("br", "button", *_FIELDS):
-                break
-            if found := _short(x if isinstance(x, str) else x.text()):
-                parts.append(found)
-        if parts:
-            return _short(" ".join(parts[::step]))
-    return None
-
-
-def _near(node: _Node, labels: dict[int, int]) -> str | None:
-    """The only label within the nearest of four ancestors that has one, with the placeholder unless that says the same."""
-    for _, above in zip(range(4), node.above(), strict=False):
-        n = labels.get(id(above), 0)
-        if n > 1:
-            break
-        if n == 1:
-            todo = list(above.kids)
-            while todo:
-                x = todo.pop()
-                if isinstance(x, _Node):
-                    if x.tag == "label" and (found := _short(x.text())):
-                        more = _short(node.a.get("placeholder"))
-                        return _short(f"{found} {more}") if more and more.lower() != found.lower() else found
-                    todo.extend(x.kids)
-    return None
-
-
-def _scanned(html: str, marker: str) -> Iterator[tuple]:
-    import re
-
-    tree = _Tree()
-    tree.feed(html)
-    tree.close()
-    by_id, owner, count, injected = {}, {}, {}, re.compile(INJECTED)
-    for node in tree.nodes:
-        by_id.setdefault(node.a.get("id"), node)
-        if node.tag == "label":
-            for above in node.above():
-                count[id(above)] = count.get(id(above), 0) + 1
-            if node.a.get("for"):
-                owner.setdefault(node.a["for"], node)
-    for node in tree.nodes:
-        a, tag = node.a, node.tag
-        visual = tag in ("canvas", "img") or (tag == "embed" and a.get("type") == "application/pdf") or marker in a
-        if not (tag in _KEPT or (tag == "a" and "href" in a) or a.get("contenteditable") == "true" or "role" in a or a.get("tabindex", "-1") != "-1" or visual):
-            continue
-        chain = [node, *node.above()]
-        kind = a.get("type", "text").lower() if tag == "input" else None
-        choice = kind in ("checkbox", "radio")
-        field = tag in _FIELDS
-        own = (owner.get(a.get("id") or None) or next((x for x in node.above() if x.tag == "label"), None)) if field else None
-        options = [x for x in _below(node) if x.tag == "option"] if tag == "select" else []
-        chosen = next((x for x in options if "selected" in x.a), options[0] if options else None)
-        value = a.get("value", "on" if choice else None)
-        text = a.get("alt") if tag == "img" else None if tag == "input" else node.text()
-        words = (" ".join(x.a.get(k, "") for k in ("id", "class", "data-extension-id", "data-weava-id")) + " " + x.tag for x in chain[:16] if x.tag not in ("html", "body"))
-        yield (
-            tag, a.get("role"), kind or {"textarea": "text", "select": "select"}.get(tag) or ("text" if a.get("contenteditable") == "true" else None), _short(text, 2000), _short(a.get("aria-label")),
-            _short(" ".join(by_id[i].text() for i in a.get("aria-labelledby", "").split() if i in by_id)), _short(own.text()) if own else None, _near(node, count) if field and own is None else None,
-            _beside(node) if choice else None, _short(a.get("title")), _short(a.get("placeholder")), _short(value, 2000), "disabled" not in a and a.get("aria-disabled") != "true",
-            not any("hidden" in x.a or (x.tag == "details" and "open" not in x.a and node.tag != "summary") for x in chain) and kind != "hidden",
-            ("checked" in a) if choice else (a["aria-selected"] == "true" if "aria-selected" in a else None),
-            [o for o in (_short(x.text()) for x in options) if o][:MOST_OPTIONS], _short(chosen.text()) if chosen else None, value if choice and value and value.lower() != "on" else None, any(injected.search(w) for w in words), visual,
-        )
-
-
-def _below(node: _Node) -> Iterator[_Node]:
-    todo = list(reversed(node.kids))
-    while todo:
-        x = todo.pop()
-        if isinstance(x, _Node):
-            yield x
-            todo.extend(reversed(x.kids))
-
-
-def _page_rows(pages: DataFrame, marker: str) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [x.split()[0] for x in ELEMENT.split(", ")]
-        for part in parts:
-            out = []
-            for page, html in zip(part["page_id"], part["html"], strict=True):
-                nth = region = 0  # an element's place among those kept, and a region's
-                for i, row in enumerate(_scanned(html or "", marker)):
-                    injected, visual, shown = row[-2], row[-1], row[13]
-                    out.append((page, f"el_{i}", *row, i, nth, region))
-                    nth += not injected and row[0] not in ("canvas", "embed")
-                    region += visual and shown and not injected
-            frame = pd.DataFrame(out, columns=names)
-            yield frame.astype({"page_id": "Int64", "selected": "boolean"})
-
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("html").cast("string").alias("html")).mapInPandas(run, ELEMENT)
-
-
-def page_elements(pages: DataFrame, marker: str = "data-visual-control") -> DataFrame:
-    """The elements of each page in document order, MOST_ELEMENTS at most, with the role that tag and type imply, without those of injected
-    interfaces. The label is the first of: aria-label, aria-labelledby, own label, near label, text beside a choice and its value, title,
-    placeholder. Layout, styles and shadow trees are not in static HTML. Null html has no elements; null page ids stay; other
-    columns are ignored."""
-    from sluice.operators.elements import inferred_role
-
-    rows = _page_rows(pages, marker).filter("not injected and tag <> 'canvas' and tag <> 'embed'")
-    label = F.coalesce("aria", "labelled", "own_label", "near_label", "beside", "control_value", "title", "placeholder")
-    rows = rows.withColumn("label", label).withColumn("role", inferred_role(F.col("role"), F.col("tag"), F.col("type")))
-    rows = rows.withColumn("value_present", F.coalesce(F.length("value") > 0, F.lit(False)) & ~F.coalesce(F.col("type").isin("checkbox", "radio"), F.lit(False)))
-    return rows.filter(F.col("nth") < MOST_ELEMENTS).select("page_id", "id", "tag", "role", "type", "text", "label", "value", "enabled", "visible", "selected", "value_present", "options", "selected_option", "control_value", "dom_index")
-
+from sluice.sources.pages import in_viewport, page_elements, page_regions, private_values
 
-def page_regions(pages: DataFrame, marker: str = "data-visual-control") -> DataFrame:
-    """page_id, region_id, kind (CANVAS, IMAGE, PDF or CONTROL), requires_analysis and region_no of the visible images, canvases, PDFs and marked controls of
-    each page, MOST_REGIONS at most. Static HTML has no viewport: every region counts as within it."""
-    rows = _page_rows(pages, marker).filter("visual and visible and not injected")
-    kind = F.when(F.col("tag") == "canvas", "CANVAS").when(F.col("tag") == "img", "IMAGE").when(F.col("tag") == "embed", "PDF").otherwise("CONTROL")
-    return rows.filter(F.col("region_no") < MOST_REGIONS).select("page_id", F.col("id").alias("region_id"), kind.alias("kind"), F.lit(True).alias("requires_analysis"), (F.col("region_no") + 1).alias("region_no"))
+__all__ = [
+    "checked_artifacts", "directory_bytes", "flat_reports", "fresh", "image_bytes", "in_viewport", "paced", "page_elements", "page_regions", "passes", "private_values", "process_tree", "processes", "read_reports", "screenshots", "write_report",
+]
 
 
 def image_bytes(data_url: Column) -> Column:
