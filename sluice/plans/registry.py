@@ -161,6 +161,12 @@ def page_controls(spark, sf_dir):
     return found.groupBy("tag", "role").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("pages"))
 
 
+def page_texts(spark, sf_dir):
+    """The texts of each page's paragraphs, items, links and headings, in document order, as one hash a tag."""
+    found = page_elements(table(spark, sf_dir, "pages")).groupBy("page_id", "tag").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("dom_index", F.coalesce("text", F.lit("")).alias("text")))).alias("t"))
+    return found.select("page_id", "tag", "n", F.sha2(F.array_join(F.transform("t", lambda x: x["text"]), "\n"), 256).alias("texts_sha256"))
+
+
 def outbound_guard(spark, sf_dir):
     """Documents that the outbound guard would stop, and those clean after redaction of all types."""
     docs = table(spark, sf_dir, "documents").select("lang", c("text"), policy.redact(c("text"), detect.detect(c("text"))).alias("clean"))
@@ -173,7 +179,7 @@ QUERIES = {
     for f in (
         redaction_evidence_by_lang, email_hits_by_lang, redact_email_text, policy_by_type, detection_cases, label_confusion, latency_percentiles, attempts_by_mode, stage_medians,
         planner_round_trips, repeated_actions, ring_buffer_last_100, session_latest_state, session_outcomes, ledger_first_breaks, ledger_rebuilt, mask_region_overlaps, unhinted_regions,
-        top_parts_by_brand, endpoint_rule, url_fingerprints, unknown_props, normalised_turns, page_controls, outbound_guard,
+        top_parts_by_brand, endpoint_rule, url_fingerprints, unknown_props, normalised_turns, page_controls, page_texts, outbound_guard,
     )
 }
 
@@ -242,4 +248,14 @@ UNION ALL SELECT 'VERIFY', CASE WHEN s0 = 'NONE' THEN 404 WHEN s0 = 'EXECUTE' TH
 UNION ALL SELECT 'STEP', CASE WHEN s1 = 'NONE' THEN 404 WHEN s1 = 'OBSERVE' THEN 200 ELSE 409 END, s2 FROM d WHERE d2 IS NOT NULL
 UNION ALL SELECT 'VERIFY', CASE WHEN s2 = 'NONE' THEN 404 WHEN s2 = 'EXECUTE' AND s1 = 'OBSERVE' THEN 200 ELSE 409 END, s3 FROM d WHERE o3 IS NOT NULL)
 SELECT kind, status::INT AS status, state, count(*) AS n FROM r GROUP BY ALL"""
+# These pages have paragraphs without end tags, plain links, items and headings, and no fields.
+_PAGE = r"""
+WITH h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', '', 'g'), '<br>', ' ', 'g') AS h FROM pages),
+l AS (SELECT page_id, 'a' AS tag, regexp_extract_all(h, '(?s)<a [^>]*>(.*?)</a>', 1) AS t FROM h UNION ALL SELECT page_id, 'li', regexp_extract_all(h, '(?s)<li>(.*?)</li>', 1) FROM h
+UNION ALL SELECT page_id, 'h1', regexp_extract_all(h, '(?s)<h1>(.*?)</h1>', 1) FROM h
+UNION ALL SELECT page_id, 'p', list_transform(string_split(h, '<p>')[2:], lambda x: regexp_extract(x, '(?s)^(.*?)(?:</?(?:p|article|footer|div|ul|h1)>|$)', 1)) FROM h),
+e AS (SELECT page_id, tag, generate_subscripts(t, 1) AS i, replace(replace(replace(replace(replace(replace(regexp_replace(unnest(t), '<[^>]*>', '', 'g'), '&middot;', '·'), '&copy;', '©'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM l),
+n AS (SELECT page_id, tag, i, rtrim(left(trim(regexp_replace(t, '\s+', ' ', 'g')), 2000)) AS t FROM e)"""
+ORACLE_SQL["page_controls"] = f"{_PAGE} SELECT tag, CASE tag WHEN 'a' THEN 'link' WHEN 'h1' THEN 'heading' ELSE tag END AS role, count(*) AS n, count(DISTINCT page_id) AS pages FROM n GROUP BY tag"
+ORACLE_SQL["page_texts"] = f"{_PAGE} SELECT page_id, tag, count(*) AS n, sha256(string_agg(t, chr(10) ORDER BY i)) AS texts_sha256 FROM n GROUP BY page_id, tag"
 ORACLE_SQL |= controls.ORACLE_SQL | actions.ORACLE_SQL
