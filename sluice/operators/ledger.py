@@ -35,13 +35,13 @@ def inspect(blocks: DataFrame) -> DataFrame:
     )
 
 
-def rehash(blocks: DataFrame) -> DataFrame:
-    """The blocks with previous and hash computed anew, in order. Each hash needs the one before, so sessions are streamed in order
-    through their partition, of which only the last hash is held."""
+def rehash(blocks: DataFrame, begin: Column | None = None) -> DataFrame:
+    """The blocks with previous and hash computed anew, in order, from zeros or the hash `begin`. Each hash needs the one before, so sessions are streamed
+    in order through their partition, of which only the last hash is held."""
     import hashlib
 
     body = F.to_json(F.struct(*[c(k).cast("long" if k in ("index", "at") else "string").alias({"action_commitment": "actionCommitment"}.get(k, k)) for k in BODY]), {"ignoreNullFields": "false"})
-    rows = blocks.select(*[c(k).cast("long" if k in ("index", "at") else "string").alias(k) for k in BODY], body.alias("body"))
+    rows = blocks.select(*[c(k).cast("long" if k in ("index", "at") else "string").alias(k) for k in BODY], body.alias("body"), F.coalesce(F.lit(None).cast("string") if begin is None else begin, F.lit(ZEROS)).alias("begin_"))
 
     def run(parts):
         import pyarrow as pa
@@ -49,9 +49,9 @@ def rehash(blocks: DataFrame) -> DataFrame:
         session, last = None, ZEROS
         for part in parts:
             before, hashes = [], []
-            for own, text in zip(part.column("session").to_pylist(), part.column("body").to_pylist(), strict=True):
+            for own, text, begins in zip(*(part.column(k).to_pylist() for k in ("session", "body", "begin_")), strict=True):
                 if own != session:
-                    session, last = own, ZEROS
+                    session, last = own, begins
                 before.append(last)
                 last = hashlib.sha256(f'{text[:-1]},"previous":"{last}"}}'.encode()).hexdigest()
                 hashes.append(last)
@@ -61,7 +61,40 @@ def rehash(blocks: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, "session string, index long, at long, event string, action string, action_commitment string, previous string, hash string")
 
 
-def append(events: DataFrame) -> DataFrame:
-    """Blocks of events (session, at, event, action, action_commitment, seq as total order in a session)."""
-    index = (F.row_number().over(Window.partitionBy("session").orderBy("seq")) - 1).cast("long")
-    return rehash(events.withColumn("index", index))
+# What a ledger may hold. Task texts, handles, field values and addresses are none of them.
+EVENTS = ("RUN_STARTED", "APPROVAL_REQUESTED", "DENIED", "AUTHORIZED", "EXECUTED", "BLOCKED", "STOPPED", "VAULT_CLEARED")
+ACTIONS = ("NONE", "CLICK", "TYPE_HANDLE", "SELECT", "SCROLL", "ASK_USER", "FINISH")
+
+
+def is_safe() -> Column:
+    """Whether event and action are of the lists, and the commitment is null or a SHA-256 in lowercase hex."""
+    return F.coalesce(c("event").isin(*EVENTS) & c("action").isin(*ACTIONS) & (c("action_commitment").isNull() | c("action_commitment").rlike("^[a-f0-9]{64}\\z")), F.lit(False))
+
+
+def block_hash(session: str, index: int, at: int, event: str, action: str, commitment: str | None, previous: str) -> str:
+    """The hash of one block, as `digest` has it."""
+    import hashlib
+    import json
+
+    body = {"session": session, "index": index, "at": at, "event": event, "action": action, "actionCommitment": commitment, "previous": previous}
+    return hashlib.sha256(json.dumps(body, ensure_ascii=False, separators=(",", ":")).encode()).hexdigest()
+
+
+def append(events: DataFrame, heads: DataFrame | None = None, checked: bool = False) -> DataFrame:
+    """Blocks of events (session, at, event, action, action_commitment, seq as total order in a session). heads (`ledger_heads`): sessions that
+    have them go on after their last block; events up to its seq, if it has one, are left out as told before. checked: an event that is not safe metadata is an error."""
+    if checked:
+        events = events.withColumn("event", F.when(is_safe(), c("event")).otherwise(F.raise_error(F.lit("UNSAFE_LEDGER_METADATA"))))
+    rows = events
+    if heads is not None:
+        known = heads.select(c("session").alias("s_"), c("index").alias("index_"), c("hash").alias("last_"), c("seq").alias("seq_"))
+        rows = events.join(known, c("session") == c("s_"), "left").filter("seq_ is null or seq > seq_")
+    begin = F.coalesce(c("index_"), F.lit(-1)) if heads is not None else F.lit(-1)
+    index = (F.row_number().over(Window.partitionBy("session").orderBy("seq")) + begin).cast("long")
+    return rehash(rows.withColumn("index", index), c("last_") if heads is not None else None)
+
+
+def ledger_heads(blocks: DataFrame, seq: str | None = None) -> DataFrame:
+    """session, index, hash and seq (null without such a column) of each session's last block."""
+    last = F.max_by(F.struct("index", "hash", (c(seq) if seq else F.lit(None)).cast("long").alias("seq")), "index").alias("b")
+    return blocks.groupBy("session").agg(last).select("session", "b.*")

@@ -1,4 +1,4 @@
-"""Streams: session states, distinct requests and windowed counts."""
+"""Streams: session states, distinct requests, windowed counts; timers and ledgers in `timers`."""
 
 from __future__ import annotations
 
