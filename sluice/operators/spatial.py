@@ -144,11 +144,14 @@ def document_regions(texts: DataFrame, regions: DataFrame, types: tuple[str, ...
     return found, regions.join(met, ["snapshot_id", "region_id"], "left").withColumn("crop", c("type").isNull())
 
 
-def crop_records(done: DataFrame, kind: str = "image/png") -> DataFrame:
-    """Records of verified crops from `masked` rasters: id, mime_type, width, height, sha256, data_base64, redaction_verified. One that
+def crop_records(done: DataFrame) -> DataFrame:
+    """Records of verified crops from `masked` rasters: id, mime_type, width, height, sha256 and data_base64 (of the PNG), redaction_verified. One that
     is not verified is an error."""
+    from sluice.sources.png import png_content
+
+    done = png_content(done)
     checked = F.when(c("verified"), True).otherwise(F.raise_error("REDACTION_FAILED").cast("boolean"))
-    return done.select(c("image_id").alias("id"), F.lit(kind).alias("mime_type"), "width", "height", F.sha2("rgba", 256).alias("sha256"), F.base64("rgba").alias("data_base64"), checked.alias("redaction_verified"))
+    return done.select(c("image_id").alias("id"), F.lit("image/png").alias("mime_type"), "width", "height", F.sha2("png", 256).alias("sha256"), F.base64("png").alias("data_base64"), checked.alias("redaction_verified"))
 
 
 def capped_pixels(records: DataFrame, most: int = 160) -> DataFrame:
@@ -203,42 +206,6 @@ def masked(images: DataFrame, boxes: DataFrame) -> DataFrame:
     return images.select("image_id", "width", "height", "rgba").join(listed, "image_id", "left").mapInPandas(run, f"image_id {kind}, width int, height int, rgba binary, verified boolean, sha256 string")
 
 
-def text_boxes(maps: DataFrame, least: float = 0.3, min_area: int = 8, pad: int = 2, most: int = 200) -> DataFrame:
-    """Boxes of 4-connected areas of a probability map (image_id, width, height, values) at `least` or more, with at least `min_area`
-    cells, padded, by y then x, at most `most` an image."""
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import numpy as np
-
-        for part in parts:
-            out = []
-            for r in part.itertuples():
-                on = np.asarray(r.values_, float).reshape(r.height, r.width) >= least
-                seen = np.zeros_like(on)
-                found = []
-                for y, x in zip(*np.nonzero(on), strict=True):
-                    if seen[y, x]:
-                        continue
-                    stack, cells = [(y, x)], []
-                    seen[y, x] = True
-                    while stack:
-                        a, b = stack.pop()
-                        cells.append((a, b))
-                        for p, q in ((a - 1, b), (a + 1, b), (a, b - 1), (a, b + 1)):
-                            if 0 <= p < r.height and 0 <= q < r.width and on[p, q] and not seen[p, q]:
-                                seen[p, q] = True
-                                stack.append((p, q))
-                    if len(cells) >= min_area:
-                        ys, xs = zip(*cells, strict=True)
-                        left, top = max(0, min(xs) - pad), max(0, min(ys) - pad)
-                        found.append((top, left, min(r.width, max(xs) + 1 + pad) - left, min(r.height, max(ys) + 1 + pad) - top))
-                out += [(r.image_id, int(x), int(y), int(w), int(h)) for y, x, w, h in sorted(found)[:most]]
-            yield pd.DataFrame(out, columns=["image_id", "x", "y", "width", "height"])
-
-    kind = maps.schema["image_id"].dataType.simpleString()
-    return maps.withColumnRenamed("values", "values_").mapInPandas(run, f"image_id {kind}, x int, y int, width int, height int")
-
-
 def ctc_text(best: Column, score: Column, alphabet: Column) -> Column:
     """Greedy CTC: of the best symbol at each step, repeats and blanks (0) go; text and mean score of what stays."""
     steps = F.arrays_zip(best.alias("s"), score.alias("p"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluice.functions import text as tx
 from sluice.functions.validators import VALIDATORS
-from sluice.operators import detect, elements, evaluate, evidence, guard, ledger, policy, rank, sessions, spatial, tasks
+from sluice.operators import detect, elements, evaluate, evidence, guard, ledger, policy, rank, runs, sessions, spatial, tasks
 from sluice.plans import corpus
 from sluice.sources import image_bytes, page_elements, process_tree, processes
 
@@ -154,7 +154,7 @@ def test_text_boxes_and_ctc(spark):
         for x in range(2, 6):
             grid[y * 10 + x] = 0.9
     maps = spark.createDataFrame([("i", 10, 10, grid)], "image_id string, width int, height int, values array<double>")
-    assert [tuple(r)[1:] for r in spatial.text_boxes(maps).collect()] == [(0, 0, 8, 7)]
+    assert [tuple(r)[1:] for r in runs.text_boxes(maps).collect()] == [(1.0, 1.0, 6.0, 5.0)]
     df = spark.createDataFrame([([1, 1, 0, 1, 2], [0.9, 0.8, 0.9, 0.5, 0.7], ["a", "b"])], "b array<int>, s array<double>, l array<string>")
     got = df.select(spatial.ctc_text(c("b"), c("s"), c("l")).alias("t")).first()["t"]
     assert got["text"] == "aab" and abs(got["confidence"] - 0.7) < 1e-9
