@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, StringType, StructField, StructType
 
 # The signature, samples of a pixel by colour type, the depths each type may have, and the passes of interlacing (x, y, step in x, step in y).
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -200,7 +200,8 @@ def png_pixels(images: DataFrame, content: str = "content", most: int = MOST_PIX
                 columns = [one.column(c) for c in rest] + [pa.array([v], t) for v, t in zip(told, (pa.int32(), pa.int32(), pa.binary(), pa.string()), strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, [*rest, *names])
 
-    schema = rows.drop("png_content_").schema.add("width", "int").add("height", "int").add("rgba", "binary").add("error", "string")
+    kinds = (IntegerType(), IntegerType(), BinaryType(), StringType())
+    schema = StructType([*rows.drop("png_content_").schema.fields, *[StructField(n, t) for n, t in zip(names, kinds, strict=True)]])
     return rows.mapInArrow(run, schema)
 
 
