@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +26,43 @@ def payload_status(payload: Column, human_text: Column, most_bytes: int = 2_500_
 
 
 def forbidden_properties(json: Column) -> Column:
-    """Forbidden keys anywhere in a JSON text but for the entries of privacy_summary, as a distinct array. Keys are
-    found by their shape, a string before a colon, outside string values."""
-    bare = F.regexp_replace(json, r'"privacy_summary"\s*:\s*\{[^{}]*\}', '"privacy_summary":0')
-    # Strings are read one after the other, each with the colon that makes it a key.
-    tokens = F.regexp_extract_all(bare, F.lit(r'"(?:[^"\\]|\\.)*"(?:\s*:)?'), F.lit(0))
-    keys = F.transform(F.filter(tokens, lambda t: t.endswith(":")), lambda t: F.regexp_replace(t, r'^"|"\s*:$', ""))
-    return F.array_sort(F.array_distinct(F.filter(keys, lambda k: k.rlike(FORBIDDEN_PROPERTY))))
+    """Forbidden keys of a JSON text, distinct and sorted: at any depth, as they read once unescaped, but for the entries of a privacy_summary (an
+    object, or objects in arrays of it); what lies deeper in it is looked at again. A text that is not JSON is searched for strings before a colon.
+    Only texts in which the shape of a key, or an escape, occurs are parsed."""
+    maybe = F.when(json.rlike(FORBIDDEN_PROPERTY) | json.contains("\\u"), json)
+    return F.coalesce(_forbidden_keys()(maybe), F.array().cast("array<string>"))
+
+
+def forbidden_keys(text: str) -> list[str]:
+    """The same of one text."""
+    import json
+    import re
+
+    bad = re.compile(FORBIDDEN_PROPERTY)
+    found: set[str] = set()
+    try:
+        # Nodes with the key that they stand under; an array's members stand under its own.
+        todo = [(json.loads(text), None)]
+    except (ValueError, RecursionError):
+        strings = (m[0] for m in re.finditer(r'"(?:[^"\\]|\\.)*"(?:\s*:)?', text))
+        return sorted({k for k in (s.rstrip(": \t\r\n")[1:-1] for s in strings if s.endswith(":")) if bad.search(k)})
+    while todo:
+        node, under = todo.pop()
+        if isinstance(node, list):
+            todo += [(x, under) for x in node]
+        elif isinstance(node, dict):
+            if under != "privacy_summary":
+                found.update(k for k in node if bad.search(k))
+            todo += [(v, k) for k, v in node.items()]
+    return sorted(found)
+
+
+def _forbidden_keys():
+    @F.pandas_udf("array<string>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else forbidden_keys(t))
+
+    return run
 
 
 def outbound(payloads: DataFrame, payload: str, human: str, secrets: DataFrame | None = None, key: str = "n", most_bytes: int = 2_500_000) -> DataFrame:
@@ -47,47 +78,105 @@ def outbound(payloads: DataFrame, payload: str, human: str, secrets: DataFrame |
     return rows.withColumn("status", F.when(c("reason").isNull(), 200).when(c("reason") == "TOO_LARGE", 413).otherwise(422))
 
 
-def leaks(payloads: DataFrame, secrets: DataFrame, key: str = "payload_id", most: int = 100_000) -> DataFrame:
-    """Payload ids and the hash of each known secret found in them, one pass over the payloads for each block of at most `most` secrets,
-    which is broadcast and scanned for all at once. Null payloads and empty secrets find nothing; repeated secrets count once."""
-    import hashlib
-    import uuid
-
-    from pyspark.sql.types import StringType, StructField, StructType
-
-    spark, field = payloads.sparkSession, payloads.schema[key]
-    schema = StructType([StructField(key, field.dataType), StructField("secret_sha256", StringType())])
-    found = spark.createDataFrame([], schema)
-    rows = payloads.select(key, c("payload").cast("string").alias("payload")).filter("payload is not null")
-
-    def scan(name: str, sent):
-        def run(parts):
-            import ahocorasick
-            import pyarrow as pa
-
-            if name not in _SCANNERS:
-                _SCANNERS.clear()
-                _SCANNERS[name] = ahocorasick.Automaton()
-                for s in sent.value:
-                    _SCANNERS[name].add_word(s, hashlib.sha256(s.encode()).hexdigest())
-                _SCANNERS[name].make_automaton()
-            for part in parts:
-                hits = [sorted({v for _, v in _SCANNERS[name].iter(t)}) for t in part.column("payload").to_pylist()]
-                at = pa.array([i for i, h in enumerate(hits) for _ in h], pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(key).take(at), pa.array([v for h in hits for v in h], pa.string())], [key, "secret_sha256"])
-
-        return run
-
-    block: list[str] = []
-    for row in secrets.select(c("secret").cast("string").alias("secret")).filter(F.length("secret") > 0).distinct().toLocalIterator():
-        block.append(row["secret"])
-        if len(block) == most:
-            found, block = found.union(rows.mapInArrow(scan(uuid.uuid4().hex, spark.sparkContext.broadcast(block)), schema)), []
-    return found.union(rows.mapInArrow(scan(uuid.uuid4().hex, spark.sparkContext.broadcast(block)), schema)) if block else found
-
-
-#: The scanner that a Python worker has built last, by the name of its block.
-_SCANNERS: dict = {}
+# Secrets of so many bytes or more are found by grams of q bytes, of which the one of least hash among the first w names a secret, and the least of
+# every w in a row are looked up for a payload. Shorter secrets are looked up whole, as grams of their own length.
+SIGNATURES = ((32, 8, 25), (16, 8, 9), (8, 4, 5))
+
+
+def _grams(text: bytes, q: int):
+    """Every q bytes in a row as a number, up to q = 8."""
+    import numpy as np
+
+    data = np.frombuffer(text, np.uint8)
+    n = len(data) - q + 1
+    out = np.zeros(max(n, 0), np.uint64)
+    for j in range(q if n > 0 else 0):
+        out |= data[j : j + n].astype(np.uint64) << np.uint64(8 * j)
+    return out
+
+
+def _spread(grams):
+    """A bijection of 64-bit numbers, so that the least is any of them alike."""
+    import numpy as np
+
+    with np.errstate(over="ignore"):
+        x = grams * np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(29)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(32))
+
+
+def _least_of_each(x, w: int):
+    """The distinct minima of all w values in a row."""
+    import numpy as np
+
+    if len(x) < w:
+        return x[:0]
+    return np.unique(np.lib.stride_tricks.sliding_window_view(x, w).min(axis=1))
+
+
+def _level(size: int) -> tuple[int, int, int]:
+    """The class (its number, q, w) of a secret of so many bytes."""
+    for k, (least, q, w) in enumerate(SIGNATURES):
+        if size >= least:
+            return k, q, w
+    return len(SIGNATURES) + size, size, 1
+
+
+def leaks(payloads: DataFrame, secrets: DataFrame, key: str = "payload_id") -> DataFrame:
+    """The payload ids and the hash of each known secret found in them (payloads: key, payload; secrets: secret), in one pass over the payloads, whatever the number of secrets.
+
+    Both sides are rows of (class, signature): a secret one, a payload those that a secret of a class present could have. They meet in a join, which Spark may
+    split by skew or thin out by a Bloom filter of its own; what meets is verified against the payload's text. Only the numbers of the classes present (eleven at most) reach the driver.
+    Null payloads and empty secrets find nothing; repeated secrets count once; rows with equal keys, or none, are told apart by their text.
+    """
+    import pyarrow as pa
+
+    field = payloads.schema[key].dataType.simpleString()
+    known = secrets.select(c("secret").cast("string").alias("secret")).filter(F.length("secret") > 0).distinct()
+    signed = "secret string, level int, signature long"
+
+    def sign(parts):
+        import numpy as np
+
+        for part in parts:
+            texts = part.column("secret").to_pylist()
+            levels, names = [], []
+            for t in texts:
+                raw = t.encode()
+                level, q, w = _level(len(raw))
+                levels.append(level)
+                names.append(int(_spread(_grams(raw, q))[:w].min().astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([part.column("secret"), pa.array(levels, pa.int32()), pa.array(names, pa.int64())], ["secret", "level", "signature"])
+
+    own = known.mapInArrow(sign, signed)
+    size = F.octet_length("secret")
+    level = F.lit(None).cast("int")
+    for k, (least, _, _) in reversed(list(enumerate(SIGNATURES))):
+        level = F.when(size >= least, k).otherwise(level)
+    present = sorted(r[0] for r in known.select(F.coalesce(level, size + len(SIGNATURES)).alias("k")).distinct().collect())
+
+    def look(parts):
+        import numpy as np
+
+        for part in parts:
+            for i in range(part.num_rows):
+                raw = part.column("payload")[i].as_py().encode()
+                told = []
+                for k in present:
+                    _, q, w = (None, *SIGNATURES[k][1:]) if k < len(SIGNATURES) else (None, k - len(SIGNATURES), 1)
+                    told.append((k, _least_of_each(_spread(_grams(raw, q)), w).view(np.int64)))
+                n = sum(len(x) for _, x in told)
+                at = pa.array(np.full(n, i))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(key).take(at), part.column("text_hash").take(at), pa.array(np.repeat([k for k, _ in told], [len(x) for _, x in told]), pa.int32()), pa.array(np.concatenate([x for _, x in told]) if told else np.zeros(0, np.int64))],
+                    [key, "text_hash", "level", "signature"],
+                )
+
+    rows = payloads.select(key, c("payload").cast("string").alias("payload")).filter("payload is not null").withColumn("text_hash", F.xxhash64("payload"))
+    met = rows.mapInArrow(look, f"{key} {field}, text_hash long, level int, signature long").join(own, ["level", "signature"]).select(c(key).alias("key_"), c("text_hash").alias("hash_"), "secret").distinct()
+    both = rows.join(met, c(key).eqNullSafe(c("key_")) & (c("text_hash") == c("hash_")))
+    return both.filter(F.contains("payload", "secret")).select(key, F.sha2("secret", 256).alias("secret_sha256")).distinct()
 
 
 def endpoint_allowed(url: Column) -> Column:

@@ -355,10 +355,10 @@ def test_streamed_session_timeout(spark, tmp_path):
         query.stop()
 
 
-def test_leaks_by_blocks(spark):
+def test_leaks_of_like_secrets(spark):
     secrets = [(f"s3cret-{i}-",) for i in range(25)] + [("",), (None,), ("s3cret-3-",), ("cret-3",)]
     payloads = [(i, f"has s3cret-{i}- and more") for i in range(30)] + [(99, None)]
-    got = guard.leaks(spark.createDataFrame(payloads, "payload_id int, payload string"), spark.createDataFrame(secrets, "secret string"), most=7).collect()
+    got = guard.leaks(spark.createDataFrame(payloads, "payload_id int, payload string"), spark.createDataFrame(secrets, "secret string")).collect()
     wanted = {(i, s) for i, p in payloads if p for s, in set(secrets) if s and s in p}
     import hashlib
 
