@@ -40,8 +40,10 @@ from sluice.llm.components import components
 
 U = np.uint64
 PAIR = "a long, b long"
-SIZES = "doc_id long, n_shingles long, set_hash binary, sketch binary, fold binary"
-SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "sketch", "fold"]
+SIZES = "doc_id long, n_shingles long, set_hash binary, fold binary, small binary"
+SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "fold", "small"]
+#: Sets of up to so many shingles go into blocks themselves.
+SMALL = 64
 MET = "key long, hub long, doc long, more boolean"
 #: Bytes of text whose documents share keys before these are shuffled.
 LOT = 4 << 20
@@ -103,7 +105,7 @@ def whole_sketch(u: np.ndarray) -> bytes:
 
 
 def folded(sketch: bytes) -> bytes:
-    """Half the bits, a bit for each shingle still, for comparison within blocks; 512 bits stay."""
+    """Half the bits, a bit for each shingle still; 512 bits stay."""
     x = np.frombuffer(sketch, np.uint64)
     return sketch if len(x) <= 8 else (x[: len(x) // 2] ^ x[len(x) // 2 :]).tobytes()
 
@@ -126,8 +128,7 @@ def _sizes(words: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(parts):
             sets = kernel.shingles(utf8(batch.column("text")), words)
-            sketches = [whole_sketch(u) for u in sets]
-            columns = [pa.array([len(u) for u in sets], pa.int64()), pa.array([_set_hash(u) for u in sets], pa.binary()), pa.array(sketches, pa.binary()), pa.array([folded(x) for x in sketches], pa.binary())]
+            columns = [pa.array([len(u) for u in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in ([_set_hash(u) for u in sets], [folded(whole_sketch(u)) for u in sets], [u.tobytes() if len(u) <= SMALL else None for u in sets])]]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], SIZES_NAMES)
 
     return run
@@ -203,12 +204,13 @@ def _folded(sketches: list[bytes]) -> np.ndarray:
 def _across(num: int, den: int, what: str):
     """Rows sorted by block; pairs of different components near enough by size and Hamming distance are sought. what is `links`: a pair is told
     if its components are not yet joined in the block, so that there are fewer pairs than documents; `docs`: each document of a pair is told
-    (as a and b), once; or `exact`: as links, but rows have their sets and pairs are verified here. A block holds the documents of one
+    (as a and b), once; or `exact`: as links, but rows have their sets and pairs are verified here. Pairs of small sets, which rows always have, are verified
+    everywhere, so that no false one leaves. A block holds the documents of one
     group, or of one pair of its pieces: then those of the same piece meet elsewhere."""
-    exact = what == "exact"
-
     def near(rows: list[tuple]) -> Iterator[tuple[int, int]]:
         docs, comp, size, piece = (np.array(c, np.int64) for c in zip(*[r[:4] for r in rows], strict=True))
+        held_set = lambda i: rows[i][-1]
+        verified = lambda a, b: linked(np.frombuffer(held_set(a), np.uint64), np.frombuffer(held_set(b), np.uint64), num, den)
         sketch = _folded([r[4] for r in rows])
         across = piece.min() != piece.max()
         values, comp, counts = np.unique(comp, return_inverse=True, return_counts=True)
@@ -228,17 +230,18 @@ def _across(num: int, den: int, what: str):
                 spare = (den - num) * (size[p] + size[q]) - np.bitwise_count(sketch[p] ^ sketch[q]).sum(axis=1, dtype=np.int64) * (den + num)
                 hit = np.flatnonzero(spare >= 0)
                 if what == "docs":
+                    hit = hit[[held_set(a) is None or held_set(b) is None or verified(a, b) for a, b in zip(p[hit].tolist(), q[hit].tolist(), strict=True)]] if len(hit) else hit
                     named[p[hit]] = named[q[hit]] = True
                     continue
                 for k in hit[np.argsort(-spare[hit], kind="stable")].tolist():
                     a, b = p[k], q[k]
                     low, high = sorted((up[comp[a]], up[comp[b]]))
-                    if low != high and (not exact or linked(np.frombuffer(rows[a][5], np.uint64), np.frombuffer(rows[b][5], np.uint64), num, den)):
+                    if low != high and (held_set(a) is None or held_set(b) is None or verified(a, b)):
                         up[up == high] = low
                         yield min(int(docs[a]), int(docs[b])), max(int(docs[a]), int(docs[b]))
         yield from ((d, d) for d in docs[named].tolist())
 
-    names = [*BLOCK, "doc", "component", "n_shingles", "piece", "fold", *(["shingles"] if exact else [])]
+    names = [*BLOCK, "doc", "component", "n_shingles", "piece", "fold", "shingles" if what == "exact" else "small"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held = None, []
@@ -281,7 +284,7 @@ def _sifted(pairs: DataFrame, sizes: DataFrame, num: int, den: int) -> DataFrame
             keep = [may_link(x, y, t, num, den) for x, y, t in zip(*cols, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sketch").alias(f"sketch_{x}")).hint("merge")
+    side = lambda x: sizes.select(F.col("doc_id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("fold").alias(f"sketch_{x}")).hint("merge")
     both = pairs.join(side("b"), "b").join(side("a"), "a").filter(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
     return both.select("a", "b", "sketch_a", "sketch_b", (F.col("n_a") + F.col("n_b")).alias("total")).mapInArrow(run, PAIR)
 
@@ -331,15 +334,18 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     label = parts.select(F.col("node").alias("doc"), "component")
     labelled = written(met.select("key", "doc").join(label, "doc", "left").select("key", "doc", F.coalesce("component", "doc").alias("component")), "labelled")
     given_up(met)
-    groups = written(labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key"), "spanning")
+    # Documents that share one part mostly share others: of keys with the same documents (told by their number and two sums of hashes) one is enough.
+    told = [F.count("*").alias("many"), *[F.sum(F.xxhash64("doc", F.lit(seed)).cast("decimal(38,0)")).alias(f"sum{seed}") for seed in (1, 2)]]
+    spans = labelled.distinct().groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), *told).filter("low < high")
+    groups = written(spans.groupBy("many", "sum1", "sum2").agg(F.min("key").alias("key")).select("key"), "spanning")
     mixed = written(labelled.join(groups, "key").distinct(), "mixed")
     given_up(labelled)
-    size = alone.select(F.col("doc_id").alias("doc"), "n_shingles", F.octet_length("fold").alias("bytes"))
+    size = alone.select(F.col("doc_id").alias("doc"), "n_shingles", (F.octet_length("fold") + F.coalesce(F.octet_length("small"), F.lit(0))).alias("bytes"))
     mixed = written(mixed.join(size, "doc"), "unsettled")
     pieces = F.greatest(F.ceil(F.count("*") / BLOCK_DOCS), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("long").alias("pieces")
     cut = mixed.join(written(mixed.groupBy("key").agg(pieces), "pieces"), "key").withColumn("piece", F.pmod(F.xxhash64("doc"), F.col("pieces")))
     cut = cut.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1))).withColumn("i", F.least("piece", "with")).withColumn("j", F.greatest("piece", "with")).drop("with", "pieces", "bytes")
-    fold = alone.select(F.col("doc_id").alias("doc"), "fold")
+    fold = alone.select(F.col("doc_id").alias("doc"), "fold", "small")
 
     def searched(rows: DataFrame, what: str) -> DataFrame:
         laid = rows.join(fold.hint("merge"), "doc").repartition(*BLOCK).sortWithinPartitions(*BLOCK)

@@ -7,6 +7,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sluice.llm import decontaminate, jaccardjoin, linededup, suffixdedup
@@ -371,3 +372,19 @@ def test_decontamination_of_odd_tables(spark):
     assert decontaminate.contamination(cases.empty(spark), none).count() == 0
     found = decontaminate.contamination(cases.odd(spark), none).collect()
     assert len(found) == 7 and not any(r["contaminated"] for r in found)
+
+
+def test_form_letters_leave_no_block(spark):
+    """Letters that differ in one word link with none: however many there are, no pair of theirs leaves a block."""
+    rng = __import__("random").Random(6)
+    letter = lambda i: " ".join(f"w{j}" if j != 20 else f"name{i}x{rng.randrange(10**6)}" for j in range(41))
+    rows = [cases.row(i, letter(i)) for i in range(700)]
+    sets = jaccardjoin.kernel.shingles([r[1].encode() for r in rows], 3)
+    block = pa.RecordBatch.from_pydict({
+        "key": [1] * 700, "i": [0] * 700, "j": [0] * 700, "doc": list(range(700)), "component": list(range(700)), "n_shingles": [len(u) for u in sets], "piece": [0] * 700,
+        "fold": [jaccardjoin.folded(jaccardjoin.whole_sketch(u)) for u in sets], "small": [u.tobytes() for u in sets],
+    })
+    for what in ("links", "docs"):
+        assert sum(b.num_rows for b in jaccardjoin._across(90, 100, what)(iter([block]))) == 0
+    found = got(jaccardjoin.near_components(cases.frame(spark, rows + [cases.row(900, rows[5][1] + " more")]), 3, 90, 100), "doc_id", "n_shingles", "component_id")
+    assert {r[2]: r[0] for r in found if r[0] != r[2]} == {5: 900} and len(found) == 701
