@@ -12,7 +12,8 @@ band, so a document joins in its own band and, if a partner can lie there, in th
 
 Equal sets link at once and one document of each goes on. Its parts are plain rows (key, document). Where documents of
 one task share a key, the least of them alone is shuffled by that key, so a key that a third of all documents hold is at most
-one row for each lot of `LOT` bytes of text. In a group of equal keys every document meets the least one, never every other. Distinct
+one row for each lot of `LOT` bytes of text. In a group of equal keys every document meets the least one, never every other. A document
+that shares fewer keys of a band than a link takes leaves the band's groups. Distinct
 pairs whose whole-document bit sketches (one bit XOR-ed for each shingle, so that their Hamming distance is at most the
 symmetric difference) differ in more bits than D go; what is then verified makes components. Groups whose other documents still span
 components are cut into blocks of bounded size, in which only sketches of different components are compared; of near ones a block
@@ -40,8 +41,10 @@ from sluice.llm.components import components
 
 U = np.uint64
 PAIR = "a long, b long"
-SIZES = "doc_id long, n_shingles long, set_hash binary, fold binary, small binary"
-SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "fold", "small"]
+SIZES = "doc_id long, n_shingles long, set_hash binary, fold binary, small binary, band int, need int, need_next int"
+SIZES_NAMES = ["doc_id", "n_shingles", "set_hash", "fold", "small", "band", "need", "need_next"]
+#: Keys tell their band in so many low bits.
+BAND_BITS = 9
 #: Sets of up to so many shingles go into blocks themselves.
 SMALL = 64
 MET = "key long, hub long, doc long, more boolean"
@@ -67,6 +70,8 @@ class Bands:
             slack = math.ceil(empty * most + 2 * math.sqrt(empty * most)) if most else 0
             self.low.append(low), self.high.append(high), self.parts.append(most + 1 + slack), self.slack.append(slack)
             low = high + 1
+        if len(self.low) > 1 << BAND_BITS:
+            raise ValueError("too many bands")
 
     def difference(self, total: int) -> int:
         """Largest symmetric difference of two linked sets of `total` elements together."""
@@ -84,11 +89,18 @@ def part_keys(u: np.ndarray, band: int, bands: Bands) -> np.ndarray:
     bounds = np.searchsorted(u, kernel.even_bounds(p))
     total = np.concatenate([np.zeros(1, np.uint64), np.bitwise_xor.accumulate(kernel.mix(u ^ U(0x5851F42D4C957F2D)))])
     ends = np.append(bounds[1:], len(u))
-    keys = kernel.mix(kernel.mix((total[ends] ^ total[bounds]) + U(band + 1)) + np.arange(p, dtype=np.uint64))
+    keys = kernel.mix(kernel.mix((total[ends] ^ total[bounds]) + U(band + 1)) + np.arange(p, dtype=np.uint64)) >> U(BAND_BITS) << U(BAND_BITS) | U(band)
     full = ends > bounds
     return keys if p - int(full.sum()) > bands.slack[band] else keys[full]
 
 
+def least_shared(u: np.ndarray, band: int, bands: Bands) -> int:
+    """How many keys of a band a set shares at least with any that it links with there: of the 1 + slack parts that agree, those that are not empty. A set that sends its
+    empty parts may share one alone."""
+    empty = int((np.diff(np.append(np.searchsorted(u, kernel.even_bounds(bands.parts[band])), len(u))) == 0).sum())
+    return 1 + bands.slack[band] - empty if empty <= bands.slack[band] else 1
+
+
 def linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
     if not len(a) or not len(b) or den * min(len(a), len(b)) < num * max(len(a), len(b)):
         return False
@@ -124,11 +136,13 @@ def _set_hash(u: np.ndarray) -> bytes:
     return np.array([u.sum(dtype=np.uint64), np.bitwise_xor.reduce(kernel.mix(u)) if len(u) else 0], np.uint64).tobytes()
 
 
-def _sizes(words: int):
+def _sizes(words: int, bands: Bands):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(parts):
             sets = kernel.shingles(utf8(batch.column("text")), words)
             columns = [pa.array([len(u) for u in sets], pa.int64()), *[pa.array(x, pa.binary()) for x in ([_set_hash(u) for u in sets], [folded(whole_sketch(u)) for u in sets], [u.tobytes() if len(u) <= SMALL else None for u in sets])]]
+            needs = [[least_shared(u, b, bands) for b in bands.of(len(u))] + [None] if len(u) else [None, None] for u in sets]
+            columns += [pa.array(x, pa.int32()) for x in ([bands.of(len(u))[0] if len(u) else None for u in sets], [n[0] for n in needs], [n[1] for n in needs])]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], SIZES_NAMES)
 
     return run
@@ -293,12 +307,12 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     """doc_id, n_shingles and component_id of every row."""
     spark, bands = docs.sparkSession, Bands(num, den)
     rows = keyed(docs, "text")
-    sizes = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
+    sizes = written(rows.mapInArrow(_sizes(words, bands), SIZES), "sizes")
     told = sizes.agg(F.count("doc_id").alias("n"), F.countDistinct("doc_id").alias("ids")).collect()[0]
     rows = rows.filter("doc_id is not null")
     if told["n"] > told["ids"]:  # rows that share an id stand for their least text
         rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
-        alone = written(rows.mapInArrow(_sizes(words), SIZES), "sizes")
+        alone = written(rows.mapInArrow(_sizes(words, bands), SIZES), "sizes")
     else:
         alone = sizes.filter("doc_id is not null")
 
@@ -311,7 +325,16 @@ def near_components(docs: DataFrame, words: int = 5, num: int = 80, den: int = 1
     at = F.when(F.col("hub") == F.col("doc"), F.col("key")).otherwise(F.xxhash64("key", "doc"))  # rows that name a hub need no meeting
     met = written(one.mapInArrow(_sent(words, bands), MET).repartition(at).sortWithinPartitions("key", "doc").mapInArrow(_met, MET).select("key", "hub", "doc"), "met")
     free_shuffles(spark)
-    pairs = written(met.filter("hub != doc").select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
+    # Documents that share a key by chance share few: those that share fewer keys of a band than any link takes leave it.
+    band = F.col("key").bitwiseAND((1 << BAND_BITS) - 1).cast("int")
+    shared = met.filter("hub != doc").select(F.col("doc").alias("d"), "key").union(met.filter("hub != doc").select("hub", "key")).distinct().groupBy("d", band.alias("band")).agg(F.count("*").alias("many"))
+    own = alone.select(F.col("doc_id").alias("d"), F.explode(F.array(F.struct("band", "need"), F.struct((F.col("band") + 1).alias("band"), F.col("need_next").alias("need")))).alias("b")).select("d", "b.band", "b.need")
+    live = sized(written(shared.join(own, ["d", "band"]).filter("many >= need").select("d", "band"), "live"))
+    kept = met.withColumn("band", band).join(live.withColumnRenamed("d", "doc"), ["doc", "band"])
+    met, given = written(kept.select("key", "hub", "doc", "band"), "met-live"), met
+    given_up(given)
+    pairs = met.filter("hub != doc").join(live.withColumnRenamed("d", "hub"), ["hub", "band"])
+    pairs = written(pairs.select(F.col("hub").alias("a"), F.col("doc").alias("b")).distinct(), "pairs")
     near = written(_sifted(pairs, alone, num, den), "near")
 
     def as_sets(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

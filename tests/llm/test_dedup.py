@@ -388,3 +388,25 @@ def test_form_letters_leave_no_block(spark):
         assert sum(b.num_rows for b in jaccardjoin._across(90, 100, what)(iter([block]))) == 0
     found = got(jaccardjoin.near_components(cases.frame(spark, rows + [cases.row(900, rows[5][1] + " more")]), 3, 90, 100), "doc_id", "n_shingles", "component_id")
     assert {r[2]: r[0] for r in found if r[0] != r[2]} == {5: 900} and len(found) == 701
+
+
+@pytest.mark.parametrize(("num", "den"), [(80, 100), (90, 100), (60, 100), (1, 1)])
+def test_linked_sets_share_as_many_keys_as_they_need(num, den):
+    """Whatever pair links, in some band of both the keys that they share are as many as either needs."""
+    rng = np.random.default_rng(7)
+    bands = jaccardjoin.Bands(num, den)
+    for n in (1, 2, 5, 9, 20, 40, 64, 100, 300, 1000):
+        for _ in range(60):
+            a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64))
+            most = (den - num) * 2 * n // (den + num)
+            lost = int(rng.integers(0, most // 2 + 1))
+            more = int(rng.integers(0, most - lost + 1))
+            b = np.unique(np.concatenate([rng.permutation(a)[lost:], rng.integers(0, 1 << 63, more, dtype=np.uint64)]))
+            if not jaccardjoin.linked(a, b, num, den):
+                continue
+            ok = False
+            for band in set(bands.of(len(a))) & set(bands.of(len(b))):
+                x, y = (set(jaccardjoin.part_keys(u, band, bands).tolist()) for u in (a, b))
+                assert all(k & 511 == band for k in x | y)
+                ok |= len(x & y) >= max(jaccardjoin.least_shared(a, band, bands), jaccardjoin.least_shared(b, band, bands)) and len(x & y) > 0
+            assert ok, (n, lost, more)
