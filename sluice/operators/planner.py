@@ -221,3 +221,20 @@ def page_signature(page: DataFrame) -> Column:
         F.lit('{"origin":'), one(c("origin")), F.lit(',"url":'), one(c("url")), F.lit(',"viewport":'), F.to_json("viewport"), F.lit(',"elements":['), F.array_join(F.transform("elements", row), ","), F.lit("]}"),
     )
     return F.concat(F.lit("fp_"), fnv1a(body))
+
+
+def fingerprint_changes(snapshots: DataFrame, by: str, order: list[str], at: str, acted: Column, most_ms: int = 1500) -> DataFrame:
+    """Successive snapshots (with a fingerprint) of a session: adds changed (differs from the one before; null for the first), and for snapshots on
+    which an action was taken (`acted`) the outcome: CHANGED if a later one differs within `most_ms`, with waited_ms to the first that does, UNCHANGED if there
+    are later ones but none differs in time, null if there is none. Null fingerprints equal each other."""
+    w = Window.partitionBy(by).orderBy(*order)
+    rows = snapshots.withColumn("changed", F.when(F.row_number().over(w) > 1, ~c("fingerprint").eqNullSafe(F.lag("fingerprint").over(w))))
+    # Snapshots of one fingerprint in a row are a run; the first that differs from any of them begins the next one.
+    rows = rows.withColumn("run_", F.sum(F.coalesce(c("changed"), F.lit(False)).cast("int")).over(w)).withColumn("ms_", F.unix_millis(c(at).cast("timestamp")))
+    rows = rows.withColumn("later_", F.lead("run_").over(w).isNotNull())
+    begins = rows.filter(F.coalesce("changed", F.lit(False))).select(c(by).alias("by_"), (c("run_") - 1).alias("before_"), c("ms_").alias("next_ms_"))
+    both = rows.join(begins, c(by).eqNullSafe(c("by_")) & (c("run_") == c("before_")), "left")
+    wait = c("next_ms_") - c("ms_")
+    acted = F.coalesce(acted, F.lit(False))
+    outcome = F.when(acted & (wait <= most_ms), "CHANGED").when(acted & c("later_"), "UNCHANGED")
+    return both.withColumn("outcome", outcome).withColumn("waited_ms", F.when(c("outcome") == "CHANGED", wait)).drop("run_", "ms_", "later_", "by_", "before_", "next_ms_")

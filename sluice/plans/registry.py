@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sluice.functions import text as tx
 from sluice.functions.patterns import TYPES
 from sluice.operators import detect, elements, evaluate, evidence, guard, ledger, policy, rank, sessions, spatial
-from sluice.plans import actions, controls, corpus
+from sluice.plans import actions, controls, corpus, planted
 from sluice.sources import page_elements
 
 c = F.col
@@ -25,6 +25,12 @@ def redaction_evidence_by_lang(spark, sf_dir):
     return evidence.summarise(found, ["lang"]).select("lang", "type", "detector_hits", "unique_items", "review_items")
 
 
+def all_evidence_by_lang(spark, sf_dir):
+    """The same by all detectors, overlaps resolved among all."""
+    found = policy.decide(detect.entities(table(spark, sf_dir, "documents"), "text", ["doc_id", "lang"]))
+    return evidence.summarise(found, ["lang"]).select("lang", "type", "detector_hits", "unique_items", "review_items")
+
+
 def email_hits_by_lang(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").withColumn("hits", F.size(detect.detect(c("text"), ("EMAIL",))))
     return docs.filter("hits > 0").groupBy("lang").agg(F.count("*").alias("docs"), F.sum("hits").cast("long").alias("hits"))
@@ -177,13 +183,13 @@ def outbound_guard(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        redaction_evidence_by_lang, email_hits_by_lang, redact_email_text, policy_by_type, detection_cases, label_confusion, latency_percentiles, attempts_by_mode, stage_medians,
+        redaction_evidence_by_lang, all_evidence_by_lang, email_hits_by_lang, redact_email_text, policy_by_type, detection_cases, label_confusion, latency_percentiles, attempts_by_mode, stage_medians,
         planner_round_trips, repeated_actions, ring_buffer_last_100, session_latest_state, session_outcomes, ledger_first_breaks, ledger_rebuilt, mask_region_overlaps, unhinted_regions,
         top_parts_by_brand, endpoint_rule, url_fingerprints, unknown_props, normalised_turns, page_controls, page_texts, outbound_guard,
     )
 }
 
-QUERIES |= controls.QUERIES | actions.QUERIES
+QUERIES |= controls.QUERIES | actions.QUERIES | planted.QUERIES
 
 _EMAIL = r"(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 _CARD = r"\b(?:[0-9]{4}[ -]){3}[0-9]{4}\b|\b[0-9]{13,19}\b"  # RE2 looks neither ahead nor behind: the two usual forms
@@ -258,4 +264,5 @@ e AS (SELECT page_id, tag, generate_subscripts(t, 1) AS i, replace(replace(repla
 n AS (SELECT page_id, tag, i, rtrim(left(trim(regexp_replace(t, '\s+', ' ', 'g')), 2000)) AS t FROM e)"""
 ORACLE_SQL["page_controls"] = f"{_PAGE} SELECT tag, CASE tag WHEN 'a' THEN 'link' WHEN 'h1' THEN 'heading' ELSE tag END AS role, count(*) AS n, count(DISTINCT page_id) AS pages FROM n GROUP BY tag"
 ORACLE_SQL["page_texts"] = f"{_PAGE} SELECT page_id, tag, count(*) AS n, sha256(string_agg(t, chr(10) ORDER BY i)) AS texts_sha256 FROM n GROUP BY page_id, tag"
-ORACLE_SQL |= controls.ORACLE_SQL | actions.ORACLE_SQL
+ORACLE_SQL["all_evidence_by_lang"] = ORACLE_SQL["redaction_evidence_by_lang"]  # the corpus holds no value of the other types
+ORACLE_SQL |= controls.ORACLE_SQL | actions.ORACLE_SQL | planted.ORACLE_SQL
