@@ -51,6 +51,7 @@ DETECTORS: tuple[Detector, ...] = (
 )
 TYPES = (*(d.type for d in DETECTORS), "FACE", "PRIVATE_DOCUMENT", "OTHER")
 DROPPED_TYPES = ("PASSWORD", "OTP", "PAYMENT_CARD", "AADHAAR_LIKE", "PRIVATE_DOCUMENT")
+# The tables of Verhoeff's check digit.
 VERHOEFF_PRODUCT = (
     (0, 1, 2, 3, 4, 5, 6, 7, 8, 9), (1, 2, 3, 4, 0, 6, 7, 8, 9, 5), (2, 3, 4, 0, 1, 7, 8, 9, 5, 6), (3, 4, 0, 1, 2, 8, 9, 5, 6, 7), (4, 0, 1, 2, 3, 9, 5, 6, 7, 8),
     (5, 9, 8, 7, 6, 0, 4, 3, 2, 1), (6, 5, 9, 8, 7, 1, 0, 4, 3, 2), (7, 6, 5, 9, 8, 2, 1, 0, 4, 3), (8, 7, 6, 5, 9, 3, 2, 1, 0, 4), (9, 8, 7, 6, 5, 4, 3, 2, 1, 0),
@@ -61,7 +62,8 @@ VERHOEFF_PERMUTATION = (
 )
 BASE36 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Patterns of the outbound guards. Their card shape has no checksum, unlike the detector's.
+# Patterns of the outbound guards, forbidden keys, and words of claims and comparisons.
+#: Their card shape has no checksum, unlike the detector's.
 OBVIOUS_SECRETS = (
     rf"(?i){EDGE}[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{{2,}}{EDGE}",
     rf"{EDGE}[A-Z]{{5}}\d{{4}}[A-Z]{EDGE}",

@@ -255,12 +255,12 @@ def scanner(model: Model) -> Callable[[list[str]], list[tuple[str, list[tuple[st
     return scan
 
 
-def span_scores(df: DataFrame, expected: str, predicted: str) -> DataFrame:
-    """type, tp, fp, fn, precision and recall of whole spans: type, start and stop agree."""
+def span_scores(df: DataFrame, expected: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """by, type, tp, fp, fn, precision and recall of whole spans: type, start and stop agree."""
     side = lambda name: F.transform(F.coalesce(F.col(name).cast(SPAN), F.array().cast(SPAN)), lambda s: F.struct(s["type"].alias("type"), s["start"].alias("start"), s["stop"].alias("stop")))
     e, p = F.array_distinct(side(expected)), F.array_distinct(side(predicted))
     told = lambda spans, k: F.transform(spans, lambda s: F.struct(s["type"].alias("type"), F.lit(k).alias("k")))
-    rows = df.select(F.explode(F.concat(told(F.array_intersect(e, p), "tp"), told(F.array_except(p, e), "fp"), told(F.array_except(e, p), "fn"))).alias("x")).select("x.*")
-    counts = rows.groupBy("type").agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("tp", "fp", "fn")])
+    rows = df.select(*by, F.explode(F.concat(told(F.array_intersect(e, p), "tp"), told(F.array_except(p, e), "fp"), told(F.array_except(e, p), "fn"))).alias("x")).select(*by, "x.*")
+    counts = rows.groupBy(*by, "type").agg(*[F.count_if(F.col("k") == k).alias(k) for k in ("tp", "fp", "fn")])
     share = lambda a, b: F.round(a / F.greatest(F.lit(1), b), 6)
-    return counts.select("type", "tp", "fp", "fn", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))
+    return counts.select(*by, "type", "tp", "fp", "fn", share(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), share(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall"))

@@ -27,6 +27,7 @@ _FIELDS = (
     ("USERNAME", r"user\s*name", "is|=|:|with"),
     ("TEXT", r"(?:text\s+input|search(?:\s+(?:query|box))?)", "is|=|:|with"),
 )
+# Texts that are actions, not values, and words before a button's name.
 _ACTION_ONLY = r"(?i)^(?:my\s+)?(?:and\s+)?(?:continue|submit|stop|proceed|go|click|press|select|choose|fill|enter|use)(?:\s+.*)?$"
 _CLICKED = rf'(?i){EDGE}(?:click|press)\s+(?:the\s+)?["\'“]?$'
 VALUE = "struct<kind:string,value:string,start:int,stop:int>"

@@ -120,6 +120,16 @@ def ledger_rebuilt(spark, sf_dir):
     return ledger.inspect(ledger.rehash(_blocks(table(spark, sf_dir, "events"))))
 
 
+def ledger_heads(spark, sf_dir):
+    """Safe events of each user as a chained ledger: index and hash of its last block, which depend on every block before."""
+    pick = lambda names: F.get(F.array(*[F.lit(n) for n in names]), c("event_id") % len(names))
+    e = table(spark, sf_dir, "events").select(
+        c("user_id").cast("string").alias("session"), c("event_id").alias("seq"), c("event_id").alias("at"), F.when(c("event_id") % 50 == 0, "NOTE").otherwise(pick(ledger.EVENTS)).alias("event"), pick(ledger.ACTIONS).alias("action"),
+        F.when(c("event_id") % 3 == 0, F.sha2(c("event_id").cast("string"), 256)).alias("action_commitment"),
+    )
+    return ledger.ledger_heads(ledger.append(e.filter(ledger.is_safe()))).drop("seq")
+
+
 def mask_region_overlaps(spark, sf_dir):
     """Boxes and regions of a snapshot: common area of each region with its boxes."""
     lines = table(spark, sf_dir, "lineitem").withColumn("bbox", F.struct(*[x.cast("double").alias(n) for x, n in ((c("l_quantity") * 20, "x"), (c("l_discount") * 1000, "y"), (c("l_tax") * 5000 + 1, "width"), (c("l_quantity") * 7, "height"))]))
@@ -184,7 +194,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         redaction_evidence_by_lang, all_evidence_by_lang, email_hits_by_lang, redact_email_text, policy_by_type, detection_cases, label_confusion, latency_percentiles, attempts_by_mode, stage_medians,
-        planner_round_trips, repeated_actions, ring_buffer_last_100, session_latest_state, session_outcomes, ledger_first_breaks, ledger_rebuilt, mask_region_overlaps, unhinted_regions,
+        planner_round_trips, repeated_actions, ring_buffer_last_100, session_latest_state, session_outcomes, ledger_first_breaks, ledger_rebuilt, ledger_heads, mask_region_overlaps, unhinted_regions,
         top_parts_by_brand, endpoint_rule, url_fingerprints, unknown_props, normalised_turns, page_controls, page_texts, outbound_guard,
     )
 }
@@ -228,6 +238,12 @@ h AS (SELECT *, sha256({_BLOCK.replace("EVENT", "event_type")}) AS hash, sha256(
 k AS (SELECT user_id, i, CASE WHEN i > 0 THEN 'LINK' WHEN hash <> again THEN 'HASH' END AS bad FROM h)
 SELECT user_id::VARCHAR AS session, count(*) AS n_blocks, count(bad) = 0 AS valid, min(i) FILTER (bad IS NOT NULL) AS first_bad, arg_min(bad, i) FILTER (bad IS NOT NULL) AS "check" FROM k GROUP BY user_id""",
     "ledger_rebuilt": """SELECT user_id::VARCHAR AS session, count(*) AS n_blocks, true AS valid, NULL::BIGINT AS first_bad, NULL::VARCHAR AS "check" FROM events GROUP BY user_id""",
+    "ledger_heads": f"""
+WITH RECURSIVE s AS (SELECT user_id::VARCHAR AS session, event_id AS t, {list(ledger.EVENTS)}[event_id % {len(ledger.EVENTS)} + 1] AS event, {list(ledger.ACTIONS)}[event_id % {len(ledger.ACTIONS)} + 1] AS action,
+CASE WHEN event_id % 3 = 0 THEN '"' || sha256(event_id::VARCHAR) || '"' ELSE 'null' END AS commitment, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events WHERE event_id % 50 <> 0),
+h AS (SELECT session, -1::BIGINT AS i, repeat('0', 64) AS hash FROM (SELECT DISTINCT session FROM s) UNION ALL
+SELECT s.session, s.i, sha256('{{"session":"' || s.session || '","index":' || s.i || ',"at":' || s.t || ',"event":"' || s.event || '","action":"' || s.action || '","actionCommitment":' || commitment || ',"previous":"' || h.hash || '"}}') FROM h JOIN s ON s.session = h.session AND s.i = h.i + 1)
+SELECT session, max(i) AS "index", arg_max(hash, i) AS hash FROM h GROUP BY session""",
     "mask_region_overlaps": """
 WITH b AS (SELECT l_orderkey AS s, l_linenumber AS n, l_orderkey || '-' || l_linenumber AS id, (l_quantity * 20)::DOUBLE AS x, (l_discount * 1000)::DOUBLE AS y, (l_tax * 5000 + 1)::DOUBLE AS w, (l_quantity * 7)::DOUBLE AS h FROM lineitem),
 p AS (SELECT DISTINCT r.s, r.id, a.id AS box, greatest(a.x, r.x) AS px, greatest(a.y, r.y) AS py, least(a.x + a.w, r.x + r.w) - greatest(a.x, r.x) AS dx, least(a.y + a.h, r.y + r.h) - greatest(a.y, r.y) AS dy FROM b a JOIN b r ON a.s = r.s AND a.n % 2 = 1 AND r.n % 2 = 0)
