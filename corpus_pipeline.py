@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.llm import decontaminate, jaccardjoin, linededup, packing, toxicity
-from sluice.llm.common import table, written
+from sluice.llm.common import given_up, table, written
 
 #: No DuckDB SQL: the first stage is a trained model and the last a tokenizer.
 ORACLE_SQL = None
@@ -61,8 +61,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result but the last is written and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result but the last is written and read again as the next one's input, and goes when that one's result is written. The last
+    reads the table before it, which stays."""
+    docs = source = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+        if before is not source:
+            given_up(before)
     return STAGES[-1][1](spark, docs, sf_dir)

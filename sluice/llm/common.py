@@ -49,11 +49,16 @@ def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
 
 
 def given_up(df: DataFrame) -> None:
-    """Delete the files of a table made by `written` that nothing reads any more."""
-    spark = df.sparkSession
-    for name in df.inputFiles():
-        path = spark._jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, False)
+    """Delete the folder of a table made by `written` that nothing reads any more. Other tables stay."""
+    spark, files = df.sparkSession, df.inputFiles()
+    path = lambda name: spark._jvm.org.apache.hadoop.fs.Path(name)
+    base = path(shared_dir(spark)).toUri().getPath().rstrip("/") + "/"
+    for name in files[:1]:
+        at = path(name)
+        while at is not None and at.getParent() is not None and at.getParent().toUri().getPath().rstrip("/") + "/" != base:
+            at = at.getParent()
+        if at is not None and at.getParent() is not None:
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def sized(df: DataFrame, most: int = 1_000_000) -> DataFrame:

@@ -107,3 +107,17 @@ def test_nothing_else_imports_the_subpackage():
     for path in top.rglob("*.py"):
         if path.parent.name != "llm":
             assert not re.search(r"sluice\.llm|from \.+llm|import llm", path.read_text()), path
+
+
+def test_tables_are_given_up_by_folder(spark):
+    import os
+
+    from sluice.llm.common import given_up, shared_dir, written
+
+    base = shared_dir(spark).removeprefix("file://")
+    kept, gone = written(spark.range(5), "kept-one"), written(spark.range(9), "gone-one")
+    given_up(gone)
+    names = os.listdir(base)
+    assert not any(n.startswith("gone-one") for n in names) and any(n.startswith("kept-one") for n in names) and kept.count() == 5
+    given_up(spark.range(3))  # not a written table
+    assert kept.count() == 5
