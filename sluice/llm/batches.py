@@ -9,6 +9,7 @@ Defined cases: null texts are empty, null ids the least number; an empty table h
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -24,6 +25,7 @@ from sluice.llm.common import keyed, utf8, written
 
 NO_ID = -(1 << 63)
 BATCH_BYTES = 1 << 22
+LEAST_LOT = 1 << 16
 STAGED = "batch long, ids binary, sizes binary, bytes long, blob binary"
 
 
@@ -97,6 +99,16 @@ def stage(docs: DataFrame, what: str, batch_bytes: int = BATCH_BYTES) -> tuple[D
     return staged, staged.agg(F.coalesce(F.sum("bytes"), F.lit(0))).collect()[0][0]
 
 
+def text_bytes(docs: DataFrame) -> int:
+    return docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).collect()[0][0]
+
+
+def lot(total: int, at_one_gb: int, most: int) -> int:
+    """Bytes of a batch or a bucket. They grow with the root of the input, so that the rows that batches and buckets exchange grow as the input does, up to
+    `most`, which a task can hold; small inputs are cut small, so that every task has its share."""
+    return max(LEAST_LOT, min(most, int(at_one_gb * math.sqrt(total / 1e9))))
+
+
 def bucket_count(total: int, each: int) -> int:
     return max(8, -(-total // each))
 

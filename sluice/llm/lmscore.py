@@ -43,13 +43,15 @@ def batch_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return ids, first, distinct, places, [np.append(ok, np.zeros(len(hashes) - len(ok), bool)) for _, ok in grams]
 
 
-def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_bytes: int = bt.BATCH_BYTES, bucket_bytes: int = 4 << 20) -> DataFrame:
+def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_backed_off, log_score (natural, summed) and log_score_per_token of every document.
 
-    A batch and a bucket exchange one row: both sizes grow with the root of the input, as executors allow, to keep rows full.
+    A batch and a bucket exchange one row: unless given, both sizes grow with the root of the input, up to 8 MB. The batches are written, so that what a
+    batch asks and what it scores are the same text even if executors are lost and the input comes back in another order.
     """
-    total = docs.agg(F.coalesce(F.sum(F.octet_length(F.col("text").cast("string"))), F.lit(0))).collect()[0][0]
-    staged = bt.cut(docs, batch_bytes).repartition("batch")  # both uses below share this one exchange
+    total = bt.text_bytes(docs)
+    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 6_000_000, 8 << 20), bucket_bytes or bt.lot(total, 6_000_000, 8 << 20)
+    staged, _ = bt.stage(docs, "lmbatches", batch_bytes)
     buckets = bt.bucket_count(total, bucket_bytes)
 
     def ask(parts):
@@ -78,8 +80,6 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2,
         for row in bt.rows(batch):
             ids, first, distinct, places, inside = batch_grams(row, order)
             told = sorted(zip(answers.column("bucket").to_pylist(), answers.column("payload").to_pylist(), strict=True))
-            if len(distinct) and not told:
-                raise RuntimeError("a batch changed between two readings of the documents")
             table = np.concatenate([bt.unsqueeze(p)[0] for _, p in told]) if told else np.zeros(0, np.int64)
             n = len(places[0])
             counts = [np.where(ok, table[p] if len(table) else 0, 0) for p, ok in zip(places, inside, strict=True)]

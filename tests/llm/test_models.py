@@ -234,6 +234,8 @@ def test_lm_scores_against_brute_force(spark):
     found = sorted((r["doc_id"], r["n_tokens"], r["n_backed_off"], r["log_score"]) for r in rows_of(lmscore.scores(cases.frame(spark, rows))))
     for a, b in zip(found, brute_scores(rows), strict=True):
         assert a[:3] == b[:3] and math.isclose(a[3], b[3], rel_tol=1e-9, abs_tol=1e-4)
+    many = rows_of(lmscore.scores(cases.frame(spark, rows).repartition(5), batch_bytes=1 << 10, bucket_bytes=1 << 10))
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_backed_off"], r["log_score"]) for r in many) == found
     assert lmscore.scores(cases.empty(spark)).count() == 0
     odd = rows_of(lmscore.scores(cases.odd(spark)))
     assert len(odd) == 7 and all(r["log_score"] == 0 and r["log_score_per_token"] is None for r in odd if not r["n_tokens"])
