@@ -12,7 +12,9 @@ bucket, equal runs become one string that keeps its least document, so copies co
 each interval by each preceding byte sets the common prefixes between neighbouring suffixes by increasing value, and
 stops before `length`: suffixes with no value between them share a window. A hash with very many runs is dealt out
 window by window, by the hash of the whole window; then each batch sends a window of its least document alone, as that
-decides for the others.
+decides for the others. Those windows meet twice: first among as many batches as the root of their number, where all but
+the least document's are decided, then the least of each of these groups. So a window that every batch holds is in no
+task more than that root times.
 
 Defined cases: null text is empty; texts shorter than `length` bytes lose nothing; rows of equal doc_id do not remove
 from each other; a null doc_id is the least; other columns are ignored.
@@ -21,6 +23,7 @@ from each other; a null doc_id is the least; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -186,13 +189,15 @@ def _covered(text: np.ndarray, doc: np.ndarray, windows: np.ndarray, hashes: np.
     return row[heads], offset[heads], offset[tails]
 
 
-def _spans_of_bucket(length: int, seed: int):
+def _spans_of_bucket(length: int, seed: int, fine: int, hot_buckets: int):
     def run(key: tuple, sent: pa.Table) -> pa.Table:
         """For each batch, the spans to remove: document in the batch, first byte, end. Whole hashes are taken in turn, so
-        that beyond the bucket's bytes a task holds arrays for about `SLICE_BYTES` of them."""
+        that beyond the bucket's bytes a task holds arrays for about `SLICE_BYTES` of them. From `fine` on, buckets hold
+        windows of very many batches, some of the batches each: what no document there precedes goes on to a bucket by
+        the window alone, under a number from 0 on."""
         batches = sent.column("batch").to_pylist()
-        if key[0].as_py() < 0:  # spans that their batch has decided
-            return sent.select(["batch", "payload"])
+        if key[0].as_py() < 0:  # spans that are decided
+            return sent.select(["bucket", "batch", "payload"])
         payloads = [bt.unsqueeze(p) for p in sent.column("payload").to_pylist()]
         of = np.repeat(np.arange(len(payloads)), [len(p[0]) for p in payloads])
         doc, place, start, windows = (np.concatenate([p[i] for p in payloads]) for i in range(4))
@@ -209,27 +214,46 @@ def _spans_of_bucket(length: int, seed: int):
             which, a, b = _covered(_gather(text, begin[some], sizes[some]), doc[some], windows[some], hashes[some], length)
             found.append((some[which], a, b))
         which, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+        out = []
+        if key[0].as_py() >= fine:
+            left = np.ones(len(of), bool)
+            left[which] = False
+            on = np.flatnonzero(left)
+            cut = np.searchsorted(of[on], np.arange(len(batches) + 1))
+            for i in np.flatnonzero(np.diff(cut)).tolist():
+                some = on[cut[i] : cut[i + 1]]
+                bytes_ = _gather(text, begin[some], sizes[some])
+                out.append(((key[0].as_py() - fine) % hot_buckets, batches[i], bt.squeeze(doc[some], place[some], start[some], windows[some].astype(np.uint16), bytes_)))
         order = np.argsort(of[which], kind="stable")
         which, a, b = which[order], a[order] + start[which[order]], b[order] + start[which[order]] + length
-        out, cut = [], np.searchsorted(of[which], np.arange(len(batches) + 1))
+        cut = np.searchsorted(of[which], np.arange(len(batches) + 1))
         for batch, x, y in zip(batches, cut[:-1].tolist(), cut[1:].tolist(), strict=True):
             if y > x:
-                out.append((batch, bt.squeeze(place[which[x:y]], a[x:y].astype(np.uint32), b[x:y].astype(np.uint32))))
-        return pa.Table.from_batches([bt.as_batch(out, ["batch", "payload"], [pa.int64(), pa.binary()])])
+                out.append((-1 - batch, batch, bt.squeeze(place[which[x:y]], a[x:y].astype(np.uint32), b[x:y].astype(np.uint32))))
+        return pa.Table.from_batches([bt.as_batch(out, ["bucket", "batch", "payload"], [pa.int64(), pa.int64(), pa.binary()])])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS, batch_bytes: int = 1 << 20, bucket_bytes: int = 4 << 20) -> tuple[DataFrame, DataFrame]:
+def salts_of(total: int, batch_bytes: int) -> int:
+    """Into how many groups batches are put for hot windows: the root of their number."""
+    return max(1, math.isqrt(total // batch_bytes))
+
+
+def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS, batch_bytes: int | None = None, bucket_bytes: int | None = None) -> tuple[DataFrame, DataFrame]:
     """The staged documents, and for each batch the spans to remove as compressed arrays.
 
-    A batch and a bucket exchange one row: both sizes grow with the root of the input, as executors allow, to keep rows full.
+    A batch and a bucket exchange one row: unless given, both sizes grow with the root of the input, up to 4 and 16 MB.
     """
     if not 0 < seed < length:
         raise ValueError("the seed is shorter than the window")
-    staged, total = bt.stage(docs, "suffix", batch_bytes)
+    total = bt.text_bytes(docs)
+    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 1_500_000, 4 << 20), bucket_bytes or bt.lot(total, 6_000_000, 16 << 20)
+    staged, _ = bt.stage(docs, "suffix", batch_bytes)
     buckets = bt.bucket_count(total, bucket_bytes)
     fine = bt.bucket_count(total, bucket_bytes // 4)  # runs overlap, and sorting takes `length` bytes for each of theirs
+    salts = salts_of(total, batch_bytes)
+    hot_buckets = max(1, fine // salts)
 
     def ask(parts):
         for part in parts:
@@ -270,6 +294,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 continue
             distinct = np.unique(hashes)
             level = np.concatenate([bt.unsqueeze(p)[0] for _, p in told])[np.searchsorted(distinct, hashes)]
+            lots = [(0, fine, hashes[level == 1], doc[level == 1], begin[level == 1], windows[level == 1])]
             if (level == 2).any():  # one run for each window, by the hash of the window
                 hot, whole = level == 2, kernel.rolling(buf, length)
                 many = _gather(np.arange(len(buf)), begin[hot], windows[hot])
@@ -282,25 +307,26 @@ def repeated_spans(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs:
                 a = (many - starts[owner])[sure].astype(np.uint32)
                 out.append((-1 - row["batch"], row["batch"], bt.squeeze(owner[sure].astype(np.uint32), a, a + np.uint32(length))))
                 many, owner = many[~sure], owner[~sure]
-                rest = level == 1
-                key_ = np.concatenate([hashes[rest], whole[many]])
-                doc, begin, windows = np.concatenate([doc[rest], owner]), np.concatenate([begin[rest], many]), np.concatenate([windows[rest], np.ones(len(many), np.int64)])
-            else:
-                key_, doc, begin, windows = hashes[level == 1], doc[level == 1], begin[level == 1], windows[level == 1]
-            of, doc, begin, windows = _short_runs(doc, begin, windows)
-            key_ = key_[of]
-            order = np.argsort(key_, kind="stable")
-            key_, doc, begin, windows = key_[order], doc[order], begin[order], windows[order]
-            cut = bt.cuts(key_, fine)
-            for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
-                if y > x:
+                lots.append((fine + row["batch"] % salts * hot_buckets, hot_buckets, whole[many], owner, many, np.ones(len(many), np.int64)))
+            for base, among, key_, doc, begin, windows in lots:
+                of, doc, begin, windows = _short_runs(doc, begin, windows)
+                key_ = key_[of]
+                order = np.argsort(key_, kind="stable")
+                key_, doc, begin, windows = key_[order], doc[order], begin[order], windows[order]
+                cut = bt.cuts(key_, among)
+                for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)):
+                    if y == x:
+                        continue
                     bytes_ = _gather(buf, begin[x:y], windows[x:y] + length - 1)
-                    out.append((b, row["batch"], bt.squeeze(ids[doc[x:y]], doc[x:y].astype(np.uint32), (begin[x:y] - starts[doc[x:y]]).astype(np.uint32), windows[x:y].astype(np.uint16), bytes_)))
+                    out.append((base + b, row["batch"], bt.squeeze(ids[doc[x:y]], doc[x:y].astype(np.uint32), (begin[x:y] - starts[doc[x:y]]).astype(np.uint32), windows[x:y].astype(np.uint16), bytes_)))
         return pa.Table.from_batches([bt.as_batch(out, ["bucket", "batch", "payload"], [pa.int64(), pa.int64(), pa.binary()])])
 
     levels = staged.mapInArrow(ask, "bucket int, batch long, payload binary").groupBy("bucket").applyInArrow(judge, "batch long, bucket int, payload binary")
     sent = staged.groupBy("batch").cogroup(levels.groupBy("batch")).applyInArrow(send, "bucket long, batch long, payload binary")
-    return staged, sent.groupBy("bucket").applyInArrow(_spans_of_bucket(length, seed), "batch long, payload binary")
+    spans, schema = sent, "bucket long, batch long, payload binary"
+    for step in (fine, 1 << 62):  # the second takes what the first sends on; what is decided passes through
+        spans = spans.groupBy("bucket").applyInArrow(_spans_of_bucket(length, seed, step, hot_buckets), schema)
+    return staged, spans.select("batch", "payload")
 
 
 def removed_bytes(buf: np.ndarray, starts: np.ndarray, payloads: list[bytes]) -> np.ndarray:
@@ -313,9 +339,9 @@ def removed_bytes(buf: np.ndarray, starts: np.ndarray, payloads: list[bytes]) ->
     return np.cumsum(change[:-1]) > 0
 
 
-def digest(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS) -> DataFrame:
+def digest(docs: DataFrame, length: int = 50, seed: int = 24, hot_runs: int = HOT_RUNS, batch_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document."""
-    staged, spans = repeated_spans(docs, length, seed, hot_runs)
+    staged, spans = repeated_spans(docs, length, seed, hot_runs, batch_bytes, bucket_bytes)
 
     def finish(key: tuple, batch: pa.Table, found: pa.Table) -> pa.Table:
         out = []

@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+from sluice.llm import batches as bt
 from sluice.llm import decontaminate, jaccardjoin, linededup, suffixdedup
 from sluice.llm.components import components
 
@@ -136,6 +137,34 @@ def test_suffix_against_brute_force(spark, length, seed, hot):
     assert sum(r[2] for r in found) > 0
 
 
+def test_suffix_of_a_line_in_every_batch(spark):
+    """A line that every batch holds is hot, and goes to groups of batches first: no group sees it once for each batch."""
+    line = "This very line stands at the end of each and every document of the table."
+    rows = [cases.row(i, (t[1] or "") + "\n" + line) for i, t in enumerate(cases.corpus(8, 120))]
+    batch_bytes = 1 << 10
+    found = got(suffixdedup.digest(cases.frame(spark, rows), 50, 24, 8, batch_bytes, 1 << 12), *SUFFIX)
+    assert found == brute_suffix(rows, 50)
+    staged, spans = suffixdedup.repeated_spans(cases.frame(spark, rows), 50, 24, 8, batch_bytes, 1 << 12)
+    assert staged.count() > 50 and spans.count() > 0
+    total = sum(len(r[1].encode()) for r in rows)
+    assert suffixdedup.salts_of(total, batch_bytes) > 5
+
+
+def test_suffix_windows_go_on_once_a_group():
+    """Of a window in six batches of one group only the least document's goes on; the others are decided there."""
+    text, docs = b"0123456789" * 5, [7, 3, 9, 4, 8, 5]
+    payload = lambda d: bt.squeeze(np.array([d]), np.zeros(1, np.uint32), np.zeros(1, np.uint32), np.ones(1, np.uint16), np.frombuffer(text, np.uint8))
+    sent = pa.table({"bucket": pa.array([11] * 6, pa.int64()), "batch": pa.array(range(6), pa.int64()), "payload": pa.array([payload(d) for d in docs], pa.binary())})
+    out = suffixdedup._spans_of_bucket(50, 24, 10, 4)((pa.scalar(11),), sent).to_pylist()
+    assert [(r["bucket"], r["batch"]) for r in out if r["bucket"] >= 0] == [(1, 1)]
+    assert sorted(r["batch"] for r in out if r["bucket"] < 0) == [0, 2, 3, 4, 5]
+
+
+def test_lots_grow_with_the_root():
+    sizes = [bt.lot(n, 1_500_000, 4 << 20) for n in (0, 10**7, 10**9, 4 * 10**9, 10**14)]
+    assert sizes == [bt.LEAST_LOT, 150_000, 1_500_000, 3_000_000, 4 << 20]
+
+
 def test_suffix_of_very_long_periodic_texts(spark):
     """Runs of more windows than two bytes can count: copies, another phase, and a short stretch elsewhere."""
     long = "word " * 30_000
