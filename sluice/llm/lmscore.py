@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import batches as bt
 from sluice.llm import kernel
-from sluice.llm.common import written
+from sluice.llm.common import free_shuffles, given_up, written
 
 ASK = "bucket int, batch long, payload binary"
 
@@ -46,11 +46,12 @@ def batch_grams(row: dict, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarr
 def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2, batch_bytes: int | None = None, bucket_bytes: int | None = None) -> DataFrame:
     """doc_id, n_tokens, n_backed_off, log_score (natural, summed) and log_score_per_token of every document.
 
-    A batch and a bucket exchange one row: unless given, both sizes grow with the root of the input, up to 8 MB. The batches are written, so that what a
-    batch asks and what it scores are the same text even if executors are lost and the input comes back in another order.
+    A batch and a bucket exchange one row: unless given, both sizes grow with the root of the input, up to 6 MB. The batches are written, so that what a
+    batch asks and what it scores are the same text even if executors are lost and the input comes back in another order; the answers too, so that what was
+    asked needs no disk while documents are scored.
     """
     total = bt.text_bytes(docs)
-    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 6_000_000, 8 << 20), bucket_bytes or bt.lot(total, 6_000_000, 8 << 20)
+    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 6_000_000, 6 << 20), bucket_bytes or bt.lot(total, 6_000_000, 6 << 20)
     staged, _ = bt.stage(docs, "lmbatches", batch_bytes)
     buckets = bt.bucket_count(total, bucket_bytes)
 
@@ -104,10 +105,12 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2,
             out += list(zip([None if i == bt.NO_ID else i for i in ids.tolist()], sizes.tolist(), add(backed > 0).astype(np.int64).tolist(), add(log).tolist(), add(alone).astype(np.int64).tolist(), strict=True))
         return pa.Table.from_batches([bt.as_batch(out, ["doc_id", "n_tokens", "n_backed_off", "log", "alone"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()])])
 
-    answers = staged.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(count, "batch long, bucket int, payload binary")
+    answers = written(staged.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(count, "batch long, bucket int, payload binary"), "lmanswers")
+    free_shuffles(docs.sparkSession)
     scored = written(
         staged.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_tokens long, n_backed_off long, log double, alone long"), "lmscores"
     )
+    given_up(staged), given_up(answers)
     n = scored.agg(F.coalesce(F.sum("n_tokens"), F.lit(0))).collect()[0][0]
     log = F.round(F.col("log") - F.col("alone") * float(np.log(max(n, 1))), 4)
     return scored.select("doc_id", "n_tokens", "n_backed_off", log.alias("log_score"), F.when(F.col("n_tokens") > 0, F.round((F.col("log") - F.col("alone") * float(np.log(max(n, 1)))) / F.col("n_tokens"), 4)).alias("log_score_per_token"))
