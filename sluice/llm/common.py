@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 LARGE_TEXT = 1 << 22
 #: Bytes of a record batch between the JVM and Python; Spark's own 64 MB stand in both at once, for each task.
 LOT_BYTES = 1 << 22
+#: Spark removes the shuffle files of a query as it ends.
+SPENT = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def small_lots(spark: SparkSession) -> None:
@@ -39,12 +41,18 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, what: str, by: list[str] | None = None) -> DataFrame:
-    """Cut lineage: write to the shared folder and read again, so that a lost executor costs no recomputation."""
+def written(df: DataFrame, what: str, by: list[str] | None = None, spent: bool = False) -> DataFrame:
+    """Cut lineage: write to the shared folder and read again, so that a lost executor costs no recomputation. With `spent`, the shuffle files of this
+    write go as it ends: nothing else may count on them."""
     spark = df.sparkSession
     path = os.path.join(shared_dir(spark), f"{what}-{uuid.uuid4().hex}")
     writer = df.write.option("compression", "zstd")
-    (writer.partitionBy(*by) if by else writer).parquet(path)
+    before = spark.conf.get(SPENT, "false")
+    spark.conf.set(SPENT, str(spent or before == "true").lower())
+    try:
+        (writer.partitionBy(*by) if by else writer).parquet(path)
+    finally:
+        spark.conf.set(SPENT, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

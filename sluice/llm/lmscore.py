@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import batches as bt
 from sluice.llm import kernel
-from sluice.llm.common import free_shuffles, given_up, written
+from sluice.llm.common import given_up, written
 
 ASK = "bucket int, batch long, payload binary"
 
@@ -105,8 +105,7 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2,
             out += list(zip([None if i == bt.NO_ID else i for i in ids.tolist()], sizes.tolist(), add(backed > 0).astype(np.int64).tolist(), add(log).tolist(), add(alone).astype(np.int64).tolist(), strict=True))
         return pa.Table.from_batches([bt.as_batch(out, ["doc_id", "n_tokens", "n_backed_off", "log", "alone"], [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()])])
 
-    answers = written(staged.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(count, "batch long, bucket int, payload binary"), "lmanswers")
-    free_shuffles(docs.sparkSession)
+    answers = written(staged.mapInArrow(ask, ASK).groupBy("bucket").applyInArrow(count, "batch long, bucket int, payload binary"), "lmanswers", spent=True)
     scored = written(
         staged.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(score, "doc_id long, n_tokens long, n_backed_off long, log double, alone long"), "lmscores"
     )
