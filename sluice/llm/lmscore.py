@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sluice.llm import batches as bt
 from sluice.llm import kernel
-from sluice.llm.common import given_up, written
+from sluice.llm.common import give_back, given_up, written
 
 ASK = "bucket int, batch long, payload binary"
 
@@ -51,20 +51,24 @@ def scores(docs: DataFrame, order: int = 3, alpha: float = 0.4, least: int = 2,
     asked needs no disk while documents are scored.
     """
     total = bt.text_bytes(docs)
-    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 6_000_000, 6 << 20), bucket_bytes or bt.lot(total, 6_000_000, 6 << 20)
+    batch_bytes, bucket_bytes = batch_bytes or bt.lot(total, 5_000_000, 6 << 20), bucket_bytes or bt.lot(total, 5_000_000, 6 << 20)
     staged, _ = bt.stage(docs, "lmbatches", batch_bytes)
     buckets = bt.bucket_count(total, bucket_bytes)
 
+    def asked(row: dict) -> list[tuple]:
+        """For each bucket, the batch's distinct n-grams and how often it has each."""
+        _, buf, starts = bt.load(row)
+        hashes, first = kernel.words(buf, starts)
+        del buf
+        distinct, counts = np.unique(np.concatenate([g[ok] for g, ok in (kernel.ngrams(hashes, first, n) for n in range(1, order + 1))]), return_counts=True)
+        cut = bt.cuts(distinct, buckets)
+        return [(b, row["batch"], bt.squeeze(bt.deltas(distinct[x:y]), counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
+
     def ask(parts):
         for part in parts:
             for row in bt.rows(part):
-                _, _, distinct, places, inside = batch_grams(row, order)
-                counts = np.zeros(len(distinct), np.int64)
-                for p, ok in zip(places, inside, strict=True):
-                    counts += np.bincount(p[ok], minlength=len(distinct))
-                cut = bt.cuts(distinct, buckets)
-                out = [(b, row["batch"], bt.squeeze(bt.deltas(distinct[x:y]), counts[x:y].astype(np.uint32))) for b, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-                yield bt.as_batch(out, ["bucket", "batch", "payload"], [pa.int32(), pa.int64(), pa.binary()])
+                yield bt.as_batch(asked(row), ["bucket", "batch", "payload"], [pa.int32(), pa.int64(), pa.binary()])
+                give_back()
 
     def count(key: tuple, asked: pa.Table) -> pa.Table:
         """The bucket's count table, and each batch's share of it in the order asked."""
