@@ -46,6 +46,16 @@ def test_many_secrets_in_one_plan(spark):
     assert all(r["secret_sha256"] == sha("key-" + sha(str(r["payload_id"] * 5000))) for r in rows)
 
 
+def test_secrets_that_begin_alike(spark):
+    """A payload meets secrets of a common beginning once for each size and place, not once each."""
+    name = F.concat(F.lit("Customer#"), F.lpad(F.col("id").cast("string"), 9, "0"))
+    secrets = spark.range(2000).select(name.alias("secret"))
+    payloads = spark.range(2000, 4000).select(F.col("id").alias("payload_id"), F.concat(name, F.lit(" and "), F.lit("Customer#000000040")).alias("payload"))
+    rows = payloads.withColumn("text_hash", F.xxhash64("payload"))
+    assert guard.possible_places(rows, secrets, "payload_id").count() <= 3 * 2000
+    assert {(r["secret_sha256"]) for r in guard.leaks(payloads, secrets).collect()} == {sha("Customer#000000040")}
+
+
 def test_odd_secrets(spark):
     none = spark.createDataFrame([], "secret string")
     df = spark.createDataFrame([(1, "abc")], "payload_id long, payload string")
