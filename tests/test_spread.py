@@ -44,3 +44,29 @@ def test_cards_beside_other_digits(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     found = [[s["value"].strip() for s in r[0]] for r in df.select(detect.detect(F.col("t"), ("PAYMENT_CARD",))).collect()]
     assert found == [["4451718024887799"], ["4880761348116108"], ["4451718024887799"], []]
+
+
+def test_detections_are_folded_in_lots_without_pandas_calls(spark):
+    from sluice.operators import spatial
+
+    box = "image_id long, det_id string, type string, confidence double, x int, y int, width int, height int"
+    rows = [(i, f"d{j}", "FACE" if j < 2 else "CARD", 0.9 - j / 10, 5 * j, 0, 40, 20) for i in range(50) for j in range(3)] + [(None, "a", None, None, 0, 0, 4, 4), (None, "b", None, 0.5, None, 0, 4, 4)]
+    df = spark.createDataFrame(rows, box)
+    for got, n in ((spatial.suppress(df), 2), (spatial.merge_detections(df, "image_id"), 2)):
+        assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().executedPlan().toString()
+        counts = {r["image_id"]: r["count"] for r in got.groupBy("image_id").count().collect()}
+        assert counts == {i: n for i in range(50)} | {None: 2}
+    merged = spatial.merge_detections(df, "image_id").filter("image_id = 3 and type = 'FACE'").collect()
+    assert [(r["x"], r["width"], r["evidence_id"]) for r in merged] == [(0, 45, "visual_0")]
+
+
+def test_small_images_leave_a_task_in_lots(spark):
+    import pyarrow as pa
+
+    from sluice.sources import png
+
+    image = png.encode(np.zeros((2, 2, 4), np.uint8))
+    batch = pa.RecordBatch.from_pydict({"id": list(range(100)), "content": [image] * 99 + [b"x"]})
+    seen = png.lots(batch, "content", ["id"], png.MOST_PIXELS)
+    out = list(seen)
+    assert len(out) == 1 and out[0].num_rows == 100 and out[0].column("error").null_count == 99
