@@ -70,3 +70,18 @@ def test_small_images_leave_a_task_in_lots(spark):
     seen = png.lots(batch, "content", ["id"], png.MOST_PIXELS)
     out = list(seen)
     assert len(out) == 1 and out[0].num_rows == 100 and out[0].column("error").null_count == 99
+
+
+def test_obvious_secrets_pass_their_hints(spark):
+    from sluice.functions.patterns import OBVIOUS_SECRETS, SECRET_HINTS
+    from sluice.operators import guard
+
+    texts = ["mail a.b@c.example", "tax ABCDE1234F", "pay x1@bank", "+91 98765-43210", "4111 1111 - 1111 1111", "4111111111111", "PassWord : x", "otp=1", "plain 1234 text", "a @ b", "ABCDE12345", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = F.lit(False)
+    for p in OBVIOUS_SECRETS:
+        plain = plain | F.col("t").rlike(p)
+    rows = df.select(guard.has_obvious_secret(F.col("t")), F.coalesce(plain, F.lit(False))).collect()
+    assert len(SECRET_HINTS) == len(OBVIOUS_SECRETS) and [r[0] for r in rows] == [r[1] for r in rows] and sum(r[0] for r in rows) == 8
+    column = str(guard.has_obvious_secret(F.col("t")))
+    assert column.lower().count("contains") == 2  # patterns are tried where their hint is found
