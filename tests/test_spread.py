@@ -85,3 +85,16 @@ def test_obvious_secrets_pass_their_hints(spark):
     assert len(SECRET_HINTS) == len(OBVIOUS_SECRETS) and [r[0] for r in rows] == [r[1] for r in rows] and sum(r[0] for r in rows) == 8
     column = str(guard.has_obvious_secret(F.col("t")))
     assert column.lower().count("contains") == 2  # patterns are tried where their hint is found
+
+
+def test_cheap_tests_pass_what_patterns_match(spark):
+    from sluice.functions.patterns import DETECTORS
+    from sluice.plans import corpus
+
+    texts = ["PAſſWORD: hidden1", "pın = 7777", "patİent: Ann Lee", "HıSTORY", "Patient hıſtory: mild cough", "PassKode", "reſİdıng at: 5 Mill Lane, Town", "OTP 1234", "u@x.example", "DEMO0123456"]
+    df = spark.createDataFrame([(t,) for t in texts + [r[1] for r in corpus.rows()]], "t string")
+    for d in DETECTORS:
+        spans = F.filter(detect.spans_of(F.col("t"), d.pattern, d.group), lambda x: F.length(x["value"]) > 0)
+        want = F.size(F.filter(spans, lambda x: detect.VALIDATORS[d.validator](x["value"])) if d.validator else spans)  # noqa: B023
+        got = F.size(detect._let(detect._tested(F.col("t"), [d]), lambda t: detect._candidates(t, d)))  # noqa: B023
+        assert df.filter(got != want).count() == 0, d.type
