@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from sluice.llm import batches as bt
-from sluice.llm import decontaminate, jaccardjoin, linededup, suffixdedup
+from sluice.llm import decontaminate, jaccardjoin, kernel, linededup, suffixdedup
 from sluice.llm.components import components
 
 from . import cases
@@ -160,6 +160,45 @@ def test_suffix_windows_go_on_once_a_group():
     assert sorted(r["batch"] for r in out if r["bucket"] < 0) == [0, 2, 3, 4, 5]
 
 
+def test_suffix_hashes_have_equal_shares():
+    """The least of many hashes is small: buckets of equal ranges of it would differ by a factor of twenty-seven."""
+    buf, starts = kernel.joined([np.random.default_rng(i).integers(97, 123, 40_000, dtype=np.uint8).tobytes() for i in range(5)])
+    hashes, doc, begin, windows = suffixdedup.runs_of(buf, starts, 50, 24)
+    shares = np.diff(bt.cuts(np.sort(hashes), 32))
+    assert shares.max() < 1.5 * shares.mean() and windows.sum() == 5 * (40_000 - 49)
+    assert (np.bincount(doc, weights=windows) == 40_000 - 49).all() and (begin >= starts[doc]).all()
+
+
+def test_suffix_windows_by_themselves_are_not_sorted(monkeypatch):
+    """Windows of one hash that are each a string differ or are one: a hot hash takes no sort of fifty suffixes for each window."""
+    seed = bytes(range(65, 89))
+    strings = [bytes([97 + i % 26, 97 + i // 26] * 6) + seed + b"0" * 14 for i in range(200)] * 2
+    text = np.frombuffer(b"".join(strings), np.uint8)
+    monkeypatch.setattr(suffixdedup, "least_documents", None)
+    row, a, b = suffixdedup._covered(text, np.arange(400), np.ones(400, np.int64), np.zeros(400, np.uint64), 50)
+    assert sorted(row.tolist()) == list(range(200, 400)) and not a.any() and not b.any()
+
+
+def test_suffix_hashes_are_hot_by_their_share():
+    assert suffixdedup.hot_from(1 << 16) == suffixdedup.HOT_RUNS < suffixdedup.hot_from(16 << 20) <= (16 << 20) // 512
+
+
+@pytest.mark.parametrize("letters,length", [(2, 8), (2, 50), (20, 1), (20, 50), (200, 50)])
+def test_suffix_order(letters, length):
+    rng = np.random.default_rng(letters)
+    strings = [bytes(rng.integers(0, letters, n, dtype=np.uint8)) for n in (300, 1, 60, 300, 5)] + [b"\x01" * 200]
+    text = np.frombuffer(b"".join(s + b"\xff" for s in [*strings, strings[0]]), np.uint8)
+    padded = text.tobytes() + b"\xff" * length
+    keys = [padded[i : i + length] for i in suffixdedup.suffix_order(text, length)]
+    assert keys == sorted(padded[i : i + length] for i in range(len(text)))
+
+
+def test_small_lots_come_back():
+    for arrays in ([np.arange(5), np.array([7], np.uint16), np.zeros(0, np.uint8)], [np.zeros(0, np.uint64)], [np.arange(9000), np.ones(3, np.uint32)]):
+        back = bt.unsqueeze(bt.packed(*arrays))
+        assert [x.dtype for x in back] == [x.dtype for x in arrays] and all((x == y).all() for x, y in zip(back, arrays, strict=True))
+
+
 def test_lots_grow_with_the_root():
     sizes = [bt.lot(n, 1_500_000, 4 << 20) for n in (0, 10**7, 10**9, 4 * 10**9, 10**14)]
     assert sizes == [bt.LEAST_LOT, 150_000, 1_500_000, 3_000_000, 4 << 20]
