@@ -199,6 +199,17 @@ def test_small_lots_come_back():
         assert [x.dtype for x in back] == [x.dtype for x in arrays] and all((x == y).all() for x, y in zip(back, arrays, strict=True))
 
 
+def test_suffix_of_whole_copies(spark):
+    """Later copies of a text go whole, but not rows of the least doc_id, near copies, or texts without a window."""
+    text = [t[1] or "" for t in cases.corpus(9, 30)]
+    rows = [cases.row(i % 10 * 1000 + i // 10, t) for i, t in enumerate(t for t in text for _ in range(10))]
+    rows += [cases.row(0, text[0]), cases.row(9999, text[3][:-1]), cases.row(9998, "short"), cases.row(9997, "short"), cases.row(9996, "x" * 50), cases.row(9995, "x" * 50), cases.row(9994, "x" * 51)]
+    found = got(suffixdedup.digest(cases.frame(spark, rows), batch_bytes=1 << 11, bucket_bytes=1 << 13), *SUFFIX)
+    assert found == brute_suffix(rows, 50)
+    hashes, sizes, ids = np.array([5, 5, 5, 7, 5, 7], np.uint64), np.array([60, 60, 61, 60, 60, 60], np.uint32), np.array([3, bt.NO_ID, 9, 4, 3, 4])
+    assert suffixdedup.later_copies(hashes, sizes, ids).tolist() == [True, False, False, False, True, False]
+
+
 def test_lots_grow_with_the_root():
     sizes = [bt.lot(n, 1_500_000, 4 << 20) for n in (0, 10**7, 10**9, 4 * 10**9, 10**14)]
     assert sizes == [bt.LEAST_LOT, 150_000, 1_500_000, 3_000_000, 4 << 20]
